@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import materialise, read
 
 K = 5
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_200_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _END = b"\n"  # no word is white space
@@ -54,29 +54,42 @@ _COLS = ["kind", "block", "bucket", "payload"]
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays, each in the narrowest whole-number type that holds it, compressed."""
-    out, z = [struct.pack("<H", len(arrays))], zstandard.ZstdCompressor(level=1)
+    """Arrays, each in the narrowest whole-number type that holds it, compressed.  Floats with many repeats
+    are coded by their place in a table of distinct values, which follows them."""
+    z = zstandard.ZstdCompressor(level=1)
+    todo = []
     for a in arrays:
         a = np.ascontiguousarray(a)
+        if a.dtype.kind == "f" and len(a) > 64:
+            table, codes = np.unique(a, return_inverse=True)
+            if 4 * len(table) < len(a):
+                todo += [(codes, b"t"), (table, b"f")]
+                continue
+        todo.append((a, b"a"))
+    out = [struct.pack("<H", len(todo))]
+    for a, role in todo:
         if a.dtype.kind in "iub" and len(a):
             lo, hi = int(a.min()), int(a.max())
             if lo >= 0:
                 a = a.astype(np.uint8 if hi < 1 << 8 else np.uint16 if hi < 1 << 16 else np.uint32 if hi < 1 << 32 else np.uint64)
         body = z.compress(a.tobytes())
-        out += [struct.pack("<4sQQ", a.dtype.str[-2:].encode(), len(a), len(body)), body]
+        out += [struct.pack("<2s1sQQ", a.dtype.str[-2:].encode(), role, len(a), len(body)), body]
     return b"".join(out)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
     (n,), at, z, out = struct.unpack_from("<H", data), 2, zstandard.ZstdDecompressor(), []
     for _ in range(n):
-        kind, length, size = struct.unpack_from("<4sQQ", data, at)
-        at += 20
-        dtype = np.dtype(kind.rstrip(b"\0").decode())
+        kind, role, length, size = struct.unpack_from("<2s1sQQ", data, at)
+        at += 19
+        dtype = np.dtype(kind.decode())
         raw = z.decompress(data[at : at + size], max_output_size=max(1, length * dtype.itemsize)) if length else b""
         a = np.frombuffer(raw, dtype)
-        out.append(a.astype(np.int64) if dtype.kind in "iub" and dtype.str[1:] != "u8" else a)
         at += size
+        if role == b"f":
+            out[-1] = a[out[-1]]
+        else:
+            out.append(a.astype(np.int64) if dtype.kind in "iub" and dtype.str[1:] != "u8" else a)
     return out
 
 
@@ -211,6 +224,7 @@ class Block:
     def __init__(self, payload: bytes):
         self.ids, self.null, self.lens, self.train, self.tok, self.order, (end, n_words) = unpack(payload)
         self.end, self.n_words = int(end), int(n_words)
+        self.tok = self.tok.astype(np.int32)
         self.first = np.zeros(len(self.tok), bool)
         self.first[np.cumsum(self.lens) - self.lens] = True
         self.in_train = np.repeat(self.train.astype(bool), self.lens)
