@@ -38,12 +38,18 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(*frames: DataFrame) -> None:
-    """Delete tables that ``materialise`` wrote and that no later step reads."""
+def discard(*frames: DataFrame, partition: str = "") -> None:
+    """Delete tables that ``materialise`` wrote, or one partition (``column=value``) of each, that no later
+    step reads."""
     for df in frames:
         spark = df.sparkSession
-        for root in {f.split("/tallyforge/")[0] + "/tallyforge/" + f.split("/tallyforge/")[1].split("/")[0] for f in df.inputFiles() if "/tallyforge/" in f}:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        roots = set()
+        for f in df.inputFiles():
+            head, found, rest = f.partition("/tallyforge/")
+            if found:
+                roots.add(f"{head}{found}{rest.split('/')[0]}")
+        for root in roots:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{partition}" if partition else root)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import materialise, read
+from tallyforge.llm.common import discard, materialise, read
 
 K = 5
 BLOCK_TOKENS = 1_200_000
@@ -56,7 +56,7 @@ _COLS = ["kind", "block", "bucket", "payload"]
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays, each in the narrowest whole-number type that holds it, compressed.  Floats with many repeats
     are coded by their place in a table of distinct values, which follows them."""
-    z = zstandard.ZstdCompressor(level=1)
+    z = zstandard.ZstdCompressor(level=3)
     todo = []
     for a in arrays:
         a = np.ascontiguousarray(a)
@@ -421,6 +421,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             r = np.arange(1, K + 1)
             level.reserve = float(((1 - level.discount[1:]) * r * total[2 : K + 2]).sum() / max(1, level.total))
             share = max(1.0, level.total / buckets)
+            discard(first, partition="kind=message")  # answered, and read no more
         else:
             level = Level(good_turing(total))
             hot = [unpack(r["payload"]) for r in got.filter("kind = 'hot'").select("payload").collect()]
