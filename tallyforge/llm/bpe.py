@@ -46,7 +46,7 @@ def _byte_chars() -> dict[str, int]:
 class Encoder:
     """``spec``: the tokeniser file's text."""
 
-    def __init__(self, spec: str, cache: int = 200_000):
+    def __init__(self, spec: str, cache: int = 400_000):
         d = json.loads(spec)
         byte = _byte_chars()
         vocab = d["model"]["vocab"]
@@ -59,12 +59,13 @@ class Encoder:
             self.token[i] = s.encode()
         ids = {t: i for i, t in enumerate(self.token)}
         self.byte_id = [ids[bytes([b])] for b in range(256)]
-        #: (left, right) packed -> (rank, merged id) packed
+        #: (left, right) packed -> rank, in the upper half; the merged id of each rank
         self.pair: dict[int, int] = {}
+        self.merged: list[int] = []
         for rank, m in enumerate(d["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             self.pair[vocab[a] << 32 | vocab[b]] = rank << 32
-            self.pair[vocab[a] << 32 | vocab[b]] |= vocab[a + b]
+            self.merged.append(vocab[a + b])
         self.piece = regex.compile(PATTERN).findall
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.young: dict[str, tuple[int, ...]] = {}
@@ -78,53 +79,46 @@ class Encoder:
         n = len(sym)
         if n < 2:
             return tuple(sym)
-        pair = self.pair
+        rank, merged = self.pair.get, self.merged
         width = 1
         while width < n - 1:
             width *= 2
-        # a leaf: rank of the pair that starts here, then the position; the merged id is looked up again
-        tree = [_NONE] * (2 * width)
-        for i in range(n - 1):
-            hit = pair.get(sym[i] << 32 | sym[i + 1])
-            if hit is not None:
-                tree[width + i] = (hit >> 32) << 32 | i
+        # a leaf: the rank of the pair that starts here, then the position; no pair beats any rank
+        leaves = [rank(sym[i] << 32 | sym[i + 1], _NONE) | i for i in range(n - 1)]
+        tree = [_NONE] * width + leaves + [_NONE] * (width - n + 1)
         for k in range(width - 1, 0, -1):
             a, b = tree[2 * k], tree[2 * k + 1]
             tree[k] = a if a < b else b
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-
-        def put(i: int, v: int) -> None:
-            k = width + i
-            tree[k] = v
-            k >>= 1
-            while k:
-                a, b = tree[2 * k], tree[2 * k + 1]
-                m = a if a < b else b
-                if tree[k] == m:
-                    break
-                tree[k] = m
-                k >>= 1
-
-        while (root := tree[1]) != _NONE:
+        while (root := tree[1]) < _NONE:
             i = root & _POS
             j = after[i]
-            sym[i] = pair[sym[i] << 32 | sym[j]] & _POS
-            nxt = after[j]
-            after[i] = nxt
+            sym[i] = left = merged[root >> 32]
             sym[j] = -1
-            if j < n - 1:
-                put(j, _NONE)
+            nxt = after[i] = after[j]
             if nxt < n:
                 before[nxt] = i
-                hit = pair.get(sym[i] << 32 | sym[nxt])
-                put(i, _NONE if hit is None else (hit >> 32) << 32 | i)
+                changed = [(i, rank(left << 32 | sym[nxt], _NONE) | i), (j, _NONE)]
+            elif j < n - 1:
+                changed = [(i, _NONE), (j, _NONE)]
             else:
-                put(i, _NONE)
+                changed = [(i, _NONE)]
             p = before[i]
             if p >= 0:
-                hit = pair.get(sym[p] << 32 | sym[i])
-                put(p, _NONE if hit is None else (hit >> 32) << 32 | p)
+                changed.append((p, rank(sym[p] << 32 | left, _NONE) | p))
+            for at, value in changed:
+                k = width + at
+                tree[k] = value
+                k >>= 1
+                while k:
+                    a, b = tree[2 * k], tree[2 * k + 1]
+                    if b < a:
+                        a = b
+                    if tree[k] == a:
+                        break
+                    tree[k] = a
+                    k >>= 1
         return tuple(s for s in sym if s >= 0)
 
     def __missing(self, piece: str) -> tuple[int, ...]:
@@ -137,22 +131,26 @@ class Encoder:
             self.young[piece] = ids
         return ids
 
-    def _plain(self, text: str) -> Iterator[tuple[int, ...]]:
-        miss = self.__missing
-        for p in self.piece(text):
-            ids = self.young.get(p)
-            yield ids if ids is not None else miss(p)
+    def _plain(self, text: str) -> Iterator[int]:
+        pieces = self.piece(text)
+        out = list(map(self.young.get, pieces))
+        if None in out:
+            known, miss = self.young, self.__missing
+            for k, ids in enumerate(out):
+                if ids is None:
+                    out[k] = known.get(pieces[k]) or miss(pieces[k])
+        return chain.from_iterable(out)
 
     def encode(self, text: str | None) -> list[int]:
         text = text or ""
         if self.cut is None or not any(s in text for s in self.special):
-            return list(chain.from_iterable(self._plain(text)))
+            return list(self._plain(text))
         out, at = [], 0
         for m in self.cut.finditer(text):
-            out.extend(chain.from_iterable(self._plain(text[at : m.start()])))
+            out.extend(self._plain(text[at : m.start()]))
             out.append(self.special[m.group()])
             at = m.end()
-        out.extend(chain.from_iterable(self._plain(text[at:])))
+        out.extend(self._plain(text[at:]))
         return out
 
     def decode_bytes(self, ids: list[int]) -> bytes:
