@@ -1,10 +1,10 @@
 r"""Main text of web pages, by differencing each page with its nearest neighbour by URL.
 
-1. One pass turns each page into lines: one line for each block of text, with a mark for where it stands
+1. A pass turns each page into lines: one line for each block of text, with a mark for where it stands
    (inside an article, outside one, or inside an element that is boilerplate by its tag, role or class).
 2. Pages are sorted by host and path over all machines; a page's neighbour is the page before or after it on
    the same host whose path shares the longer prefix with its own.  Only keys are sorted, and only hashes of
-   the lines outside articles travel to a neighbour.
+   the lines outside articles travel to a neighbour.  Lines are made again in the last pass rather than stored.
 3. Each page's lines are aligned with its neighbour's by longest common subsequence (bit-parallel rows), and
    what both share is deleted, with one exception: the lines of a marked article stay even if shared, for
    copies of one article under two URLs are no boilerplate.
@@ -175,23 +175,29 @@ def shared_lines(a: list[int], b: list[int]) -> set[int]:
     return out
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("places", pa.list_(pa.int32())), ("lines", pa.list_(pa.string())), ("hashes", pa.list_(pa.int64()))])
+def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a page's neighbours have to know: its place and the hashes of its lines outside articles."""
+    schema = pa.schema([("row", pa.string()), ("host", pa.string()), ("path", pa.string()), ("hashes", pa.list_(pa.int64()))])
     for b in batches:
-        parts = [canonical(u) for u in b.column(1).to_pylist()]
-        got = [page_lines(x.as_py()) for x in b.column(2)]
-        cols = [b.column(0), b.column(1), pa.array([h for h, _ in parts]), pa.array([p for _, p in parts])]
-        cols += [pa.array([[w for w, _ in g] for g in got], pa.list_(pa.int32())), pa.array([[t for _, t in g] for g in got], pa.list_(pa.string()))]
-        cols.append(pa.array([[line_hash(t) for w, t in g if w != INSIDE] for g in got], pa.list_(pa.int64())))
-        yield pa.RecordBatch.from_arrays(cols, schema=schema)
+        parts = [canonical(u) for u in b.column(2).to_pylist()]
+        hashes = [[line_hash(t) for w, t in page_lines(x.as_py()) if w != INSIDE] for x in b.column(3)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h for h, _ in parts]), pa.array([p for _, p in parts]), pa.array(hashes, pa.list_(pa.int64()))], schema=schema)
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("row", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("places", pa.list_(pa.int8())), ("lines", pa.list_(pa.string()))])
+    for b in batches:
+        got = [page_lines(x.as_py()) for x in b.column(3)]
+        cols = [pa.array([[w for w, _ in g] for g in got], pa.list_(pa.int8())), pa.array([[t for _, t in g] for g in got], pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *cols], schema=schema)
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
     for b in batches:
         texts = []
-        for places, lines, mine, other in zip(*(b.column(k).to_pylist() for k in range(2, 6))):
-            shared = shared_lines(mine or [], other or [])
+        for places, lines, other in zip(*(b.column(k).to_pylist() for k in range(2, 5))):
+            shared = shared_lines([line_hash(t) for w, t in zip(places, lines) if w != INSIDE], other or [])
             outside, kept = -1, []
             marked = INSIDE in places
             for place, line in zip(places, lines):
@@ -230,11 +236,14 @@ def neighbours(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` for every page."""
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
-    parsed = src.mapInArrow(_parse, "page_id long, url string, host string, path string, places array<int>, lines array<string>, hashes array<long>")
-    parsed = materialise(parsed.withColumn("row", F.monotonically_increasing_id()), "html-lines")
-    pairs = neighbours(parsed)
-    theirs = pairs.join(parsed.select(F.col("row").alias("other"), F.col("hashes").alias("theirs")), "other").select("row", "theirs")
-    both = parsed.join(theirs, "row", "left").select("page_id", "url", "places", "lines", "hashes", "theirs")
+    # a row's own key: copies of a row have the same neighbour
+    key = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.hex(F.xxhash64("url", "html")))
+    src = src.select(key.alias("row"), "page_id", "url", "html")
+    outline = src.mapInArrow(_outline, "row string, host string, path string, hashes array<long>").dropDuplicates(["row"])
+    outline = materialise(outline, "html-outline")
+    theirs = neighbours(outline).join(outline.select(F.col("row").alias("other"), F.col("hashes").alias("theirs")), "other").select("row", "theirs")
+    lines = src.mapInArrow(_lines, "row string, page_id long, url string, places array<byte>, lines array<string>")
+    both = lines.join(theirs, "row", "left").select("page_id", "url", "places", "lines", "theirs")
     return both.mapInArrow(_difference, "page_id long, url string, text string, n_chars long")
 
 
