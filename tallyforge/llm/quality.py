@@ -8,7 +8,7 @@ held between a floor, under which no text is rejected however uniform its group,
 however bad a group is.  The thresholds are joined back and rows outside them are rejected.
 
 Defined cases: a null text has no words and fails the base rule; null language or source is a group of its
-own; a group of one text has the floors as thresholds; an empty table gives an empty result; repeated
+own; small groups take the limits of their language, or of all; an empty table gives an empty result; repeated
 rows are judged alike; other columns pass through `filter_quality` untouched.
 """
 
@@ -29,13 +29,15 @@ from tallyforge.llm.common import materialise, read
 SKETCH_ERROR = 0.01
 #: Upper limits: measure -> (floor, ceiling) of the adaptive threshold.
 FENCES = {
-    "symbols_per_word": (0.10, 0.50),
+    "symbols_per_word": (0.10, 0.25),
     "dup_line_share": (0.40, 0.60),
     "repeat_share": (0.35, 0.50),
     "mean_word_chars": (12.0, 40.0),
-    "pipe_share": (0.10, 0.50),
+    "pipe_share": (0.10, 0.25),
     "upper_share": (0.60, 0.90),
 }
+#: Texts that a group needs for limits of its own.
+LEAST_GROUP = 30
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOLS = str.maketrans("", "", "#*$%&|<>")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_upper_words", "n_bare_words")
@@ -133,12 +135,35 @@ def sketch_quantiles(sk: DataFrame, keys: list[str], probs: dict[str, float], er
     return t.groupBy(*keys, "measure").agg(*[F.min(F.when(F.col("upto") >= F.col("total") * p, mid)).alias(name) for name, p in probs.items()])
 
 
-def thresholds(rows: DataFrame, fences=FENCES) -> DataFrame:
-    """One row for each (language, source), one column for each measure."""
-    q = sketch_quantiles(sketch(rows, ["lang", "source"], list(fences)), ["lang", "source"], {"q1": 0.25, "q3": 0.75})
+def _fences(sk: DataFrame, keys: list[str], fences: dict, tag: str) -> DataFrame:
+    """``keys``, the number of texts, and one upper limit for each measure, from sketches merged by ``keys``."""
+    merged = sk.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+    q = sketch_quantiles(merged, keys, {"q1": 0.25, "q3": 0.75})
+    n = merged.filter(F.col("measure") == next(iter(fences))).groupBy(*keys).agg(F.sum("n").alias(f"n_{tag}"))
     fence = F.col("q3") + 3 * (F.col("q3") - F.col("q1"))
-    held = [F.max(F.when(F.col("measure") == m, F.least(F.greatest(fence, F.lit(lo)), F.lit(hi)))).alias(f"max_{m}") for m, (lo, hi) in fences.items()]
-    return q.groupBy("lang", "source").agg(*held)
+    held = [F.max(F.when(F.col("measure") == m, F.least(F.greatest(fence, F.lit(lo)), F.lit(hi)))).alias(f"{tag}_{m}") for m, (lo, hi) in fences.items()]
+    q = q.groupBy(*keys).agg(*held)
+    if not keys:
+        return q.crossJoin(n)
+    return _join_null_safe(q, n, keys)
+
+
+def _join_null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    b = b.select(*[F.col(k).alias(f"_b_{k}") for k in keys], *[c for c in b.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_b_{k}"))
+    return a.join(b, on, "left").drop(*[f"_b_{k}" for k in keys])
+
+
+def thresholds(rows: DataFrame, fences=FENCES, least: int = LEAST_GROUP) -> DataFrame:
+    """One row for each (language, source), one column for each measure.  A group of fewer than ``least`` texts
+    takes the limits of its language's merged sketches, a language as small those of all."""
+    sk = sketch(rows, ["lang", "source"], list(fences))
+    own, lang, everything = (_fences(sk, keys, fences, tag) for keys, tag in ((["lang", "source"], "own"), (["lang"], "lang"), ([], "all")))
+    t = _join_null_safe(own, lang, ["lang"]).crossJoin(everything)
+    pick = lambda m: F.when(F.col("n_own") >= least, F.col(f"own_{m}")).when(F.col("n_lang") >= least, F.col(f"lang_{m}")).otherwise(F.col(f"all_{m}"))
+    return t.select("lang", "source", *[pick(m).alias(f"max_{m}") for m in fences])
 
 
 def judged(docs: DataFrame, fences=FENCES, min_words: int = 50, **cols) -> DataFrame:
