@@ -83,15 +83,36 @@ def crosstab(df: DataFrame | None, x: str, y: str, cell: str = "count", value: s
     return p.orderBy(*rank, F.col(f"`{x}`").asc_nulls_last())
 
 
-def _group_array(df: DataFrame, groups: Sequence[str], na_rm: bool, drop) -> Column:
-    kinds, na = dtypes(df), current().option("na_answers")
-    cells = [F.struct(F.lit(-1).alias("g"), F.lit(OVERALL).alias("group"), F.lit(OVERALL).alias("group_item"))]
-    for k, c in enumerate(groups):
-        t = S.na_blank(c, na_answers=na, dtype=kinds[c])
-        if drop:
-            t = F.when(~S.dropped(t, drop), t)
-        cells.append(F.when(t.isNotNull(), F.struct(F.lit(k).alias("g"), F.lit(c).alias("group"), t.alias("group_item"))))
-    return F.array_compact(F.array(*cells))
+#: Up to so many columns, rows are first counted by their whole tuple, which few answers make small.
+TUPLE_COLUMNS = 4
+
+
+def _group_array(df: DataFrame, groups: Sequence[str]) -> Column:
+    """Overall and each group's raw answer of a row."""
+    kinds = dtypes(df)
+    cells = [F.struct(F.lit(-1).alias("g"), F.lit(OVERALL).alias("group_item"))]
+    cells += [F.struct(F.lit(k).alias("g"), S.as_text(c, kinds[c]).alias("group_item")) for k, c in enumerate(groups)]
+    return F.array(*cells)
+
+
+def _cleaned(df: DataFrame, column: str, drop, keep: Column) -> DataFrame:
+    """Answers in ``column`` cleaned and dropped, but for rows of ``keep``; missing ones go."""
+    if drop:
+        df = df.filter(keep | ~S.dropped(column, drop))
+    t = S.na_blank(column, na_answers=current().option("na_answers"))
+    return df.withColumn(column, F.when(keep, F.col(column)).otherwise(t)).filter(F.col(column).isNotNull())
+
+
+def _filled(cells: DataFrame) -> DataFrame:
+    """The full grid of each question, absent cells 0.  A question's finished cells meet in one row: they are
+    its answers by the group items, however many rows they were counted from."""
+    per = cells.groupBy("q").agg(F.collect_list(F.struct("item", "g", "group_item", "value")).alias("cells"))
+    items = F.array_distinct(F.transform(F.filter("cells", lambda c: c["g"] == -1), lambda c: c["item"]))
+    columns = F.array_distinct(F.transform("cells", lambda c: F.struct(c["g"].alias("g"), c["group_item"].alias("group_item"))))
+    known = F.map_from_entries(F.transform("cells", lambda c: F.struct(F.struct(c["item"].alias("item"), c["g"].alias("g"), c["group_item"].alias("group_item")).alias("k"), c["value"].alias("v"))))
+    grid = per.select("q", known.alias("known"), items.alias("items"), columns.alias("columns")).withColumn("item", F.explode("items")).withColumn("c", F.explode("columns"))
+    at = F.struct("item", F.col("c.g").alias("g"), F.col("c.group_item").alias("group_item"))
+    return grid.select("q", "item", "c.g", "c.group_item", F.coalesce(F.try_element_at("known", at), F.lit(0.0)).alias("value"))
 
 
 def banner(df: DataFrame | None, rows=None, cols=None, cell: str = "auto", stats: Sequence[str] | None = None, total: bool = True, digits: int | None = None, na_rm: bool = True, drop=None, weights=None, max_levels: int = MAX_LEVELS, long: bool = True) -> DataFrame:
@@ -123,34 +144,34 @@ def banner(df: DataFrame | None, rows=None, cols=None, cell: str = "auto", stats
     kinds, na = dtypes(df), current().option("na_answers")
     d = with_weights(df, scheme)
     at = {c: k for k, c in enumerate(df.columns)}
-    garray = _group_array(df, groups, na_rm, drop)
+    garray = _group_array(df, groups)
+    name_of = lambda g: F.when(g == -1, OVERALL).otherwise(F.get(F.array(*[F.lit(c) for c in groups]) if groups else F.array().cast("array<string>"), F.when(g >= 0, g)))
     pct_digits, stat_digits = (0, 2) if digits is None else (digits, digits)
     parts = []
 
     chunk = max(1, MAX_EXPLODED // (len(groups) + 1))
     for lo in range(0, len(categorical), chunk):
-        cells = []
-        for c in categorical[lo : lo + chunk]:
-            t = S.na_blank(c, na_answers=na, dtype=kinds[c])
-            if drop:
-                t = F.when(~S.dropped(c, drop, kinds[c]), t)
-            cells.append(F.when(t.isNotNull(), F.struct(F.lit(at[c]).alias("q"), F.lit(c).alias("variable"), t.alias("item"))))
-        qarray = F.array_compact(F.array(*cells))
-        x = d.select(WEIGHT, garray.alias("gs"), qarray.alias("qs")).select(WEIGHT, F.explode("qs").alias("x"), "gs").select(WEIGHT, "x.*", F.explode("gs").alias("y")).select(WEIGHT, "q", "variable", "item", "y.*")
-        x = x.filter("variable <> group")
-        n = x.groupBy("q", "variable", "item", "g", "group", "group_item").agg(F.sum(WEIGHT).alias("n"))
+        asked = categorical[lo : lo + chunk]
+        own = list(dict.fromkeys([*asked, *groups]))
+        t = d.groupBy(*own).agg(F.sum(WEIGHT).alias(WEIGHT)) if len(own) <= TUPLE_COLUMNS else d
+        qarray = F.array(*[F.struct(F.lit(at[c]).alias("q"), S.as_text(c, kinds[c]).alias("item")) for c in asked])
+        x = t.select(WEIGHT, garray.alias("gs"), qarray.alias("qs")).select(WEIGHT, F.explode("qs").alias("x"), "gs").select(WEIGHT, "x.*", F.explode("gs").alias("y")).select(WEIGHT, "q", "item", "y.*")
+        same = [(at[c], k) for k, c in enumerate(groups) if c in asked]
+        for q, k in same:
+            x = x.filter(~((F.col("q") == q) & (F.col("g") == k)))
+        raw = x.groupBy("q", "item", "g", "group_item").agg(F.sum(WEIGHT).alias("n"))
+        raw = _cleaned(_cleaned(raw, "item", drop, F.lit(False)), "group_item", drop, F.col("g") == -1)
+        n = raw.groupBy("q", "item", "g", "group_item").agg(F.sum("n").alias("n"))
         whole = Window.partitionBy("q", "g", "group_item")
         v = S.r_round("n", 0) if cell == "count" else S.r_round(F.col("n") / F.sum("n").over(whole) * 100, pct_digits)
-        n = n.withColumn("value", v).drop("n")
-        # the grid: each item of a question by each group item, both read off the finished cells
-        items = n.filter("g = -1").select("q", "variable", "item")
-        columns = n.select("q", "g", "group", "group_item").distinct()
-        grid = items.join(columns, "q")
-        parts.append(grid.join(n, ["q", "variable", "item", "g", "group", "group_item"], "left").withColumn("value", F.coalesce("value", F.lit(0.0))).withColumn("i", F.lit(0)))
+        full = _filled(n.withColumn("value", v))
+        names = F.create_map(*[F.lit(y) for c in asked for y in (at[c], c)])
+        parts.append(full.withColumn("variable", F.element_at(names, F.col("q"))).withColumn("group", name_of(F.col("g"))).withColumn("i", F.lit(0)))
 
     if numeric:
         vals = [F.struct(F.lit(at[c]).alias("q"), F.lit(c).alias("variable"), S.ensure_numeric(c, kinds[c]).alias("v")) for c in numeric]
-        x = d.select(WEIGHT, garray.alias("gs"), F.array(*vals).alias("qs")).select(WEIGHT, F.explode("qs").alias("x"), "gs").select(WEIGHT, "x.*", F.explode("gs").alias("y")).select(WEIGHT, "q", "variable", "v", "y.*").filter("variable <> group")
+        x = d.select(WEIGHT, garray.alias("gs"), F.array(*vals).alias("qs")).select(WEIGHT, F.explode("qs").alias("x"), "gs").select(WEIGHT, "x.*", F.explode("gs").alias("y")).select(WEIGHT, "q", "variable", "v", "y.*").withColumn("group", name_of(F.col("g"))).filter("variable <> group")
+        x = _cleaned(x, "group_item", drop, F.col("g") == -1)
         keys = ["q", "variable", "g", "group", "group_item"]
         if scheme is None:
             p = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
@@ -166,7 +187,8 @@ def banner(df: DataFrame | None, rows=None, cols=None, cell: str = "auto", stats
         options = option_arrays(df, prefix, True, None)
         if drop:
             options = F.filter(options, lambda o: ~S.dropped(o, drop))
-        x = d.select(garray.alias("gs"), options.alias("os")).filter(F.size("os") > 0).select("os", F.explode("gs").alias("y")).select("os", "y.*")
+        x = d.select(garray.alias("gs"), options.alias("os")).filter(F.size("os") > 0).select("os", F.explode("gs").alias("y")).select("os", "y.*").withColumn("group", name_of(F.col("g")))
+        x = _cleaned(x, "group_item", drop, F.col("g") == -1)
         base = x.groupBy("g", "group", "group_item").agg(F.count("*").alias("base"))
         n = x.select("g", "group", "group_item", F.explode("os").alias("item")).groupBy("g", "group", "group_item", "item").agg(F.count("*").alias("n"))
         grid = n.select("item").distinct().join(base.withColumn("__one", F.lit(1)), F.lit(True))

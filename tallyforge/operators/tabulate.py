@@ -68,8 +68,9 @@ def calc_percentage(df: DataFrame | None, column: str, by=None, sort: str = "non
     sort = S.match_arg(sort, SORTS)
     scheme = current().resolve_weights(weights)
     by = grouping(df, by)
-    d = answered(with_weights(df, scheme), column, drop, na_rm)
-    counts = d.groupBy(*by, column).agg(F.count("*").alias("n"), *([F.sum(WEIGHT).alias("__w")] if scheme else []))
+    # raw answers are counted first, so that only distinct ones are cleaned
+    raw = with_weights(df, scheme).groupBy(*by, column).agg(F.count("*").alias("__n"), F.sum(WEIGHT).alias("__raw"))
+    counts = answered(raw, column, drop, na_rm).groupBy(*by, column).agg(F.sum("__n").alias("n"), *([F.sum("__raw").alias("__w")] if scheme else []))
     out = _shares(counts, by, digits, scheme is not None).select(*by, column, "n", "pct", *(["wpct"] if scheme else []))
     prior = [F.col(f"`{c}`").asc_nulls_last() for c in [*by, column]]
     if levels is None and sort == "none":
@@ -110,14 +111,15 @@ def calc_percentage_batch(df: DataFrame | None, *columns, by=None, sort: str = "
     by = grouping(df, by)
     kinds = dtypes(df)
     drop = current().option("drop_answers") if drop is None else drop
-    cells = []
-    for k, c in enumerate(names):
-        text = S.na_blank(c, na_answers=current().option("na_answers"), dtype=kinds[c]) if na_rm else S.as_text(c, kinds[c])
-        keep = ~S.dropped(c, drop, kinds[c]) if drop else F.lit(True)
-        label = S.clean_name(c, prefix) if clean_names else c
-        cells.append(F.when(keep & (text.isNotNull() if na_rm else F.lit(True)), F.struct(F.lit(k).alias("k"), F.lit(label).alias("variable"), text.alias("answer"))))
-    long = with_weights(df, scheme).select(*by, WEIGHT, F.explode(F.array_compact(F.array(*cells))).alias("x")).select(*by, WEIGHT, "x.*")
-    counts = long.groupBy("k", "variable", *by, "answer").agg(F.count("*").alias("n"), F.sum(WEIGHT).alias("__w"))
+    cells = [F.struct(F.lit(k).alias("k"), S.as_text(c, kinds[c]).alias("answer")) for k, c in enumerate(names)]
+    long = with_weights(df, scheme).select(*by, WEIGHT, F.explode(F.array(*cells)).alias("x")).select(*by, WEIGHT, "x.*")
+    raw = long.groupBy("k", *by, "answer").agg(F.count("*").alias("n"), F.sum(WEIGHT).alias("__w"))
+    if drop:
+        raw = raw.filter(~S.dropped("answer", drop))
+    if na_rm:
+        raw = raw.withColumn("answer", S.na_blank("answer", na_answers=current().option("na_answers"))).filter("answer IS NOT NULL")
+    labels = F.array(*[F.lit(S.clean_name(c, prefix) if clean_names else c) for c in names])
+    counts = raw.groupBy("k", *by, "answer").agg(F.sum("n").alias("n"), F.sum("__w").alias("__w")).withColumn("variable", F.get(labels, F.col("k")))
     out = _shares(counts, ["k", *by], digits, scheme is not None)
     prior = [F.col(c).asc_nulls_last() for c in [*by, "answer"]]
     first = [] if sort == "none" else [F.col("pct").desc_nulls_last() if sort == "desc" else F.col("pct").asc_nulls_last()]
