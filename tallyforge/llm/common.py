@@ -53,6 +53,22 @@ def discard(*frames: DataFrame, partition: str = "") -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Groups that a broadcast may hold: those with over a 20,000th of all rows, of which there are fewer.
+HOT_GROUPS = 20_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` left-joined with one row for each ``key``.  Groups of more than a `HOT_GROUPS`-th of all rows
+    are joined where their rows are, by a broadcast that this bound keeps small; for the others, whose rows are
+    few, both sides are dealt out by key."""
+    total = rows.count()
+    hot = groups.filter(F.col(size) * HOT_GROUPS > total)
+    rest = groups.filter(F.col(size) * HOT_GROUPS <= total)
+    here = rows.join(F.broadcast(hot), key)
+    there = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, "left")
+    return here.unionByName(there)
+
+
 def text_of(col: str = "text") -> Column:
     """The text, null counting as empty."""
     return F.coalesce(F.col(col), F.lit(""))

@@ -9,7 +9,7 @@ Texts are equal when identical after each run of white space became one space.
    (length, prefix hash, full hash).  A bit set by chance costs one needless hash, never a wrong group.
 
 Texts never travel through a shuffle.  The largest group costs one row for each map task in the
-aggregation, and the join back is on a key whose skew adaptive execution can split.
+aggregation, and large groups are joined back by a broadcast of bounded size.
 
 Defined cases: a null text counts as empty; a null id never beats another id, and a group of null ids
 has a null ``keep_id``; rows that repeat one id are one document and are all marked alike; an empty
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import materialise, normalised, read
+from tallyforge.llm.common import join_groups, materialise, normalised, read
 
 #: Bits of the survivors' bitmap; 1 MB, whatever the input.
 BITMAP_BITS = 1 << 23
@@ -73,8 +73,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     key = F.coalesce(F.col("full_hash"), F.concat_ws(":", "n_chars", "prefix_hash"))
     rows = rows.withColumn("group_key", key)
     groups = rows.groupBy("group_key").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    many = groups.filter("group_size > 1")
-    out = rows.join(many, "group_key", "left")
+    many = materialise(groups.filter("group_size > 1"), "dedup-groups")
+    out = join_groups(rows, many, "group_key", "group_size")
     single = F.col("group_size").isNull()
     keep = F.when(single, F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select(

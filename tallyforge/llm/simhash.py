@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import materialise, read
+from tallyforge.llm.common import join_groups, materialise, read
 from tallyforge.llm.components import components
 
 DISTANCE = 2
@@ -143,13 +143,14 @@ def links(fps: DataFrame, distance: int = DISTANCE, crowd: int = CROWD) -> DataF
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, distance: int = DISTANCE) -> DataFrame:
     """``doc_id, fp, component_id`` for every row."""
     rows = materialise(fingerprints(docs, id_col, text_col, k), "simhash-fp")
-    classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
+    classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_rows")), "simhash-classes")
     roots = materialise(components(links(classes.select("fp"), distance)), "simhash-roots")
     linked = classes.join(roots, classes["fp"] == roots["node"]).select("fp", "first", "root")
     named = linked.groupBy("root").agg(F.min("first").alias("least"))
     moved = linked.join(named, "root").select("fp", "least", F.lit(True).alias("linked"))
-    final = classes.join(moved, "fp", "left").select("fp", F.when(F.col("linked"), F.col("least")).otherwise(F.col("first")).alias("component_id"))
-    return rows.join(final, "fp").select("doc_id", "fp", "component_id")
+    final = classes.join(moved, "fp", "left").select("fp", "n_rows", F.when(F.col("linked"), F.col("least")).otherwise(F.col("first")).alias("component_id"))
+    final = materialise(final, "simhash-named")
+    return join_groups(rows, final, "fp", "n_rows").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
