@@ -1,7 +1,7 @@
 r"""URL filter: a bit-parallel wildcard automaton over canonical URLs.
 
-Each rule becomes glob patterns over the canonical form ``host path`` (a space between, which neither holds
-in a rule).  All patterns are laid side by side in one Shift-And automaton whose state is a row of 64-bit
+Each rule becomes glob patterns over the canonical form of host and path (a byte between that no text
+holds).  All patterns are laid side by side in one Shift-And automaton whose state is a row of 64-bit
 words: one bit for each literal character, ``*`` as a self-loop on the bit before it.  Every URL of a batch is
 stepped at once, character by character, with the same few masks; which rules fitted is read off the
 accepting bits, and of those the longest rule wins.
@@ -24,7 +24,8 @@ from tallyforge.llm.common import read
 
 #: (verdict, rule); a rule is a host suffix, a slash and a path prefix.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-_SEP = "\n"
+#: Stands for the byte 0xFF, which no UTF-8 text holds, so that no host or path can pass for both.
+_SEP = "\udcff"
 _UPPER = "".join(map(chr, range(65, 91)))
 
 
@@ -44,7 +45,7 @@ class ShiftAnd:
         for p in patterns:
             starts.append(len(units))
             units.append((None, False))
-            for ch in p.encode():
+            for ch in p.encode("utf-8", "surrogateescape"):
                 if ch == ord("*"):
                     units[-1] = (units[-1][0], True)
                 else:
@@ -114,7 +115,7 @@ def filter_urls(pages: DataFrame, rules=RULES, default: str = "allow", id_col: s
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts = [canonical(u) for u in b.column(1).to_pylist()]
-            texts = [f"{h}{_SEP}{p}".encode() if h or p else b"" for h, p in parts]
+            texts = [h.encode() + b"\xff" + p.encode() if h or p else b"" for h, p in parts]
             hits = machine.match(texts)
             best = np.full(len(parts), -1)
             for k in reversed(by_length):

@@ -87,7 +87,7 @@ def test_automaton_against_globs():
 
 
 def test_rules_by_hand(spark):
-    urls = {"http://A.Example.NET/en/1": "example.net/en/", "x://net": None, "x://net/": "net/", "x://evilnet/": None, "x://a.org/fr": None, "x://a.org/fr/?a": "org/fr/", "x://example.com/de/#": "example.com/de/", "//net/": None}
+    urls = {"http://A.Example.NET/en/1": "example.net/en/", "x://net": None, "x://net/": "net/", "x://evilnet/": None, "x://a.org/fr": None, "x://a.org/fr/?a": "org/fr/", "x://example.com/de/#": "example.com/de/", "//net/": None, "x://a.org/x.net\n/y": None}
     rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = {r["page_id"]: r["rule"] for r in url_filter.filter_urls(rows).collect()}
     assert [got[i] for i in range(len(urls))] == list(urls.values())
