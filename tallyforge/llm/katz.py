@@ -53,9 +53,18 @@ _ROW = "kind string, block long, bucket long, payload binary"
 _COLS = ["kind", "block", "bucket", "payload"]
 
 
+def _narrow(a: np.ndarray) -> np.ndarray:
+    """Whole numbers without a sign in the narrowest type that holds them."""
+    if a.dtype.kind not in "iub" or not len(a) or int(a.min()) < 0:
+        return a
+    hi = int(a.max())
+    return a.astype(np.uint8 if hi < 1 << 8 else np.uint16 if hi < 1 << 16 else np.uint32 if hi < 1 << 32 else np.uint64)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays, each in the narrowest whole-number type that holds it, compressed.  Floats with many repeats
-    are coded by their place in a table of distinct values, which follows them."""
+    """Arrays, each in the narrowest whole-number type that holds it, compressed; whole numbers by byte planes,
+    and those that never fall as differences.  Floats with many repeats are coded by their place in a table of
+    distinct values, which follows them."""
     z = zstandard.ZstdCompressor(level=3)
     todo = []
     for a in arrays:
@@ -68,28 +77,32 @@ def pack(*arrays: np.ndarray) -> bytes:
         todo.append((a, b"a"))
     out = [struct.pack("<H", len(todo))]
     for a, role in todo:
-        if a.dtype.kind in "iub" and len(a):
-            lo, hi = int(a.min()), int(a.max())
-            if lo >= 0:
-                a = a.astype(np.uint8 if hi < 1 << 8 else np.uint16 if hi < 1 << 16 else np.uint32 if hi < 1 << 32 else np.uint64)
-        body = z.compress(a.tobytes())
-        out += [struct.pack("<2s1sQQ", a.dtype.str[-2:].encode(), role, len(a), len(body)), body]
+        a = _narrow(a)
+        kind = a.dtype.str[-2:].encode()
+        if role == b"a" and a.dtype.kind == "u" and len(a) > 1 and (a[1:] >= a[:-1]).all():
+            a, role = _narrow(np.concatenate([a[:1], np.diff(a)])), b"d"
+        planes = a.view(np.uint8).reshape(len(a), -1).T if len(a) and a.dtype.kind == "u" and a.itemsize > 1 else a
+        body = z.compress(planes.tobytes())
+        out += [struct.pack("<2s2s1sQQ", kind, a.dtype.str[-2:].encode(), role, len(a), len(body)), body]
     return b"".join(out)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
     (n,), at, z, out = struct.unpack_from("<H", data), 2, zstandard.ZstdDecompressor(), []
     for _ in range(n):
-        kind, role, length, size = struct.unpack_from("<2s1sQQ", data, at)
-        at += 19
-        dtype = np.dtype(kind.decode())
+        kind, stored, role, length, size = struct.unpack_from("<2s2s1sQQ", data, at)
+        at += 21
+        dtype, own = np.dtype(stored.decode()), np.dtype(kind.decode())
         raw = z.decompress(data[at : at + size], max_output_size=max(1, length * dtype.itemsize)) if length else b""
-        a = np.frombuffer(raw, dtype)
+        a = np.frombuffer(raw, np.uint8)
+        a = (np.ascontiguousarray(a.reshape(dtype.itemsize, -1).T) if length and dtype.kind == "u" and dtype.itemsize > 1 else a).view(dtype).reshape(-1)
+        if role == b"d":
+            a = np.cumsum(a, dtype=own)
         at += size
         if role == b"f":
             out[-1] = a[out[-1]]
         else:
-            out.append(a.astype(np.int64) if dtype.kind in "iub" and dtype.str[1:] != "u8" else a)
+            out.append(a.astype(np.int64) if own.kind in "iub" and own.str[1:] != "u8" else a)
     return out
 
 
