@@ -102,7 +102,7 @@ def pivot_wider(df: DataFrame, ids: list[str], names_from: str, values_from: str
 
 def calc_percentage_batch(df: DataFrame | None, *columns, by=None, sort: str = "none", digits: int = 0, na_rm: bool = True, drop=None, weights=None, clean_names: bool = False, prefix: str | None = None) -> DataFrame:
     """``variable, by, answer, n, pct`` for many columns at once: one scan and one aggregation, whatever their
-    number."""
+    number.  A ``prefix`` is taken off the names, and cleans them as ``clean_names`` does."""
     df = current().resolve(df)
     names = select_columns(df, *columns)
     if not names:
@@ -118,7 +118,7 @@ def calc_percentage_batch(df: DataFrame | None, *columns, by=None, sort: str = "
         raw = raw.filter(~S.dropped("answer", drop))
     if na_rm:
         raw = raw.withColumn("answer", S.na_blank("answer", na_answers=current().option("na_answers"))).filter("answer IS NOT NULL")
-    labels = F.array(*[F.lit(S.clean_name(c, prefix) if clean_names else c) for c in names])
+    labels = F.array(*[F.lit(S.clean_name(c, prefix) if clean_names or prefix is not None else c) for c in names])
     counts = raw.groupBy("k", *by, "answer").agg(F.sum("n").alias("n"), F.sum("__w").alias("__w")).withColumn("variable", F.get(labels, F.col("k")))
     out = _shares(counts, ["k", *by], digits, scheme is not None)
     prior = [F.col(c).asc_nulls_last() for c in [*by, "answer"]]

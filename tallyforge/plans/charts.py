@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 from tallyforge.functions import scalars as S
 from tallyforge.plans.state import current
 
-RED, AMBER, GREEN, GREY = "#d7443e", "#f0a030", "#3a9a5b", "#8a8f98"
-BRAND = ("#1f4e79", "#2e86ab", "#5fb49c", "#f2a541", "#d1495b", "#6c5b7b")
+# Fixed colours: ratings by rank, net promoter groups, the blue ramp that stands in for a brand, neutral.
+RATING = {"1": "#FF3300", "2": "#FF3300", "3": "#FFCB3E", "4": "#A7C23D", "5": "#86A33B"}
+RATING_DISTINCT = {"1": "#EC2000", "2": "#FF3300", "3": "#FFCB3E", "4": "#A7C23D", "5": "#86A33B"}
+NPS = {"-1": "#FF3300", "0": "#FFCB3E", "1": "#86A33B"}
+BLUES = ("#8FE2FF", "#43CEFF", "#00B0F0", "#0070C0")
+NEUTRAL = "#D9D9D9"
+RED, AMBER, LIME, GREEN = (RATING[k] for k in ("1", "3", "4", "5"))
 
 
 def bands(edges: list[float], labels: list[str], colours: list[str], lower: float | None = None, upper: float | None = None) -> list[dict]:
@@ -33,15 +38,16 @@ def bands_rating_3(lower=None, upper=None):
 
 
 def bands_rating_5(lower=None, upper=None):
-    return bands([0.5, 1.5, 2.5, 3.5, 4.5, 5.5], ["Very bad", "Bad", "Ok", "Good", "Very good"], [RED, RED, AMBER, GREEN, GREEN], lower, upper)
+    return bands([0.5, 1.5, 2.5, 3.5, 4.5, 5.5], ["1\nVery bad", "2", "3\nOk", "4", "5\nVery good"], list(RATING_DISTINCT.values()), lower, upper)
 
 
 def bands_nps(lower=None, upper=None):
-    return bands([0, 6.5, 8.5, 10], ["Detractors", "Passives", "Promoters"], [RED, AMBER, GREEN], lower, upper)
+    """Around the answers 0 to 10, half a point on each side."""
+    return bands([-0.5, 6.5, 8.5, 10.5], ["DETRACTOR", "PASSIVE", "PROMOTER"], list(NPS.values()), lower, upper)
 
 
 def bands_nps_score(lower=None, upper=None):
-    return bands([-100, 0, 30, 70, 100], ["Needs work", "Good", "Great", "Excellent"], [RED, AMBER, GREEN, GREEN], lower, upper)
+    return bands([-100, 0, 30, 70, 100], ["NEEDS WORK", "GOOD", "GREAT", "EXCELLENT"], [RED, AMBER, LIME, GREEN], lower, upper)
 
 
 def rescale_bands(rows: list[dict], to: tuple[float, float], from_: tuple[float, float] | None = None) -> list[dict]:
@@ -68,12 +74,58 @@ def ramp(colours: list[str], n: int) -> list[str]:
         t = 0 if n == 1 else k * (len(rgb) - 1) / (n - 1)
         i = min(int(t), len(rgb) - 2) if len(rgb) > 1 else 0
         j = min(i + 1, len(rgb) - 1)
-        out.append("#" + "".join(f"{round(a + (b - a) * (t - i)):02x}" for a, b in zip(rgb[i], rgb[j])))
+        out.append("#" + "".join(f"{int(a + (b - a) * (t - i) + 0.5):02X}" for a, b in zip(rgb[i], rgb[j])))
     return out
 
 
 def pal_brand(n: int | None = None) -> list[str]:
-    return list(BRAND) if n is None else list(BRAND[:n]) if n <= len(BRAND) else ramp(list(BRAND), n)
+    """The brand's accents, or its one colour, or blues; more than there are come from between them."""
+    own = current().option("brand_colors") or current().option("brand_color_primary") or BLUES
+    own = [own] if isinstance(own, str) else list(own)
+    return own if n is None else own[:n] if n <= len(own) else ramp(own, n)
+
+
+def rating_colours(levels: list[str]) -> dict[str, str]:
+    """A colour from red to green for each level: by its first digit from 1 to 5 if all have one, else by rank."""
+    levels = list(dict.fromkeys(str(v) for v in levels if v is not None))
+    digit = {v: next((c for c in v if c in "123456789"), None) for v in levels}
+    if levels and all(d in RATING_DISTINCT for d in digit.values()):
+        return {v: RATING_DISTINCT[d] for v, d in digit.items()}
+    ranked = sorted(levels, key=lambda v: digit[v] or "~")
+    colour = dict(zip(ranked, ramp([RED, AMBER, GREEN], len(levels))))
+    return {v: colour[v] for v in levels}
+
+
+def scale_rating(distinct: bool = False) -> dict:
+    """For a colour channel: ranks 1 to 5."""
+    p = RATING_DISTINCT if distinct else RATING
+    return {"domain": list(p), "range": list(p.values())}
+
+
+def scale_nps() -> dict:
+    return {"domain": list(NPS), "range": list(NPS.values())}
+
+
+def scale_brand(levels: list[str]) -> dict:
+    return {"domain": list(levels), "range": pal_brand(len(levels))}
+
+
+def pct_axis(values=None, unit: float = 25, pad: float = 0, top: float | None = None, labels=True) -> dict:
+    """A percentage axis: up to ``top``, else above the largest value, else left to the renderer."""
+    if not (labels in (True, False) or callable(labels)):
+        raise ValueError("`labels` must be True, False or a function.")
+    limit = top if top is not None else None if values is None else S.nice_max(values, unit, pad)
+    axis = {"labels": False} if labels is False else {"format": S.label_pct() if labels is True else labels}
+    return {"type": "quantitative", "axis": axis} | ({} if limit is None else {"scale": {"domain": [0, limit]}})
+
+
+def theme(grid: str = "", base_size: float = 11, family: str | None = None, transparent: bool = False) -> dict:
+    """A chart's ``config``: no ticks, no legend, grid lines along the axes named in ``grid`` (x, y or xy)."""
+    o = current().option
+    family = family or (o("brand_font_minor") if o("brand_fonts_enabled") else None) or "sans-serif"
+    axis = lambda a: {"ticks": False, "grid": a in grid, "labelFontSize": base_size * 1.25, "titleFontStyle": "italic"}
+    back = None if transparent else "white"
+    return {"font": family, "background": back, "legend": {"disable": True}, "title": {"fontWeight": "bold", "fontSize": base_size * 1.5}, "axisX": axis("x"), "axisY": axis("y")}
 
 
 def _rows(df: DataFrame) -> list[dict]:
@@ -111,6 +163,44 @@ def stacked_rating(df: DataFrame, feature: str, level: str, value: str = "pct",
     return {"mark": "bar", "data": {"values": data}, "encoding": {"y": {"field": feature, "sort": order}, "x": {"field": value, "stack": "normalize"}, "color": {"field": level}}}
 
 
+def rating_grid(df: DataFrame | None, prefix: str, levels=None, digits: int = 2, label_min: float = 1) -> dict:
+    """A block of rating questions stacked by question, answers numbered by their place on the scale (``levels``,
+    else the block's registered order, else five points).  ``unranked``: answers that are not on the scale;
+    ``clashes``: ranks that two answers share."""
+    from tallyforge.operators.select import all_of
+    from tallyforge.operators.tabulate import calc_percentage_batch
+
+    df = current().resolve(df)
+    columns = [c for c in df.columns if c.startswith(prefix)]
+    if not columns:
+        raise ValueError(f"No columns start with '{prefix}'.")
+    levels = levels or current().order_for(columns[0]) or S.LIKERT_LEVELS
+    shares = calc_percentage_batch(df, all_of(columns), digits=digits, prefix=prefix)
+    rank = S.recode_likert("answer", levels=levels)
+    ranked = shares.withColumn("rank", rank).withColumn("answer_text", F.col("answer"))
+    ranked = ranked.withColumn("answer", F.concat(F.coalesce(rank.cast("string"), F.lit("NA")), F.lit(" - "), F.col("answer")))
+    spec = stacked_rating(ranked, "variable", "answer", label_min=label_min)
+    texts: dict = {}
+    for r in spec["data"]["values"]:
+        texts.setdefault(r["rank"], set()).add(r["answer_text"])
+    clashes = {k: sorted(v) for k, v in texts.items() if k is not None and len(v) > 1}
+    return spec | {"unranked": sorted(texts.get(None, ())), "clashes": clashes, "colours": rating_colours([r["answer"] for r in spec["data"]["values"]])}
+
+
+def gauges(scores: dict[str, float], scales=None, title: str | None = None) -> dict:
+    """Scores one below the other, each with its bands and marker mapped to 0..1 of its own scale."""
+    scales = [scales] * len(scores) if scales is None or isinstance(scales, str) else list(scales)
+    if len(scales) != len(scores):
+        raise ValueError("Give one scale, or one for each score.")
+    rows = []
+    for (name, score), scale in zip(scores.items(), scales):
+        g = gauge(score, scale or "auto")
+        lo, hi = g["bands"][0]["from"], g["bands"][-1]["to"]
+        text = f"{score:.2f} / 5" if hi == 5 else f"{round(score):+d}"
+        rows.append({"name": name, "score": score, "text": text, "label": g["label"], "at": min(1.0, max(0.0, (score - lo) / (hi - lo))), "bands": rescale_bands(g["bands"], (0, 1))})
+    return {"mark": "gauges", "rows": rows, "title": title}
+
+
 def gauge(score: float, scale: str = "auto", title: str | None = None) -> dict:
     """One score on its banded scale; a score from 1 to 5 is taken for a rating."""
     if scale == "auto":

@@ -16,6 +16,8 @@ DEFAULTS = {
     "bar_wrap_bars": 28, "bar_width": 0.66, "bar_ref_items": 6, "age_breaks": list(S.AGE_BREAKS), "age_labels": list(S.AGE_LABELS),
     "na_answers": list(S.NA_ANSWERS), "drop_answers": None, "generation_scheme": "pew", "current_year": None, "default_by": None,
     "progress": "auto", "confirm": "auto", "output_dir": "survey-outputs",
+    "brand_colors": None, "brand_color_primary": None, "brand_font_major": None, "brand_font_minor": None, "brand_fonts_enabled": True,
+    "brand_template_pptx": None, "brand_template_docx": None,
 }
 
 #: Answer orders that `register_order_presets` adds (fixed values): name -> (levels, variables, prefixes).

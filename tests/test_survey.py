@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
 from tallyforge.operators import comments, crosstab, lookups, model, precision, select, tabulate, weights
-from tallyforge.plans import charts, profile, state
+from tallyforge.plans import brand, charts, profile, state
 
 
 def rows(df):
@@ -305,11 +305,46 @@ def test_bands_and_specs(spark, survey):
     assert [r[0] for r in rows(df.select(charts.band_of("v", charts.bands_rating_3())))] == ["BAD", "OK", "GOOD", None]
     spec = charts.bars(tabulate.calc_percentage(survey, "q"))
     assert spec["encoding"]["y"]["scale"]["domain"] == [0, 50]
-    assert charts.gauge(4.2)["label"] == "GOOD" and charts.gauge(50)["label"] == "Great"
-    assert charts.ramp(["#000000", "#ffffff"], 3) == ["#000000", "#808080", "#ffffff"] and len(charts.pal_brand(9)) == 9
+    assert charts.gauge(4.2)["label"] == "GOOD" and charts.gauge(50)["label"] == "GREAT"
+    assert charts.ramp(["#000000", "#ffffff"], 3) == ["#000000", "#808080", "#FFFFFF"] and len(charts.pal_brand(9)) == 9
     assert charts.nps_chart(survey, "nps")["callouts"]["Promoter"] == 34.0
 
 
+def test_palettes_axes_and_gauges():
+    assert charts.rating_colours(["5 - x", "1 - y"]) == {"5 - x": "#86A33B", "1 - y": "#EC2000"}
+    assert charts.rating_colours(["low", "mid", "high"]) == {"low": "#FF3300", "mid": "#FFCB3E", "high": "#86A33B"}
+    assert [b["from"] for b in charts.bands_nps()] == [-0.5, 6.5, 8.5] and charts.pal_brand(2) == ["#8FE2FF", "#43CEFF"]
+    assert charts.pct_axis([10, 60])["scale"]["domain"] == [0, 75] and "scale" not in charts.pct_axis()
+    g = charts.gauges({"a": 4.0, "b": 50})["rows"]
+    assert [(r["text"], r["at"]) for r in g] == [("4.00 / 5", 0.75), ("+50", 0.75)] and g[1]["bands"][0]["to"] == 0.5
+    assert charts.theme("y")["axisY"]["grid"] and not charts.theme("y")["axisX"]["grid"]
+
+
+def test_rating_grid(spark):
+    df = spark.createDataFrame([("Good", "Bad"), ("Good", "Odd"), ("Bad", "Bad")], "z_a string, z_b string")
+    spec = charts.rating_grid(df, "z_", levels=["Bad", "Good"])
+    assert spec["unranked"] == ["Odd"] and spec["clashes"] == {}
+    assert {r["answer"] for r in spec["data"]["values"]} == {"1 - Bad", "2 - Good", "NA - Odd"}
+    assert spec["encoding"]["y"]["sort"] == ["a", "b"]
+    with pytest.raises(ValueError, match="No columns"):
+        charts.rating_grid(df, "y_")
+
+
+def test_brand(tmp_path):
+    import zipfile
+
+    ns = "http://schemas.openxmlformats.org/drawingml/2006/main"
+    xml = f'<a:theme xmlns:a="{ns}"><a:clrScheme><a:dk1><a:sysClr lastClr="0a0a0a"/></a:dk1><a:accent1><a:srgbClr val="0b5394"/></a:accent1></a:clrScheme><a:fontScheme><a:minorFont><a:latin typeface="Georgia"/></a:minorFont></a:fontScheme></a:theme>'
+    with zipfile.ZipFile(tmp_path / "t.pptx", "w") as z:
+        z.writestr("ppt/theme/theme1.xml", xml)
+    info = brand.use_brand(str(tmp_path / "t.pptx"))
+    assert info["brand_colors"] == ["#0B5394"] and charts.pal_brand() == ["#0B5394"] and charts.theme()["font"] == "Georgia"
+    brand.clear_brand()
+    assert brand.brand_info()["brand_colors"] is None and charts.theme()["font"] == "sans-serif"
+    with pytest.raises(ValueError, match="template"):
+        brand.use_brand("x.pdf")
+
+
 def test_options_and_profiles(tmp_path):
     s = state.current()
     assert s.options(current_year=2030) == {"current_year": None} and s.option("current_year") == 2030
