@@ -62,3 +62,25 @@ def test_checkpoint(spark, tmp_path):
     assert files.Checkpoint(str(tmp_path / "run"), "other").finished == []
     (tmp_path / "run" / "manifest.json").write_text("{")
     assert files.Checkpoint(str(tmp_path / "run"), key).finished == []
+
+
+def test_reports(spark, tmp_path):
+    import json
+
+    from tallyforge.plans import charts
+    from tallyforge.sources import report
+
+    t = calc_percentage(spark.createDataFrame([("a|<b>",), ("b",)], "q string"), "q")
+    spec = charts.bars(t)
+    page = open(report.report_deck({"Part": None, "Shares": [t, spec], "Notes": ["one", "two"]}, str(tmp_path / "d.html"), title="Deck")).read()
+    assert "<h1>Deck</h1>" in page and "<td>a|&lt;b&gt;</td>" in page and "<li>two</li>" in page and "application/json" in page
+    text = open(report.Report("T").slide("S", t).save(str(tmp_path / "d.qmd"))).read()
+    assert text.startswith('---\ntitle: "T"') and "| a\\|<b> | 1 |" in text
+    assert json.load(open(report.save_output(spec, str(tmp_path / "c.json"))))["mark"]["type"] == "bar"
+    assert report.save_output(t, str(tmp_path / "t.csv")).endswith("csv")
+    with pytest.raises(ValueError, match="Reports end"):
+        report.Report().save(str(tmp_path / "d.key"))
+    with pytest.raises(ValueError, match="Only chart"):
+        report.save_output(3, "x.csv")
+    with pytest.raises(ValueError, match="500 rows"):
+        report.Report().add_table(spark.range(501))
