@@ -98,3 +98,14 @@ def test_pack_round_trip():
     a = [np.arange(5), np.array([2**63 + 1], np.uint64), np.repeat([0.1, 0.2], 200), np.zeros(0), np.array([-3, 7])]
     for x, y in zip(a, katz.unpack(katz.pack(*a))):
         assert (np.asarray(x) == y).all() and len(x) == len(y)
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(1)
+    big = rng.integers(0, 1 << 64, 1000, dtype=np.uint64)
+    whole = [[], [5], [0, 0, 0], [1, 2, 2, 300, 70000], [3, 1], [-1, 4], big, np.sort(big), np.sort(rng.integers(0, 90, 999))]
+    for a in map(np.array, [*whole, rng.random(100), np.repeat(rng.random(3), 50)]):
+        (b,) = katz.unpack(katz.pack(a))
+        assert np.array_equal(a, b)
+    a, b, c = katz.unpack(katz.pack(np.arange(10), np.repeat([0.5, 0.25], 100), np.zeros(0)))
+    assert [len(a), len(b), len(c)] == [10, 200, 0]
