@@ -448,4 +448,4 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op1_katz(spark, sf_dir: str) -> DataFrame:
-    return score_texts(read(spark, sf_dir, "documents"))
+    return score_texts(read(spark, sf_dir, "documents"), order=3)
