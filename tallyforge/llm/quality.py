@@ -3,9 +3,9 @@ r"""Quality rules whose thresholds adapt to each language and source.
 A scan computes a few numbers for every text.  For each (language, source, measure) a mergeable quantile
 sketch is built: logarithmic buckets with a fixed relative width, so that a sketch is a set of (bucket, count)
 rows, merging is adding counts, and a quantile is within `SKETCH_ERROR` of the true value whatever the
-order of merging.  Upper fences (third quartile plus three interquartile ranges) come from the sketches,
-held between a floor, under which no text is rejected however uniform its group, and a ceiling, which holds
-however bad a group is.  The thresholds are joined back and rows outside them are rejected.
+order of merging.  Upper fences (third quartile plus three interquartile ranges) come from the sketches; a
+group too uniform to have a range of its own takes a least range instead, and a ceiling holds however bad a
+group is.  The thresholds are joined back and rows outside them are rejected.
 
 Defined cases: a null text has no words and fails the base rule; null language or source is a group of its
 own; small groups take the limits of their language, or of all; an empty table gives an empty result; repeated
@@ -27,14 +27,14 @@ from pyspark.sql import types as T
 from tallyforge.llm.common import materialise, read
 
 SKETCH_ERROR = 0.01
-#: Upper limits: measure -> (floor, ceiling) of the adaptive threshold.
+#: Upper limits: measure -> (least interquartile range, ceiling) of the adaptive threshold.
 FENCES = {
-    "symbols_per_word": (0.10, 0.25),
-    "dup_line_share": (0.40, 0.60),
-    "repeat_share": (0.35, 0.50),
-    "mean_word_chars": (12.0, 40.0),
-    "pipe_share": (0.10, 0.25),
-    "upper_share": (0.60, 0.90),
+    "symbols_per_word": (0.02, 0.25),
+    "dup_line_share": (0.12, 0.60),
+    "repeat_share": (0.10, 0.50),
+    "mean_word_chars": (0.5, 40.0),
+    "pipe_share": (0.02, 0.25),
+    "upper_share": (0.05, 0.90),
 }
 #: Texts that a group needs for limits of its own.
 LEAST_GROUP = 30
@@ -140,8 +140,8 @@ def _fences(sk: DataFrame, keys: list[str], fences: dict, tag: str) -> DataFrame
     merged = sk.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     q = sketch_quantiles(merged, keys, {"q1": 0.25, "q3": 0.75})
     n = merged.filter(F.col("measure") == next(iter(fences))).groupBy(*keys).agg(F.sum("n").alias(f"n_{tag}"))
-    fence = F.col("q3") + 3 * (F.col("q3") - F.col("q1"))
-    held = [F.max(F.when(F.col("measure") == m, F.least(F.greatest(fence, F.lit(lo)), F.lit(hi)))).alias(f"{tag}_{m}") for m, (lo, hi) in fences.items()]
+    fence = lambda least: F.col("q3") + 3 * F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
+    held = [F.max(F.when(F.col("measure") == m, F.least(fence(least), F.lit(hi)))).alias(f"{tag}_{m}") for m, (least, hi) in fences.items()]
     q = q.groupBy(*keys).agg(*held)
     if not keys:
         return q.crossJoin(n)
