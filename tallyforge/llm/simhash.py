@@ -11,7 +11,8 @@
    survivors are verified bit by bit.
 4. A key with more than `CROWD` fingerprints is never compared pairwise.  Its fingerprints name every centre
    within one bit (65 each); two fingerprints within two bits share a centre, and a centre has 65 neighbours
-   at most, so linking each to its centre's smallest is exact and linear.
+   at most, so linking each to its centre's smallest is exact and linear.  Within fewer bits than two, a crowded
+   fingerprint is linked with those of its 64 neighbours that exist.
 5. Links join classes; components give each class its smallest document.
 
 Defined cases: a null or wordless text has fingerprint zero and is linked like any other; a text with fewer
@@ -133,10 +134,13 @@ def links(fps: DataFrame, distance: int = DISTANCE, crowd: int = CROWD) -> DataF
     crowded = met.filter(F.col("n") > crowd).select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
     near = crowded.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("centre"))
-    if distance < 2:
-        near = near.filter("false")
-    hubs = near.groupBy("centre").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("centre", "hub")
+    if distance < 2:  # a centre links what lies two bits apart; only those that are fingerprints themselves may
+        hubs = crowded.select(F.col("fp").alias("centre"), F.col("fp").alias("hub"))
+    else:
+        hubs = near.groupBy("centre").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("centre", "hub")
     spokes = near.join(hubs, "centre").filter("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
+    if distance < 2:
+        spokes = spokes.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
     return pairs.unionByName(spokes).distinct()
 
 
