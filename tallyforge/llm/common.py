@@ -15,13 +15,16 @@ WORD_RE = rf"[^{SPACE}]+"
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that all executors share.  It comes from ``spark.checkpoint.dir``; where that is
-    unset (tests, one machine) a temporary folder is taken and also set as the checkpoint folder."""
+    unset, a session on one machine takes a temporary folder and sets it as the checkpoint folder; a
+    cluster has to name one."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     set_before = spark.sparkContext.getCheckpointDir()
     if set_before:
         return set_before.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="tallyforge-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -85,3 +88,50 @@ def word_count(col: str = "text") -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+#: Bits of a bitmap of keys, at most: 16 MB, whatever the input.  It has 16 bits a key where that is less.
+MOST_BITS = 1 << 27
+_PAGE = 32768
+
+
+def bitmap(keys: DataFrame, key: Column, n: int) -> tuple[DataFrame, int]:
+    """A bitmap over the hash ``key`` of ``n`` keys: (pages of 4 KB, its number of bits)."""
+    bits = min(MOST_BITS, 1 << max(18, (16 * n - 1).bit_length()))
+    b = F.pmod(key, F.lit(bits))
+    pages = keys.select(b.alias("b")).groupBy((F.col("b") / _PAGE).cast("long").alias("_page"))
+    return pages.agg(F.bitmap_construct_agg(F.col("b") % _PAGE).alias("_bits")), bits
+
+
+def look_up(rows: DataFrame, pages: DataFrame, bits: int, key: Column, out: str) -> DataFrame:
+    """``rows`` with ``out``: whether the bit of ``key`` is set; every key of the bitmap is, and few others."""
+    b = F.pmod(key, F.lit(bits))
+    marked = rows.withColumn("_page", (b / _PAGE).cast("long")).withColumn("_at", (b % _PAGE).cast("int")).join(F.broadcast(pages), "_page", "left")
+    byte = F.expr("cast(conv(hex(substring(_bits, _at div 8 + 1, 1)), 16, 10) as int)")
+    there = F.coalesce((byte / F.pow(F.lit(2), F.col("_at") % 8)).cast("int") % 2 == 1, F.lit(False))
+    return marked.withColumn(out, there).drop("_page", "_at", "_bits")
+
+
+def row_keys(*cols: str) -> list[Column]:
+    """``k1, k2``: 128 bits that name a row by the values of ``cols``."""
+    return [F.xxhash64(F.lit(n), *cols).alias(f"k{n}") for n in (1, 2)]
+
+
+def keyed(docs: DataFrame, *cols: str) -> DataFrame:
+    """``row, k1, k2``: whole rows with their keys; no column's name can clash."""
+    return docs.select(F.struct("*").alias("row"), *row_keys(*cols))
+
+
+def with_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` (with ``k1, k2``) whose key is in ``keys``, joined with its other columns.  A bitmap, which a
+    broadcast brings to the rows, holds back most others, so that only rows like these are dealt out."""
+    pages, bits = bitmap(keys, F.col("k1"), keys.count())
+    return look_up(rows, pages, bits, F.col("k1"), "_in").filter("_in").drop("_in").join(keys, ["k1", "k2"])
+
+
+def without_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` (with ``k1, k2``) whose key is not in ``keys``: most stay where they are, and only those whose
+    bit is set are dealt out."""
+    pages, bits = bitmap(keys, F.col("k1"), keys.count())
+    marked = look_up(rows, pages, bits, F.col("k1"), "_in")
+    return marked.filter("NOT _in").drop("_in").unionByName(marked.filter("_in").drop("_in").join(keys.select("k1", "k2"), ["k1", "k2"], "left_anti").select(*rows.columns))

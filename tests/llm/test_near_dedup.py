@@ -45,10 +45,10 @@ def families(seed=3):
     return out + [(len(out), ""), (len(out) + 1, " \n")]
 
 
-@pytest.mark.parametrize("crowd", [2, 1024])
-def test_against_all_pairs(spark, crowd):
+@pytest.mark.parametrize("crowd, grams", [(2, 200), (near_dedup.CROWD, near_dedup.GRAMS)])
+def test_against_all_pairs(spark, crowd, grams):
     rows = families()
-    got = near_dedup.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd)
+    got = near_dedup.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd, grams=grams)
     assert {r["doc_id"] for r in got.collect()} == brute_kept(rows)
 
 
@@ -63,3 +63,35 @@ def test_awkward_tables(edge, clashing, empty):
     assert near_dedup.drop_similar(clashing).columns == clashing.columns
     assert near_dedup.drop_similar(clashing).count() == near_dedup.drop_similar(edge).count() <= edge.count()
     assert near_dedup.drop_similar(empty).count() == 0
+
+
+def test_groups_that_batches_cut(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    keys = sorted(rng.choice([1, 2, 3, 9, 9, 9]) for _ in range(50))
+    t = pa.table({"key": keys, "node": range(50)})
+    seen = []
+    for size in (1, 3, 7, 50):
+        seen.clear()
+        list(near_dedup.grouped(iter(t.to_batches(max_chunksize=size)), lambda g: seen.append((g["key"][0].as_py(), g["node"].to_pylist())) or []))
+        assert seen == [(k, [i for i in range(50) if keys[i] == k]) for k in (1, 2, 3, 9)]
+
+
+def test_forest_connects_what_is_near():
+    rng = random.Random(8)
+    for _ in range(200):
+        m = rng.randint(0, 30)
+        near = [[rng.random() < 0.05 for _ in range(m)] for _ in range(m)]
+        ok = lambda i, rest: near_dedup.np.array([near[min(i, j)][max(i, j)] for j in rest], bool)
+        edges = near_dedup.forest(m, ok)
+        assert len(edges) < max(m, 1) and all(near[min(e)][max(e)] for e in edges)
+
+        def groups(pairs):
+            root = list(range(m))
+            for a, b in pairs:
+                old, new = root[a], root[b]
+                root = [new if x == old else x for x in root]
+            return {frozenset(i for i in range(m) if root[i] == r) for r in root}
+
+        assert groups(edges) == groups([(i, j) for i in range(m) for j in range(i + 1, m) if near[i][j]])
