@@ -130,8 +130,10 @@ def with_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def without_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """``rows`` (with ``k1, k2``) whose key is not in ``keys``: most stay where they are, and only those whose
-    bit is set are dealt out."""
+    """``rows`` (with ``k1, k2``) whose key is not in ``keys``.  Rows whose bit is unset stay where they are.  Of
+    the others only keys are dealt out, and those that turn out to be absent bring back their few rows."""
     pages, bits = bitmap(keys, F.col("k1"), keys.count())
     marked = look_up(rows, pages, bits, F.col("k1"), "_in")
-    return marked.filter("NOT _in").drop("_in").unionByName(marked.filter("_in").drop("_in").join(keys.select("k1", "k2"), ["k1", "k2"], "left_anti").select(*rows.columns))
+    maybe = marked.filter("_in").drop("_in")
+    spared = materialise(maybe.select("k1", "k2").distinct().join(keys.select("k1", "k2"), ["k1", "k2"], "left_anti"), "spared")
+    return marked.filter("NOT _in").drop("_in").unionByName(with_keys(maybe, spared).select(*rows.columns))

@@ -4,7 +4,7 @@ Texts are equal when identical after each run of white space became one space.
 
 1. One scan writes (length, prefix hash) of every text, two numbers a row.
 2. Lengths that occur once are settled; among the others, (length, prefix hash) pairs that occur once
-   are settled too.  What survives is kept as a bitmap of a fixed number of bits over the pair's hash.
+   are settled too.  What survives is kept as a bitmap over the pair's hash, 16 bits a pair, 16 MB at most.
 3. A second scan computes the full hash (SHA-256) only for rows whose bit is set, and groups rows by
    (length, prefix hash, full hash).  A bit set by chance costs one needless hash, never a wrong group.
 
@@ -12,8 +12,9 @@ Texts never travel through a shuffle.  The largest group costs one row for each
 aggregation, and large groups are joined back by a broadcast of bounded size.
 
 Defined cases: a null text counts as empty; a null id never beats another id, and a group of null ids
-has a null ``keep_id``; rows that repeat one id are one document and are all marked alike; an empty
-table gives an empty result; other columns of the input are ignored, whatever their names.
+has a null ``keep_id``; rows that repeat one id are one document and are all marked alike, though
+`drop_exact_duplicates` leaves a single row of each group; an empty table gives an empty result; other columns
+of the input are ignored or passed through, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,15 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import join_groups, materialise, normalised, read
-
-#: Bits of the survivors' bitmap; 1 MB, whatever the input.
-BITMAP_BITS = 1 << 23
-_PAGE = 32768
-
-
-def _pair_hash(bits: int):
-    return F.pmod(F.xxhash64("n_chars", "prefix_hash"), F.lit(bits))
+from tallyforge.llm.common import bitmap, discard, join_groups, keyed, look_up, materialise, normalised, read, row_keys, with_keys, without_keys
 
 
 def surviving_pairs(keys: DataFrame) -> DataFrame:
@@ -39,39 +32,28 @@ def surviving_pairs(keys: DataFrame) -> DataFrame:
     return pairs.join(lengths, "n_chars", "left_semi").select("n_chars", "prefix_hash")
 
 
+def refined(docs: DataFrame, text_col: str, carry: list, prefix_chars: int, digest_all: bool = False) -> DataFrame:
+    """``carry``'s columns, ``group_key`` (equal for equal texts), ``full_hash`` and, if asked for, ``digest``."""
+    src = docs.select(F.struct(*carry).alias("own"), normalised(text_col).alias("norm"))
+    shape = src.select("own", "norm", F.length("norm").alias("n_chars"), F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("prefix_hash"))
+    keys = materialise(shape.select("n_chars", "prefix_hash"), "dedup-keys")
+    pairs = materialise(surviving_pairs(keys), "dedup-pairs")
+    pair = F.xxhash64("n_chars", "prefix_hash")
+    pages, bits = bitmap(pairs, pair, pairs.count())
+    rows = look_up(shape, pages, bits, pair, "alive")
+    digest = F.sha2(F.col("norm"), 256)
+    full = F.when(F.col("alive"), digest)
+    rows = rows.select("own.*", F.coalesce(full, F.concat_ws(":", "n_chars", "prefix_hash")).alias("group_key"), full.alias("full_hash"), *([digest.alias("digest")] if digest_all else []))
+    return materialise(rows, "dedup-rows")
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64, digest_all: bool = False) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for every row of ``docs``.
 
     ``keep_id`` is the smallest id of the row's group.  ``text_sha256`` is null where refinement
     settled the row without reading its text, unless ``digest_all`` asks for it in the report.
     """
-    src = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm"))
-    shape = src.select("doc_id", "norm", F.length("norm").alias("n_chars"), F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("prefix_hash"))
-    keys = materialise(shape.select("n_chars", "prefix_hash"), "dedup-keys")
-    bit = _pair_hash(BITMAP_BITS)
-    pages = (
-        surviving_pairs(keys)
-        .select(bit.alias("b"))
-        .groupBy((F.col("b") / _PAGE).cast("long").alias("page"))
-        .agg(F.bitmap_construct_agg((F.col("b") % _PAGE)).alias("bits"))
-    )
-    at = shape.withColumn("b", bit).withColumn("page", (F.col("b") / _PAGE).cast("long")).withColumn("at", (F.col("b") % _PAGE).cast("int"))
-    # at most BITMAP_BITS / 32768 rows of 4 KB
-    marked = at.join(F.broadcast(pages), "page", "left")
-    byte = F.expr("cast(conv(hex(substring(bits, at div 8 + 1, 1)), 16, 10) as int)")
-    alive = F.coalesce((byte / F.pow(F.lit(2), F.col("at") % 8)).cast("int") % 2 == 1, F.lit(False))
-    rows = marked.withColumn("alive", alive)
-    digest = F.sha2(F.col("norm"), 256)
-    rows = rows.select(
-        "doc_id",
-        "n_chars",
-        "prefix_hash",
-        F.when(F.col("alive"), digest).alias("full_hash"),
-        *([digest.alias("digest")] if digest_all else []),
-    )
-    rows = materialise(rows, "dedup-rows")
-    key = F.coalesce(F.col("full_hash"), F.concat_ws(":", "n_chars", "prefix_hash"))
-    rows = rows.withColumn("group_key", key)
+    rows = refined(docs, text_col, [F.col(id_col).alias("doc_id")], prefix_chars, digest_all)
     groups = rows.groupBy("group_key").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     many = materialise(groups.filter("group_size > 1"), "dedup-groups")
     out = join_groups(rows, many, "group_key", "group_size")
@@ -86,13 +68,24 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of equal texts, with all its columns; of rows that are alike in id and text, one."""
-    kept = exact_duplicates(docs, id_col, text_col, digest_all=True).filter("kept")
-    key = lambda i, h: F.concat_ws(":", F.coalesce(F.col(i).cast("string"), F.lit("null")), h)
-    keys = kept.select(key("doc_id", F.col("text_sha256")).alias("_key")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), key(id_col, F.sha2(normalised(text_col), 256)).alias("_key"))
-    return rows.join(keys, "_key", "left_semi").dropDuplicates(["_key"]).select("row.*")
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64) -> DataFrame:
+    """The row with the smallest id of each group of equal texts, with all its columns.  Only keys of rows that
+    go travel; texts stay where they are."""
+    name = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "k1", "k2")
+    rows = refined(docs, text_col, [F.col(id_col).alias("doc_id"), *row_keys(id_col, text_col)], prefix_chars)
+    groups = rows.groupBy("group_key").agg(F.min(name).alias("name"), F.count("*").alias("group_size"))
+    many = materialise(groups.filter("group_size > 1"), "dedup-groups")
+    # rows of one id and one text share a key: all of them go but one
+    copies = join_groups(rows.select("group_key", "k1", "k2"), many, "group_key", "group_size").filter("group_size > 1")
+    named = (F.col("k1") == F.col("name.k1")) & (F.col("k2") == F.col("name.k2"))
+    gone = materialise(copies.groupBy("k1", "k2").agg(F.max(named).alias("named"), F.count("*").alias("n")).filter("NOT named OR n > 1"), "dedup-gone")
+    discard(rows, many)
+    whole = keyed(docs, id_col, text_col)
+    left = without_keys(whole, gone)
+    twice = gone.filter("named").select("k1", "k2")
+    if twice.limit(1).count():
+        left = left.unionByName(with_keys(whole, twice).select(*whole.columns).dropDuplicates(["k1", "k2"]))
+    return left.select("row.*")
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -2,14 +2,18 @@ r"""Quality rules whose thresholds adapt to each language and source.
 
 A scan computes a few numbers for every text.  For each (language, source, measure) a mergeable quantile
 sketch is built: logarithmic buckets with a fixed relative width, so that a sketch is a set of (bucket, count)
-rows, merging is adding counts, and a quantile is within `SKETCH_ERROR` of the true value whatever the
-order of merging.  Upper fences (third quartile plus three interquartile ranges) come from the sketches; a
-group too uniform to have a range of its own takes a least range instead, and a ceiling holds however bad a
-group is.  The thresholds are joined back and rows outside them are rejected.
+rows, merging is adding counts, and a quantile lies in a known bucket whatever the order of merging.  A limit is a
+quartile plus or minus a multiple of the distance between the quartiles; no limit is fixed, and none has a floor or a
+ceiling.  Shares are smoothed by `ONE` case in `WORDS` words (or lines), so that a group whose texts have no case at
+all still has a spread: that of what its texts could show, given their lengths.
+
+A group's sketch is shrunk towards its language's, and that towards all: `PRIOR` texts spread as the parent's are
+added to it, which decide in a tiny group and hardly count in a large one.  The limits are joined back and rows outside
+them are rejected.
 
 Defined cases: a null text has no words and fails the base rule; null language or source is a group of its
-own; small groups take the limits of their language, or of all; an empty table gives an empty result; repeated
-rows are judged alike; other columns pass through `filter_quality` untouched.
+own; an empty table gives an empty result; repeated rows are judged alike; other columns pass through
+`filter_quality` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,20 +28,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm.common import materialise, read
+from tallyforge.llm.common import keyed, materialise, read, row_keys, without_keys
 
 SKETCH_ERROR = 0.01
-#: Upper limits: measure -> (least interquartile range, ceiling) of the adaptive threshold.
+#: measure -> quartile distances that a text may lie below the first and above the third quartile.
 FENCES = {
-    "symbols_per_word": (0.02, 0.25),
-    "dup_line_share": (0.12, 0.60),
-    "repeat_share": (0.10, 0.50),
-    "mean_word_chars": (0.5, 40.0),
-    "pipe_share": (0.02, 0.25),
-    "upper_share": (0.05, 0.90),
+    "symbols_per_word": (None, 12.0),
+    "dup_line_share": (None, 12.0),
+    "mean_word_chars": (6.0, 6.0),
+    "bare_share": (None, 12.0),
+    "upper_share": (None, 12.0),
 }
-#: Texts that a group needs for limits of its own.
-LEAST_GROUP = 30
+#: Smoothing of shares: so many cases and units that each text is taken to have besides its own.
+ONE, WORDS, LINES = 1.0, 50.0, 10.0
+#: Texts that a parent's sketch adds to a group's.
+PRIOR = 30
+#: Groups whose limits may be broadcast, a few dozen bytes each; beyond that they are joined by key.
+MOST_GROUPS = 50_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOLS = str.maketrans("", "", "#*$%&|<>")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_upper_words", "n_bare_words")
@@ -80,31 +87,26 @@ def measures(text: str | None) -> tuple[int, ...]:
     )
 
 
-def measured(docs: DataFrame, text_col="text", lang_col="lang", source_col="source", carry: list[str] | None = None) -> DataFrame:
+def measured(docs: DataFrame, text_col="text", lang_col="lang", source_col="source", carry: list | None = None) -> DataFrame:
     """``row, lang, source`` and numbers for each text; ``row`` holds the columns of ``carry`` (all if None),
     so that no name of theirs can clash with a measure's."""
-    carried = docs.select(F.struct(*(docs.columns if carry is None else carry)).alias("row"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
-    held = carry is None or text_col in carry
-    src = carried.drop("text") if held else carried
+    src = docs.select(F.struct(*(docs.columns if carry is None else carry or [F.lit(0).alias("none")])).alias("row"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(0).field(text_col) if held else b.column(1)
-            rows = [measures(t.as_py()) for t in texts]
+            rows = [measures(t.as_py()) for t in b.column(3)]
             cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(COUNTS))]
-            kept = [b.column(k) for k, n in enumerate(b.schema.names) if n != "text"]
-            yield pa.RecordBatch.from_arrays([*kept, *cols], names=["row", "lang", "source", *COUNTS])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *cols], names=["row", "lang", "source", *COUNTS])
 
-    schema = T.StructType([*(f for f in src.schema.fields if f.name != "text"), *(T.StructField(c, T.LongType()) for c in COUNTS)])
+    schema = T.StructType([*src.schema.fields[:3], *(T.StructField(c, T.LongType()) for c in COUNTS)])
     out = src.mapInArrow(run, schema)
-    per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    share = lambda a, b, more=WORDS: (F.col(a) + ONE) / (F.col(b) + more)
     return (
-        out.withColumn("symbols_per_word", per("n_symbols", "n_words"))
-        .withColumn("dup_line_share", per("n_dup_lines", "n_lines"))
-        .withColumn("repeat_share", per("n_repeat_words", "n_words"))
-        .withColumn("mean_word_chars", per("word_chars", "n_words"))
-        .withColumn("pipe_share", per("n_bare_words", "n_words"))
-        .withColumn("upper_share", per("n_upper_words", "n_words"))
+        out.withColumn("symbols_per_word", share("n_symbols", "n_words"))
+        .withColumn("dup_line_share", share("n_dup_lines", "n_lines", LINES))
+        .withColumn("mean_word_chars", F.when(F.col("n_words") > 0, F.col("word_chars") / F.col("n_words")).otherwise(0.0))
+        .withColumn("bare_share", share("n_bare_words", "n_words"))
+        .withColumn("upper_share", share("n_upper_words", "n_words"))
     )
 
 
@@ -124,64 +126,70 @@ def merge_sketches(*parts: DataFrame) -> DataFrame:
     return out.groupBy(*[c for c in out.columns if c != "n"]).agg(F.sum("n").alias("n"))
 
 
-def sketch_quantiles(sk: DataFrame, keys: list[str], probs: dict[str, float], error: float = SKETCH_ERROR) -> DataFrame:
-    """``keys, measure`` and a column for each of ``probs``.  A sketch has a bounded number of buckets,
-    so the window over one sketch is bounded too."""
+def sketch_quantiles(sk: DataFrame, keys: list[str], probs: dict[str, tuple[float, int]], error: float = SKETCH_ERROR) -> DataFrame:
+    """``keys, measure`` and a column for each of ``probs``, name -> (probability, edge): the lower (0) or upper (1)
+    edge of the bucket that holds the quantile.  A sketch has a bounded number of buckets, so the window over one
+    sketch is bounded too."""
     g = math.log((1 + error) / (1 - error))
     whole = Window.partitionBy(*keys, "measure")
     run = whole.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     t = sk.withColumn("upto", F.sum("n").over(run)).withColumn("total", F.sum("n").over(whole))
-    mid = F.when(F.col("bucket").isNull(), 0.0).otherwise(F.exp((F.col("bucket") - 0.5) * g))
-    return t.groupBy(*keys, "measure").agg(*[F.min(F.when(F.col("upto") >= F.col("total") * p, mid)).alias(name) for name, p in probs.items()])
-
-
-def _fences(sk: DataFrame, keys: list[str], fences: dict, tag: str) -> DataFrame:
-    """``keys``, the number of texts, and one upper limit for each measure, from sketches merged by ``keys``."""
-    merged = sk.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
-    q = sketch_quantiles(merged, keys, {"q1": 0.25, "q3": 0.75})
-    n = merged.filter(F.col("measure") == next(iter(fences))).groupBy(*keys).agg(F.sum("n").alias(f"n_{tag}"))
-    fence = lambda least: F.col("q3") + 3 * F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
-    held = [F.max(F.when(F.col("measure") == m, F.least(fence(least), F.lit(hi)))).alias(f"{tag}_{m}") for m, (least, hi) in fences.items()]
-    q = q.groupBy(*keys).agg(*held)
-    if not keys:
-        return q.crossJoin(n)
-    return _join_null_safe(q, n, keys)
+    edge = lambda e: F.when(F.col("bucket").isNull(), 0.0).otherwise(F.exp((F.col("bucket") + (e - 1)) * g))
+    return t.groupBy(*keys, "measure").agg(*[F.min(F.when(F.col("upto") >= F.col("total") * (p - 1e-9), edge(e))).alias(name) for name, (p, e) in probs.items()])
 
 
-def _join_null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+def _join_null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     b = b.select(*[F.col(k).alias(f"_b_{k}") for k in keys], *[c for c in b.columns if c not in keys])
     on = F.lit(True)
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_b_{k}"))
-    return a.join(b, on, "left").drop(*[f"_b_{k}" for k in keys])
+    return a.join(b, on, how).drop(*[f"_b_{k}" for k in keys])
+
+
+def shrunk(part: DataFrame, parent: DataFrame, keys: list[str], parent_keys: list[str], prior: float = PRIOR) -> DataFrame:
+    """``part``'s sketches with ``prior`` texts more, spread over the buckets as the parent's are."""
+    totals = parent.groupBy(*parent_keys, "measure").agg(F.sum("n").alias("total"))
+    share = _join_null_safe(parent, totals, [*parent_keys, "measure"]).withColumn("n", F.col("n") * F.lit(float(prior)) / F.col("total")).drop("total")
+    groups = part.select(*keys, "measure").distinct()
+    more = _join_null_safe(groups, share, [*parent_keys, "measure"], "inner")
+    return merge_sketches(part.withColumn("n", F.col("n").cast("double")), more.select(*part.columns))
 
 
-def thresholds(rows: DataFrame, fences=FENCES, least: int = LEAST_GROUP) -> DataFrame:
-    """One row for each (language, source), one column for each measure.  A group of fewer than ``least`` texts
-    takes the limits of its language's merged sketches, a language as small those of all."""
-    sk = sketch(rows, ["lang", "source"], list(fences))
-    own, lang, everything = (_fences(sk, keys, fences, tag) for keys, tag in ((["lang", "source"], "own"), (["lang"], "lang"), ([], "all")))
-    t = _join_null_safe(own, lang, ["lang"]).crossJoin(everything)
-    pick = lambda m: F.when(F.col("n_own") >= least, F.col(f"own_{m}")).when(F.col("n_lang") >= least, F.col(f"lang_{m}")).otherwise(F.col(f"all_{m}"))
-    return t.select("lang", "source", *[pick(m).alias(f"max_{m}") for m in fences])
+def thresholds(rows: DataFrame, fences=FENCES, prior: float = PRIOR) -> DataFrame:
+    """One row for each (language, source): ``min_`` and ``max_`` of each measure (null: no limit)."""
+    sk = materialise(sketch(rows, ["lang", "source"], list(fences)), "quality-sketch")
+    merged = lambda keys: sk.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+    lang = shrunk(merged(["lang"]), merged([]), ["lang"], [], prior)
+    own = shrunk(sk, lang, ["lang", "source"], ["lang"], prior)
+    q = sketch_quantiles(own, ["lang", "source"], {"q1": (0.25, 0), "q3": (0.75, 1)})
+    gap = F.col("q3") - F.col("q1")
+    low = lambda m, k: F.max(F.when(F.col("measure") == m, F.col("q1") - F.lit(k) * gap)).alias(f"min_{m}")
+    high = lambda m, k: F.max(F.when(F.col("measure") == m, F.col("q3") + F.lit(k) * gap)).alias(f"max_{m}")
+    return q.groupBy("lang", "source").agg(*[f(m, k) for m, both in fences.items() for f, k in zip((low, high), both) if k is not None])
 
 
-def judged(docs: DataFrame, fences=FENCES, min_words: int = 50, **cols) -> DataFrame:
+def judged(docs: DataFrame, fences=FENCES, min_words: int = 50, prior: float = PRIOR, **cols) -> DataFrame:
     """``measured`` plus ``base_failed`` and ``kept``."""
     rows = materialise(measured(docs, **cols), "quality-measures")
-    limits = thresholds(rows, fences)
+    limits = materialise(thresholds(rows, fences, prior), "quality-limits")
     limits = limits.withColumnRenamed("lang", "t_lang").withColumnRenamed("source", "t_source")
+    limits = F.broadcast(limits) if limits.count() <= MOST_GROUPS else limits
     out = rows.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left").drop("t_lang", "t_source")
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     over = F.lit(False)
-    for m in fences:
-        over = over | (F.col(m) > F.col(f"max_{m}"))
+    for m, (low, high) in fences.items():
+        over = over | (F.col(m) < F.col(f"min_{m}")) if low is not None else over
+        over = over | (F.col(m) > F.col(f"max_{m}")) if high is not None else over
     return out.withColumn("base_failed", base).withColumn("kept", ~base & ~F.coalesce(over, F.lit(False)))
 
 
-def filter_quality(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns."""
-    return judged(docs, **options).filter("kept").select("row.*")
+def filter_quality(docs: DataFrame, text_col="text", lang_col="lang", source_col="source", **options) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns.  Texts are measured where they are, and only keys
+    of rejected rows travel."""
+    cols = (text_col, lang_col, source_col)
+    found = judged(docs, text_col=text_col, lang_col=lang_col, source_col=source_col, carry=row_keys(*cols), **options)
+    bad = materialise(found.filter("NOT kept").select("row.k1", "row.k2").distinct(), "quality-rejected")
+    return without_keys(keyed(docs, *cols), bad).select("row.*")
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
