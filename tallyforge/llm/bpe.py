@@ -21,6 +21,7 @@ import json
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -48,6 +49,9 @@ class Encoder:
 
     def __init__(self, spec: str, cache: int = 400_000):
         d = json.loads(spec)
+        odd = [t["content"] for t in d["added_tokens"] if any(t.get(k) for k in ("lstrip", "rstrip", "single_word", "normalized"))]
+        if odd:
+            raise ValueError(f"added tokens that strip, want whole words or are normalised are not supported: {odd}")
         byte = _byte_chars()
         vocab = d["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
@@ -209,25 +213,29 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes and decodes in one pass: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encodes and decodes in one pass: ``doc_id, n_tokens, ids_sha256, decoded_sha256``, and if asked for ``ids``."""
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec.value)
         names = enc.text_of_id.__getitem__
         for b in batches:
-            n, a, d = [], [], []
+            n, a, d, kept = [], [], [], []
             for text in b.column(1):
                 ids = enc.encode(text.as_py())
+                if with_ids:
+                    kept.append(np.array(ids, np.int32))
                 n.append(len(ids))
                 a.append(hashlib.sha256(",".join(map(names, ids)).encode()).hexdigest())
                 d.append(hashlib.sha256(enc.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(d)], schema=schema)
+            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), *([pa.array(kept, pa.list_(pa.int32()))] * with_ids)]
+            yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return src.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Each source is a line of words: its documents in an order that a hash of the id fixes, cut into blocks of
+Each source is a line of words: its documents in an order that a hash of id and text fixes, cut into blocks of
 ``block_tokens`` words.  A source's target is an integral number of words, so it needs so many slots; a
 golden-ratio sequence over the cumulative slot counts says which source each slot of the mix belongs to,
 slots are ranked within their source, and rank r takes block ``r mod blocks`` of pass ``r div blocks``.
@@ -8,11 +8,16 @@ Slots past a source's target are not used, and a source that the finite sequence
 slots at the end, so what a source gives is its target to the word.
 
 No step gathers a source in one task: positions and ranks are prefix sums over (source, chunk), and only
-per-source and per-chunk totals meet in a window.  The table of sources has one row a source.
+per-source and per-chunk totals meet in a window.  The table of sources has one row a source; its targets depend on
+all others' and are made in one task.
+
+The schedule decides when each document comes: ``first_slot`` is where the mix takes its first word for the first
+time, and `mixed` gives whole documents in the order of their slots.
 
 Defined cases: a null text has size 0 and is never taken; null is a source of its own, last in order; null
-ids and repeated rows are documents like others (equal rows are interchangeable); a source without words
-has target 0; an empty table gives an empty result.
+ids and repeated ids are documents like others; rows alike in id, text and source are interchangeable, and
+`mixed` gives as many of them as are due to all of them; a source without words has target 0; an empty table gives an
+empty result; other columns pass through `mixed`, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import materialise, read, word_count
+from tallyforge.llm.common import keyed, materialise, read, row_keys, with_keys, word_count
 
 #: Weights dealt to sources in order.
 WEIGHTS = (3, 1, 2)
@@ -65,17 +70,17 @@ def _prefix(df: DataFrame, keys: list[str], chunk: str, value, out: str) -> Data
 
 
 def placed(docs: DataFrame, seed: int) -> DataFrame:
-    """``doc_id, source, size, start``: where each document stands on its source's line of words."""
-    d = materialise(docs.withColumn("ord", F.xxhash64(F.lit(seed), "doc_id")), "mix-docs")
+    """``doc_id, k1, k2, source, size, start``: where each document stands on its source's line of words."""
+    d = materialise(docs.withColumn("ord", F.xxhash64(F.lit(seed), "k1", "k2")), "mix-docs")
     n = d.count()
     bits = max(0, (max(1, n) // CHUNK_DOCS).bit_length())
     d = d.withColumn("chunk", F.shiftright("ord", 63 - bits) if bits else F.lit(0).cast("long"))
     d = d.withColumn("s", F.struct(F.col("source").isNull(), F.coalesce("source", F.lit(""))))
     offsets = _prefix(d, ["s"], "chunk", F.sum("size"), "offset")
-    run = Window.partitionBy("s", "chunk").orderBy("ord", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = Window.partitionBy("s", "chunk").orderBy("ord", "k1", "k2").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("upto", F.sum("size").over(run))
     d = d.join(offsets, ["s", "chunk"])
-    return d.select("doc_id", "source", "size", (F.col("offset") + F.col("upto") - F.col("size")).alias("start"))
+    return d.select("doc_id", "k1", "k2", "source", "size", (F.col("offset") + F.col("upto") - F.col("size")).alias("start"))
 
 
 def schedule(targets: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -119,15 +124,14 @@ def schedule(targets: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     return out.select("slot", "src", "rank", "epoch", "block", tokens.cast("long").alias("tokens"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_tokens: int = BLOCK_TOKENS, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """(documents, schedule).  Documents: ``doc_id, size, source, source_size, target, taken, copies``;
-    ``copies`` counts the passes that take the document's first word."""
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"))
+def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, block_tokens: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    sized = docs.select(F.col(id_col).alias("doc_id"), *row_keys(id_col, text_col, source_col), F.col(source_col).alias("source"), word_count(text_col).alias("size"))
     at = materialise(placed(sized, seed), "mix-placed")
     targets = materialise(source_targets(at.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-sources")
     plan = materialise(schedule(targets, block_tokens), "mix-schedule")
     d = at.join(targets, at["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    takes = plan.groupBy("src", "block", "tokens").agg(F.count("*").alias("times"))
+    # a block is taken once in a pass, so this gathers a few slots
+    takes = plan.groupBy("src", "block", "tokens").agg(F.count("*").alias("times"), F.collect_list("slot").alias("at"))
     end = F.col("start") + F.col("size")
     pieces = d.filter("size > 0").select("src", "start", end.alias("end"), F.explode(F.sequence(F.floor(F.col("start") / block_tokens), F.floor((end - 1) / block_tokens))).alias("block"))
     from_ = F.greatest(F.col("start"), F.col("block") * block_tokens)
@@ -136,23 +140,38 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken = (
         pieces.join(takes, ["src", "block"])
         .groupBy("src", "start")
-        .agg(F.sum(F.greatest(to - from_, F.lit(0)) * F.col("times")).alias("t"), F.sum(F.when(first, F.col("times")).otherwise(0)).alias("c"))
+        .agg(F.sum(F.greatest(to - from_, F.lit(0)) * F.col("times")).alias("t"), F.array_sort(F.flatten(F.collect_list(F.when(first, F.col("at"))))).alias("slots"))
     )
     # a document without words shares its start with the next one: it has no row to meet
     key = F.when(F.col("size") > 0, F.col("start")).otherwise(F.lit(-1))
     out = d.withColumn("start", key).join(taken, ["src", "start"], "left")
-    out = out.select(
-        "doc_id", "size", "source", "source_size", "target",
-        F.coalesce("t", F.lit(0)).cast("long").alias("taken"), F.coalesce("c", F.lit(0)).cast("long").alias("copies"),
-    )
-    return out, plan
+    return out.withColumn("taken", F.coalesce("t", F.lit(0)).cast("long")), plan
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mix as whole documents, with all their columns: each once for every pass that takes its first word."""
-    found = mix(docs, id_col, **options)[0].filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").cast("int").alias("_copies"))
-    rows = docs.select(F.col(id_col).alias("_own"), F.struct("*").alias("_row")).join(found, F.col("_own").eqNullSafe(F.col("_id")))
-    return rows.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select("_row.*")
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_tokens: int = BLOCK_TOKENS, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+    """(documents, schedule).  Documents: ``doc_id, size, source, source_size, target, taken, copies, first_slot``;
+    ``copies`` counts the passes that take the document's first word, ``first_slot`` is where the first does."""
+    out, plan = _mix(docs, id_col, text_col, source_col, block_tokens, seed)
+    copies = F.coalesce(F.size("slots"), F.lit(0)).cast("long")
+    return out.select("doc_id", "size", "source", "source_size", "target", "taken", F.when(copies > 0, copies).otherwise(0).alias("copies"), F.array_min("slots").alias("first_slot")), plan
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_tokens: int = BLOCK_TOKENS, seed: int = 17) -> DataFrame:
+    """The mix as whole documents, with all their columns, in the order of their slots: partitions follow one
+    another, and rows in them.  A document comes once for every pass that takes its first word."""
+    found, plan = _mix(docs, id_col, text_col, source_col, block_tokens, seed)
+    places = F.transform("slots", lambda x: F.struct(x.alias("slot"), F.col("start")))
+    due = found.filter(F.size("slots") > 0).groupBy("k1", "k2").agg(F.flatten(F.collect_list(places)).alias("places"))
+    copies = found.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").select("k1", "k2")
+    due = materialise(due.join(copies.withColumn("many", F.lit(True)), ["k1", "k2"], "left"), "mix-due")
+    rows = keyed(docs, id_col, text_col, source_col)
+    got = rows.join(due.filter("many IS NULL"), ["k1", "k2"])
+    got = got.unionByName(with_keys(rows, due.filter("many")).dropDuplicates(["k1", "k2"]).select(*got.columns))
+    got = got.select("row", F.explode("places").alias("place"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = (plan.agg(F.max("slot")).first()[0] or 0) + 1
+    part = F.least(F.floor(F.col("place.slot") * n / total), F.lit(n - 1)).cast("int")
+    return got.repartitionById(n, part).sortWithinPartitions("place").select("row.*")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

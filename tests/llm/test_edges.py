@@ -1,5 +1,7 @@
 """Every operator on the awkward table, the empty table and clashing names: no crash, one row a document."""
 
+from collections import Counter
+
 import pytest
 
 from tallyforge.llm import bpe, exact_dedup, html_text, katz, mixing, pii, quality, simhash, token_counts, url_filter
@@ -26,12 +28,22 @@ def test_one_row_a_document(name, edge, clashing, empty):
 
 
 def test_filters_keep_all_columns(edge, clashing, empty):
-    for f in (quality.filter_quality, exact_dedup.drop_exact_duplicates, simhash.drop_near_duplicates, mixing.mixed):
+    for f in (quality.filter_quality, exact_dedup.drop_exact_duplicates, simhash.drop_near_duplicates):
         assert f(clashing).columns == clashing.columns
-        assert f(clashing).count() == f(edge).count() <= 2 * edge.count()
+        assert f(clashing).count() == f(edge).count() <= edge.count()
         assert f(empty).count() == 0
 
 
+def test_the_mix_holds_what_is_due(spark, edge, clashing, empty):
+    prose = [f"w{i} " * 9 for i in range(20)]
+    same = spark.createDataFrame([(None, "the same words", "s")] * 20 + [(None, t, "s") for t in prose] + [(i, t, "s") for i, t in enumerate(prose)] + [(7, None, None)] * 3, "doc_id long, text string, source string")
+    for d in (same, edge, clashing, empty):
+        due = mixing.mix(d, block_tokens=16)[0].agg({"copies": "sum"}).first()[0] or 0
+        got = mixing.mixed(d, block_tokens=16)
+        assert got.columns == d.columns and got.count() == due
+    assert Counter(r["text"] for r in mixing.mixed(same, block_tokens=16).collect())["the same words"] <= 40
+
+
 def test_repeated_rows_leave_one(edge):
     kept = exact_dedup.drop_exact_duplicates(edge).collect()
     assert sum(r["doc_id"] == 5 for r in kept) == 1
