@@ -2,6 +2,16 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last
 return the columns of ``documents``.  ``run`` writes each stage's rows to the shared folder and reads them back.
+
+* quality_rules: rows outside their group's limits go, and so do those of more than half repeated words; short texts
+  stay, as long as they have a word (``min_words=1``: short is not bad).
+* exact_dedup, simhash_near_dedup: of each group the row with the smallest id stays (near: 0.8 of five-word shingles).
+* mixing: rows come in the order of the mix, once for every pass over their source that reaches them.
+* bpe: the ids themselves, with the digests of a round trip.
+
+Defined cases: a null text counts as empty, and quality_rules drops it, as it does blank texts; null ids, languages
+and sources are values like others; repeated rows are copies; a stage's empty input makes an empty output; columns
+that ``documents`` doesn't have are left out.
 """
 
 from __future__ import annotations
@@ -15,7 +25,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.filter_quality(docs).select(*COLUMNS)
+    return quality.filter_quality(docs, min_words=1).select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +41,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(docs, bpe.default_path())
+    return bpe.round_trip(docs, bpe.default_path(), with_ids=True)
 
 
 STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact), ("simhash_near_dedup", near), ("mixing", mixture), ("bpe", encoding)]
