@@ -31,6 +31,8 @@ from tallyforge.llm.common import read
 
 #: Fixed pattern of the byte-level pre-tokeniser.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Ids that a task holds before it hands rows on.
+OUT_TOKENS = 1 << 18
 _NONE = 1 << 62
 _POS = (1 << 32) - 1
 
@@ -222,17 +224,25 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec.value)
         names = enc.text_of_id.__getitem__
+
+        def out(b: pa.RecordBatch) -> pa.RecordBatch:
+            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), *([pa.array(kept, pa.list_(pa.int32()))] * with_ids)]
+            return pa.RecordBatch.from_arrays(cols, schema=schema)
+
         for b in batches:
-            n, a, d, kept = [], [], [], []
-            for text in b.column(1):
+            n, a, d, kept, first, held = [], [], [], [], 0, 0
+            for k, text in enumerate(b.column(1)):
                 ids = enc.encode(text.as_py())
                 if with_ids:
                     kept.append(np.array(ids, np.int32))
                 n.append(len(ids))
+                held += len(ids)
                 a.append(hashlib.sha256(",".join(map(names, ids)).encode()).hexdigest())
                 d.append(hashlib.sha256(enc.decode(ids).encode()).hexdigest())
-            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()), *([pa.array(kept, pa.list_(pa.int32()))] * with_ids)]
-            yield pa.RecordBatch.from_arrays(cols, schema=schema)
+                if with_ids and held >= OUT_TOKENS:
+                    yield out(b.slice(first, k + 1 - first))
+                    n, a, d, kept, first, held = [], [], [], [], k + 1, 0
+            yield out(b.slice(first))
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return src.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
