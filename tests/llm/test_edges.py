@@ -62,9 +62,16 @@ def test_pages(spark):
     assert url_filter.filter_urls(none).collect() == [] == html_text.main_text(none).collect()
 
 
-def test_token_streams(edge, empty):
+@pytest.mark.parametrize("files", [True, False])
+def test_token_streams(edge, clashing, empty, files, monkeypatch):
     path = bpe.default_path()
-    for d in (edge, empty):
-        blocks, order = token_counts.flatten(d, path, 50256, block_tokens=1000)
-        got = order.join(token_counts.count_tokens(blocks, 50256), ["file", "ordinal"])
-        assert got.count() == d.count()
+    if not files:
+        monkeypatch.setattr(token_counts, "opens", lambda p: False)
+    want = sorted((str(r["doc_id"]), r["n_tokens"]) for r in bpe.round_trip(edge, path).collect())
+    for d in (edge, clashing):
+        for block in (1, 1000, 1 << 16):
+            if block > 1 or d is edge:
+                got = token_counts.token_counts(d.repartition(2), path, block_tokens=block if block > 1 else 7)
+                assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in got.collect()) == want
+    assert token_counts.token_counts(empty, path).collect() == []
+    assert ("0", 0) in want and ("11", 4) in want  # null; two tokens that look like separators and two between
