@@ -1,20 +1,23 @@
 r"""Main text of web pages, by differencing each page with its nearest neighbour by URL.
 
-1. A pass turns each page into lines: one line for each block of text, with a mark for where it stands
-   (inside an article, outside one, or inside an element that is boilerplate by its tag, role or class).
+1. A pass turns each page into lines: one line for each block of text, with its position (the block elements that
+   are open, with their classes) and a mark for where it stands (inside an article, outside one, or inside an element
+   that is boilerplate by its tag, role or class).
 2. Pages are sorted by host and path over all machines; a page's neighbour is the page before or after it on
    the same host whose path shares the longer prefix with its own.  Only keys are sorted, and only hashes of
-   the lines outside articles travel to a neighbour.  Lines are made again in the last pass rather than stored.
-3. Each page's lines are aligned with its neighbour's by longest common subsequence (bit-parallel rows), and
-   what both share is deleted, with one exception: the lines of a marked article stay even if shared, for
-   copies of one article under two URLs are no boilerplate.
-4. What stays is the text: if the page marks an article, the article's lines; else the unshared lines that
-   are not in boilerplate elements.
+   lines travel to a neighbour.  Lines are made again in the last pass rather than stored.
+3. Each page's lines are aligned with its neighbour's by longest common subsequence (bit-parallel rows).  What both
+   share is deleted if it stands where the host repeats itself: at a position where more than half of all lines of the
+   host's pages are shared.  So a passage that two articles quote stays, and a notice inside all articles goes.
+   A page that shares most lines of its article (or, without an article, all its lines) is a copy of its
+   neighbour: it has no say in which positions repeat, but loses its lines there like others.
+4. Structure decides on the rest: lines in elements that are boilerplate go, and where an article is marked so does
+   what stands outside it.
 
 Defined cases: a null or empty page has empty text; a page alone on its host is judged by its structure; a
 null URL, or one without a host, has no neighbour; repeated rows and null ids are extracted each on their own
 (a copy of a page under the same URL is not taken for its neighbour); an empty table gives an empty result;
-other columns are ignored.
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import materialise, read
+from tallyforge.llm.common import discard, join_groups, materialise, read, row_keys
 from tallyforge.llm.url_filter import canonical
 
 #: Elements that are never main text.
@@ -40,16 +43,16 @@ BLOCKS = frozenset(
     "legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of a class, id or role that mark boilerplate.
+#: Words of a class, id or role that mark boilerplate, whether other pages repeat it or not.
 _MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert sidebar menu navbar nav navigation "
-    "breadcrumb breadcrumbs pagination pager footer header masthead topbar comment comments disqus respond reply replies share sharing social newsletter subscribe subscription "
-    "signup login popup modal overlay related recommended widget toolbar skip complementary contentinfo search".split()
+    "menu menubar navbar nav navigation breadcrumb breadcrumbs footer sidebar complementary contentinfo notice notices cookie cookies consent gdpr "
+    "ad ads advert adverts advertisement advertising sponsored comment comments disqus".split()
 )
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
 _MARKED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 _SPLIT = re.compile(r"[^A-Za-z0-9]+")
+_CLASS = re.compile(r"""(?:^|\s)class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 INSIDE, OUTSIDE, BOILERPLATE = 0, 1, 2
 
 
@@ -64,23 +67,32 @@ def _boilerplate(name: str, attrs: str, in_article: bool) -> bool:
     return bool(words & _MARKS)
 
 
-def page_lines(page: str | None) -> list[tuple[int, str]]:
-    """(where, text) for each block of text, in page order."""
-    out: list[tuple[int, str]] = []
+def _label(name: str, attrs: str) -> str:
+    found = _CLASS.search(attrs) if attrs else None
+    return ".".join([name, *sorted((found[1] or found[2] or found[3] or "").split())]) if found else name
+
+
+def page_lines(page: str | None) -> list[tuple[int, str, int]]:
+    """(where, text, position) for each block of text, in page order."""
+    out: list[tuple[int, str, int]] = []
     held: list[str] = []
-    stack: list[tuple[str, bool]] = []  # open elements; whether the element begins boilerplate
+    stack: list[tuple[str, bool, str]] = []  # open elements; whether the element begins boilerplate; its label if a block
     bad = article = seen = 0
+    at_path: dict[str, int] = {}
 
     def close_line() -> None:
         if held:
             line = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if line:
-                out.append((BOILERPLATE if bad else INSIDE if article else OUTSIDE, line))
+                path = "/".join(label for _, _, label in stack if label)
+                if path not in at_path:
+                    at_path[path] = line_hash(path)
+                out.append((BOILERPLATE if bad else INSIDE if article else OUTSIDE, line, at_path[path]))
 
     def pop() -> None:
         nonlocal bad, article
-        name, was_bad = stack.pop()
+        name, was_bad, _ = stack.pop()
         bad -= was_bad
         article -= name in ("article", "main")
 
@@ -103,15 +115,15 @@ def page_lines(page: str | None) -> list[tuple[int, str]]:
             held.append(" ")
             continue
         if closing:
-            if any(x == name for x, _ in stack):
+            if any(x[0] == name for x in stack):
                 while stack[-1][0] != name:
                     pop()
                 pop()
             continue
         if name in VOID or attrs.endswith("/"):
             continue
-        if name in BLOCKS and stack and any(x == "p" for x, _ in stack[-4:]):  # a block ends an open paragraph
-            while any(x == "p" for x, _ in stack[-4:]):
+        if name in BLOCKS and stack and any(x[0] == "p" for x in stack[-4:]):  # a block ends an open paragraph
+            while any(x[0] == "p" for x in stack[-4:]):
                 pop()
         own = _boilerplate(name, attrs, bool(article))
         if name in ("article", "main") and not own:
@@ -119,7 +131,7 @@ def page_lines(page: str | None) -> list[tuple[int, str]]:
                 while bad:
                     pop()
             seen += not bad
-        stack.append((name, own))
+        stack.append((name, own, _label(name, attrs) if name in BLOCKS else ""))
         bad += own
         article += name in ("article", "main")
         if name in RAW:
@@ -176,43 +188,62 @@ def shared_lines(a: list[int], b: list[int]) -> set[int]:
 
 
 def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What a page's neighbours have to know: its place and the hashes of its lines outside articles."""
-    schema = pa.schema([("row", pa.string()), ("host", pa.string()), ("path", pa.string()), ("hashes", pa.list_(pa.int64()))])
+    """What a page's neighbours have to know: its place and the hashes of its lines; and the lines' places."""
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("hashes", pa.list_(pa.int64())), ("spots", pa.list_(pa.int64())), ("places", pa.list_(pa.int8()))])
     for b in batches:
-        parts = [canonical(u) for u in b.column(2).to_pylist()]
-        hashes = [[line_hash(t) for w, t in page_lines(x.as_py()) if w != INSIDE] for x in b.column(3)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h for h, _ in parts]), pa.array([p for _, p in parts]), pa.array(hashes, pa.list_(pa.int64()))], schema=schema)
+        parts = [canonical(u) for u in b.column(3).to_pylist()]
+        got = [page_lines(x.as_py()) for x in b.column(4)]
+        cols = [pa.array([h for h, _ in parts], pa.string()), pa.array([p for _, p in parts], pa.string()), pa.array([[line_hash(t) for _, t, _ in g] for g in got], pa.list_(pa.int64()))]
+        cols += [pa.array([[s for _, _, s in g] for g in got], pa.list_(pa.int64())), pa.array([[w for w, _, _ in g] for g in got], pa.list_(pa.int8()))]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], schema=schema)
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("row", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("places", pa.list_(pa.int8())), ("lines", pa.list_(pa.string()))])
+def is_copy(places: list[int], shared: set[int]) -> bool:
+    """Whether a page that shares these lines is a copy of its neighbour."""
+    inside = [i for i, w in enumerate(places) if w == INSIDE]
+    return 2 * sum(i in shared for i in inside) > len(inside) if inside else len(shared) == len(places)
+
+
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which lines of a page its neighbour shares, and whether the page votes."""
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("host", pa.string()), ("spots", pa.list_(pa.int64())), ("shared", pa.list_(pa.bool_())), ("votes", pa.bool_())])
     for b in batches:
-        got = [page_lines(x.as_py()) for x in b.column(3)]
-        cols = [pa.array([[w for w, _ in g] for g in got], pa.list_(pa.int8())), pa.array([[t for _, t in g] for g in got], pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *cols], schema=schema)
+        flags, votes = [], []
+        for own, places, theirs in zip(*(b.column(k).to_pylist() for k in (4, 5, 6))):
+            shared = shared_lines(own, theirs)
+            flags.append([i in shared for i in range(len(own))])
+            votes.append(not is_copy(places, shared))
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(flags, pa.list_(pa.bool_())), pa.array(votes, pa.bool_())], schema=schema)
 
 
-def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts(structure: bool):
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for places, lines, gone in zip(*(b.column(k).to_pylist() for k in range(2, 5))):
+                gone, marked = set(gone or []), INSIDE in places
+                fits = lambda w: not structure or w == INSIDE or w == OUTSIDE and not marked  # noqa: B023, E731
+                texts.append("\n".join(t for i, (w, t) in enumerate(zip(places, lines)) if i not in gone and fits(w)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=schema)
+
+    return run
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("places", pa.list_(pa.int8())), ("lines", pa.list_(pa.string()))])
     for b in batches:
-        texts = []
-        for places, lines, other in zip(*(b.column(k).to_pylist() for k in range(2, 5))):
-            shared = shared_lines([line_hash(t) for w, t in zip(places, lines) if w != INSIDE], other or [])
-            outside, kept = -1, []
-            marked = INSIDE in places
-            for place, line in zip(places, lines):
-                outside += place != INSIDE
-                if place == INSIDE or not marked and place == OUTSIDE and outside not in shared:
-                    kept.append(line)
-            texts.append("\n".join(kept))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=schema)
+        got = [page_lines(x.as_py()) for x in b.column(4)]
+        cols = [pa.array([[w for w, _, _ in g] for g in got], pa.list_(pa.int8())), pa.array([[t for _, t, _ in g] for g in got], pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], *cols], schema=schema)
 
 
 def neighbours(pages: DataFrame) -> DataFrame:
-    """``row, other``: each page's nearest neighbour by URL, from ``row, host, path``."""
-    named = pages.filter("host <> ''").select("row", "host", "path")
-    keys = named.groupBy("host", "path").agg(F.min("row").alias("row"))  # one row for each URL
-    ordered = keys.repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row").withColumn("pos", F.monotonically_increasing_id())
+    """``k1, k2, o1, o2``: each page's nearest neighbour by URL, from ``k1, k2, host, path``."""
+    named = pages.filter("host <> ''").select("k1", "k2", "host", "path")
+    keys = named.groupBy("host", "path").agg(F.min(F.struct("k1", "k2")).alias("k"))  # one row for each URL
+    ordered = keys.repartitionByRange("host", "path").sortWithinPartitions("host", "path").withColumn("pos", F.monotonically_increasing_id())
     ordered = materialise(ordered, "html-order")
     part = F.shiftrightunsigned("pos", 33)
     counts = sorted((r["p"], r["n"]) for r in ordered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # one row a task
@@ -221,30 +252,44 @@ def neighbours(pages: DataFrame) -> DataFrame:
         offsets.append((p, total))
         total += n
     table = pages.sparkSession.createDataFrame(offsets or [(-1, 0)], "p long, offset long")
-    at = ordered.withColumn("p", part).join(table, "p").select("row", "host", "path", (F.col("offset") + F.col("pos") % F.lit(1 << 33)).alias("idx"))
+    at = ordered.withColumn("p", part).join(table, "p").select("k", "host", "path", (F.col("offset") + F.col("pos") % F.lit(1 << 33)).alias("idx"))
     at = materialise(at, "html-index")
-    prefix = lambda a, b: F.length(F.regexp_extract(F.concat(a, F.lit("\n"), b), "^([^\n]*)[^\n]*\n\\1", 1))
+    steps = F.array(*[F.lit(1 << k) for k in range(20, -1, -1)])
+    fits = lambda n: (n <= F.length("path")) & (n <= F.length("o_path")) & (F.col("path").substr(F.lit(1), n) == F.col("o_path").substr(F.lit(1), n))
+    prefix = F.aggregate(steps, F.lit(0), lambda n, step: F.when(fits(n + step), n + step).otherwise(n))  # a binary search
     near = []
     for step in (1, -1):
-        other = at.select((F.col("idx") + step).alias("idx"), F.col("host").alias("o_host"), F.col("path").alias("o_path"), F.col("row").alias("other"))
+        other = at.select((F.col("idx") + step).alias("idx"), F.col("host").alias("o_host"), F.col("path").alias("o_path"), F.col("k").alias("other"))
         pair = at.join(other, "idx").filter("host = o_host")
-        near.append(pair.select("host", "path", F.struct(prefix(F.col("path"), F.col("o_path")).alias("common"), F.lit(-step).alias("side"), F.col("other").alias("other")).alias("best")))
+        near.append(pair.select("host", "path", F.struct(prefix.alias("common"), F.lit(-step).alias("side"), "other").alias("best")))
     best = near[0].unionByName(near[1]).groupBy("host", "path").agg(F.max("best").alias("best"))
-    return named.join(best, ["host", "path"]).select("row", F.col("best.other").alias("other"))
+    return named.join(best, ["host", "path"]).select("k1", "k2", F.col("best.other.k1").alias("o1"), F.col("best.other.k2").alias("o2"))
+
+
+def repeated_lines(outline: DataFrame) -> DataFrame:
+    """``k1, k2, gone``: the numbers of the lines that differencing deletes."""
+    theirs = neighbours(outline).join(outline.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("hashes").alias("theirs")), ["o1", "o2"]).select("k1", "k2", "theirs")
+    both = outline.join(theirs, ["k1", "k2"]).select("k1", "k2", "host", "spots", "hashes", "places", "theirs")
+    aligned = materialise(both.mapInArrow(_align, "k1 long, k2 long, host string, spots array<long>, shared array<boolean>, votes boolean"), "html-aligned")
+    votes = aligned.filter("votes").select("host", F.explode(F.arrays_zip("spots", "shared")).alias("x")).groupBy("host", F.col("x.spots").alias("spot"))
+    votes = votes.agg(F.count("*").alias("n"), F.sum(F.col("x.shared").cast("long")).alias("s")).filter("2 * s > n")
+    sizes = aligned.groupBy("host").agg(F.count("*").alias("pages"))
+    templates = materialise(votes.groupBy("host").agg(F.collect_set("spot").alias("repeat")).join(sizes, "host"), "html-repeats")
+    rows = join_groups(aligned, templates, "host", "pages")
+    numbers = F.filter(F.sequence(F.lit(0), F.size("spots") - 1), lambda i: F.get("shared", i) & F.array_contains("repeat", F.get("spots", i)))
+    return rows.filter("size(spots) > 0 AND repeat IS NOT NULL").select("k1", "k2", numbers.alias("gone")).filter("size(gone) > 0")
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``page_id, url, text, n_chars`` for every page."""
-    src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
-    # a row's own key: copies of a row have the same neighbour
-    key = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.hex(F.xxhash64("url", "html")))
-    src = src.select(key.alias("row"), "page_id", "url", "html")
-    outline = src.mapInArrow(_outline, "row string, host string, path string, hashes array<long>").dropDuplicates(["row"])
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", structure: bool = True) -> DataFrame:
+    """``page_id, url, text, n_chars`` for every page.  Without ``structure`` differencing alone decides."""
+    src = pages.select(*row_keys(id_col, url_col, html_col), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
+    outline = src.mapInArrow(_outline, "k1 long, k2 long, host string, path string, hashes array<long>, spots array<long>, places array<byte>").dropDuplicates(["k1", "k2"])
     outline = materialise(outline, "html-outline")
-    theirs = neighbours(outline).join(outline.select(F.col("row").alias("other"), F.col("hashes").alias("theirs")), "other").select("row", "theirs")
-    lines = src.mapInArrow(_lines, "row string, page_id long, url string, places array<byte>, lines array<string>")
-    both = lines.join(theirs, "row", "left").select("page_id", "url", "places", "lines", "theirs")
-    return both.mapInArrow(_difference, "page_id long, url string, text string, n_chars long")
+    gone = materialise(repeated_lines(outline), "html-gone")
+    discard(outline)
+    lines = src.mapInArrow(_lines, "k1 long, k2 long, page_id long, url string, places array<byte>, lines array<string>")
+    both = lines.join(gone, ["k1", "k2"], "left").select("page_id", "url", "places", "lines", "gone")
+    return both.mapInArrow(_texts(structure), "page_id long, url string, text string, n_chars long")
 
 
 def op10_html_text(spark, sf_dir: str) -> DataFrame:

@@ -286,20 +286,28 @@ def test_component_names(small):
 # Token counts
 
 
-def test_flat_files(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("width, eod", [(2, 9), (4, 70_000)])
+@pytest.mark.parametrize("by_range", [True, False])
+def test_flat_files(spark, tmp_path, monkeypatch, width, eod, by_range):
     monkeypatch.setattr(token_counts, "RUN", 3)
+    monkeypatch.setattr(token_counts, "RANGE", 4)
+    monkeypatch.setattr(token_counts, "opens", lambda p: by_range)
     rng, want = random.Random(1), []
     for f in range(5):
         docs, ids = [rng.choice([0, 1, 6, 50]) for _ in range(40)], []
         for n in docs:
-            ids += [1] * n + [9]
+            ids += [1] * n + [eod]
         ids += [2] * (f * 7)
-        (tmp_path / f"f{f}").write_bytes(np.array(ids, "<u2").tobytes())
+        (tmp_path / f"f{f}").write_bytes(np.array(ids, f"<u{width}").tobytes())
         want += [(f, i, n) for i, n in enumerate(docs + ([f * 7] if f else []))]
-    (tmp_path / "f5").write_bytes(np.full(100, 3, "<u2").tobytes())  # no separator at all
+    (tmp_path / "f5").write_bytes(np.full(100, 3, f"<u{width}").tobytes())  # no separator at all
+    (tmp_path / "f6").write_bytes(b"")
     want.append((5, 0, 100))
-    got = token_counts.count_tokens(token_counts.read_flat(spark, str(tmp_path), 7), 9).collect()
+    got = token_counts.count_tokens(token_counts.read_flat(spark, str(tmp_path), 7, width), eod, width).collect()
     assert sorted((int(r["file"][-1]), r["ordinal"], r["n_tokens"]) for r in got) == sorted(want)
+    (tmp_path / "f7").write_bytes(b"abcde")
+    with pytest.raises(Exception, match="no whole number"):
+        token_counts.read_flat(spark, str(tmp_path), 7, width).collect()
 
 
 def test_counts_match_the_encoder(spark):
@@ -327,7 +335,7 @@ def test_page_structure():
     page = """<html><head><title>t</title></head><body><header>Top</header><nav><ul><li>M</ul></nav><div class="cookie-notice">We use</div>
     <article><h1>Title &amp; more</h1><p>One <b>two<br>three</p><script>var x='</p>'</script><aside>side</aside><div class="comments"><p>hi</p></div><p>Last</article>
     <form>f</form><footer>&copy; x</footer>"""
-    assert [t for w, t in html_text.page_lines(page) if w == html_text.INSIDE] == ["Title & more", "One two three", "Last"]
+    assert [t for w, t, _ in html_text.page_lines(page) if w == html_text.INSIDE] == ["Title & more", "One two three", "Last"]
 
 
 def test_differencing(spark):
