@@ -13,13 +13,20 @@ answers back in the order in which it sent them.
 * Level k: n-grams by history, with the probability of the shorter model beside each.  A bucket holds all
   that follows a history, so it has the history's count, its count of counts and the shorter model's mass of
   the words seen there, which is what the discount and the exact backoff weight need.
-* A history with more than a bucket's share of all tokens is spread over several buckets by word; the
-  partial sums of those (at most three times as many as there are buckets) are added on the driver.
+* A history with more than a bucket's share of all tokens is spread over several buckets by word.  The partial sums
+  are added by an aggregation and joined to the blocks that ask for them.
 * Then each block evaluates its tokens recursively from its answers and adds them up by document.
 
+The model is a table partitioned by level, a row for each bucket: for level 1 words with counts, numbers and
+probabilities; for level k histories with counts and backoff weights, and words with counts, discounted counts and
+the shorter model's probabilities (`model_rows` reads them).  `score_with` scores other texts from it: its rows are
+one more sender to the buckets.
+
 Messages, counts and answers are tables in the shared folder, partitioned by kind and grouped by bucket.  A
 message is one row for each block and bucket, packed and compressed: shuffled volume follows the number of
-distinct n-grams, and common n-grams cost a block one entry.
+distinct n-grams, and common n-grams cost a block one entry.  The number of buckets follows the input; where a block
+has fewer n-grams than there are buckets, a message holds one, and rows follow the distinct n-grams too.  All
+tables but the model and the result are deleted in the end.
 
 Defined cases: a null or wordless text is one token, its end; a null id counts as the empty text for the
 training split; repeated rows are documents of their own; without training text every word is unknown and
@@ -28,6 +35,7 @@ has probability one; an empty table gives an empty result; other columns are ign
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import zlib
@@ -49,8 +57,11 @@ BLOCK_TOKENS = 1_200_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _END = b"\n"  # no word is white space
-_ROW = "kind string, block long, bucket long, payload binary"
-_COLS = ["kind", "block", "bucket", "payload"]
+#: ``sums``: numbers that are added up over buckets.
+_ROW = "kind string, block long, bucket long, payload binary, sums array<double>"
+_COLS = ["kind", "block", "bucket", "payload", "sums"]
+#: The block number under which a stored model sends its counts.
+_MODEL = -2
 
 
 def _narrow(a: np.ndarray) -> np.ndarray:
@@ -141,12 +152,20 @@ class Level:
     total: int = 0  # training tokens
     types: int = 0  # distinct training words
     reserve: float = 0.0  # probability of any word not seen in training
-    hot_keys: np.ndarray | None = None  # histories that are spread over buckets, sorted
-    hot_sums: np.ndarray | None = None  # their count, counts of counts, and seen mass
+
+
+@dataclass
+class Model:
+    """A stored model: its table (``level, bucket, payload``) and what reading it takes."""
+
+    table: DataFrame
+    order: int
+    buckets: int
+    levels: list[Level]
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=_COLS)
+    return pd.DataFrame([(*r, None) if len(r) == 4 else r for r in rows], columns=_COLS)
 
 
 def _by_bucket(bucket: np.ndarray, *keys: np.ndarray) -> np.ndarray:
@@ -164,13 +183,13 @@ def _runs(sorted_bucket: np.ndarray) -> list[tuple[int, int, int]]:
 # Level 1 ------------------------------------------------------------------------------------------------
 
 
-def _tokenise(buckets: int, modulus: int, held: int, block_tokens: int):
-    schema = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("bucket", pa.int64()), ("payload", pa.binary())])
+def _tokenise(buckets: int, modulus: int | None, held: int, block_tokens: int):
+    schema = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("bucket", pa.int64()), ("payload", pa.binary()), ("sums", pa.list_(pa.float64()))])
 
     def flush(block: int, words: dict[bytes, int], docs: list, tokens: list) -> pa.RecordBatch:
         tok = np.concatenate(tokens)
         lens = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        train = np.fromiter((is_training(d, modulus, held) for d in docs), bool, len(docs))
+        train = np.fromiter((modulus is not None and is_training(d, modulus, held) for d in docs), bool, len(docs))
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
         counts = np.bincount(tok[np.repeat(train, lens)], minlength=len(words))
         bucket = (hashes % np.uint64(buckets)).astype(np.int64)
@@ -181,7 +200,7 @@ def _tokenise(buckets: int, modulus: int, held: int, block_tokens: int):
         for b, lo, hi in _runs(bucket[order]):
             at = order[lo:hi]
             rows.append(("message", block, b, pack(hashes[at], counts[at])))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], schema=schema)
+        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in zip(*rows)), pa.nulls(len(rows), schema.types[4])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -209,7 +228,7 @@ def _count_of_counts(c: np.ndarray) -> np.ndarray:
     return np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2]
 
 
-def _add_words(buckets: int):
+def _add_words(buckets: int, keep: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [unpack(p) for p in pdf["payload"]]
         bucket = int(pdf["bucket"].iloc[0])
@@ -221,8 +240,11 @@ def _add_words(buckets: int):
         for block, p in zip(pdf["block"], parts):
             mine = back[at : at + len(p[0])]
             at += len(p[0])
-            rows.append(("answer", block, bucket, pack(c[mine], rank[mine] * buckets + bucket)))
-        rows.append(("sum", -1, bucket, pack(np.array([c.sum(), (c > 0).sum(), *_count_of_counts(c)]))))
+            if block != _MODEL:
+                rows.append(("answer", block, bucket, pack(c[mine], rank[mine] * buckets + bucket)))
+        rows.append(("sum", -1, bucket, None, [float(x) for x in (c.sum(), (c > 0).sum(), *_count_of_counts(c))]))
+        if keep:
+            rows.append(("model", _MODEL, bucket, pack(keys[c > 0], c[c > 0], rank[c > 0] * buckets + bucket)))
         return _frame(rows)
 
     return run
@@ -283,16 +305,18 @@ class Block:
         at = at[order]
         return bucket[order], h[at], self.number[at], n[order], self.p[at], salts[order] > 1, place[back]
 
-    def absorb(self, k: int, answers: list[bytes], level: Level, buckets: int, share: float) -> None:
-        """Level k's probabilities, in place of the shorter model's."""
+    def absorb(self, k: int, answers: list[bytes], level: Level, buckets: int, share: float, hot: pd.DataFrame) -> None:
+        """Level k's probabilities, in place of the shorter model's.  ``hot`` has the sums of the spread histories."""
         bucket, h, _, _, lower, spread, of = self.grams(k, buckets, share)
         got = [unpack(a) for a in answers]
         c = np.concatenate([g[0] for g in got])
         sums = np.concatenate([np.column_stack(g[1:]) for g in got])
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])])
         sums = sums[np.cumsum(new) - 1]
-        if level.hot_keys is not None and len(level.hot_keys) and spread.any():
-            sums[spread] = level.hot_sums[np.searchsorted(level.hot_keys, h[spread])]
+        if spread.any():
+            keys = hot["bucket"].to_numpy(np.int64).view(np.uint64)
+            order = np.argsort(keys)
+            sums[spread] = np.stack(list(hot["sums"]))[order][np.searchsorted(keys[order], h[spread])]
         self.p = katz(level.discount, c, lower, sums)[of]
         self.seen = c[of]
 
@@ -308,20 +332,31 @@ def unigram(level: Level, count: np.ndarray) -> np.ndarray:
     return np.where(count > 0, d[np.where(count <= K, count, 0)] * count / n, kept)
 
 
+def freed_mass(d: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each history's unseen words get, and whether that is one count set aside as no discount frees any.
+    ``sums`` has a row for each: the history's count, how many of its continuations occur 1..K times, and the shorter
+    model's mass of all its continuations."""
+    safe = np.maximum(sums[:, 0], 1)
+    freed = (sums[:, 1 : K + 1] * (1 - d[1:]) * np.arange(1, K + 1)).sum(axis=1) / safe
+    none = freed <= 0
+    return np.where(none, 1 / (safe + 1), freed), none
+
+
+def backoff(d: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Backoff weights: they make each history's probabilities add up to one."""
+    return freed_mass(d, sums)[0] / np.maximum(1 - sums[:, K + 1], 1e-300)
+
+
 def katz(d: np.ndarray, c: np.ndarray, lower: np.ndarray, sums: np.ndarray) -> np.ndarray:
-    """Probabilities of k-grams with counts ``c``.  ``sums`` has a row for each: the history's count, how many
-    of its continuations occur 1..K times, and the shorter model's mass of all its continuations."""
-    total, nr, seen = sums[:, 0], sums[:, 1 : K + 1], sums[:, K + 1]
+    """Probabilities of k-grams with counts ``c`` and shorter probabilities ``lower``; ``sums`` as in `freed_mass`."""
+    total = sums[:, 0]
     safe = np.maximum(total, 1)
-    freed = (nr * (1 - d[1:]) * np.arange(1, K + 1)).sum(axis=1) / safe
-    none = freed <= 0
-    freed = np.where(none, 1 / (safe + 1), freed)
+    _, none = freed_mass(d, sums)
     p_seen = np.where(none, c / (safe + 1), d[np.where(c <= K, c, 0)] * c / safe)
-    p_back = freed / np.maximum(1 - seen, 1e-300) * lower
-    return np.where(total == 0, lower, np.where(c > 0, p_seen, p_back))
+    return np.where(total == 0, lower, np.where(c > 0, p_seen, backoff(d, sums) * lower))
 
 
-def _add_grams(keep_model: bool):
+def _add_grams(keep: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [unpack(p) for p in pdf["payload"]]
         bucket = int(pdf["bucket"].iloc[0])
@@ -345,18 +380,64 @@ def _add_grams(keep_model: bool):
             hs = hid[starts]
             i += n
             spread[hs[p[2] > 0]] = True
+            if block == _MODEL:
+                continue
             s = sums[hs]
             rows.append(("answer", block, bucket, pack(c[mine], *(s[:, r].astype(np.int64) for r in range(K + 1)), s[:, K + 1])))
-        rows.append(("sum", -1, bucket, pack(_count_of_counts(c))))
-        if spread.any():
-            rows.append(("hot", -1, bucket, pack(hist[spread], *(sums[spread, r] for r in range(K + 2)))))
-        if keep_model:
-            rows.append(("model", -1, bucket, pack(hist[of], word[at], c, lower)))
+            rows += [("want", block, h, None) for h in hist[hs[p[2] > 0]].view(np.int64).tolist()]
+        rows.append(("sum", -1, bucket, None, _count_of_counts(c).astype(float).tolist()))
+        rows += [("hot", -1, int(h), None, x.tolist()) for h, x in zip(hist[spread].view(np.int64), sums[spread])]
+        if keep:
+            live = c > 0
+            has, n = np.unique(of[live], return_counts=True)
+            rows.append(("model", _MODEL, bucket, pack(hist[has], n, spread[has].astype(np.int64), word[at][live], c[live], lower[live], *sums[has].T)))
         return _frame(rows)
 
     return run
 
 
+def _stored(k: int, level: Level):
+    """A bucket's counts as a row of the model: with probabilities, or discounted counts and backoff weights.
+    Histories that are spread over buckets have their whole sums and weights in rows of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for payload in b.column(1):
+                got = unpack(payload.as_py())
+                if k == 1:
+                    out.append(pack(*got, unigram(level, got[1])))
+                else:
+                    sums, c = np.column_stack(got[6:]) if len(got[0]) else np.zeros((0, K + 2)), got[4]
+                    out.append(pack(*got[:6], level.discount[np.where(c <= K, c, 0)] * c, sums[:, 0], backoff(level.discount, sums)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["bucket", "payload"])
+
+    return run
+
+
+def model_rows(model: Model, k: int) -> DataFrame:
+    """The model's level ``k``: ``word, number, count, p`` for 1 (``word`` is a hash), else ``history, word, count,
+    discounted, lower, total, weight``, where ``total`` and ``weight`` are null if the history is spread."""
+    long, double = pa.int64(), pa.float64()
+    schema = pa.schema([("word", long), ("number", long), ("count", long), ("p", double)] if k == 1 else [("history", long), ("word", long), ("count", long), ("discounted", double), ("lower", double), ("total", double), ("weight", double)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for payload in b.column(0):
+                got = unpack(payload.as_py())
+                if k == 1:
+                    cols = [got[0].astype(np.uint64).view(np.int64), got[2], got[1], got[3].astype(float)]
+                else:
+                    each = lambda x: np.repeat(x, got[1])  # noqa: B023, E731
+                    whole = each(got[2]) == 0
+                    sums = [pa.array(each(got[i]).astype(float), mask=~whole) for i in (7, 8)]
+                    cols = [each(got[0].astype(np.uint64).view(np.int64)), got[3], got[4], got[6].astype(float), got[5].astype(float), *sums]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], schema=schema)
+
+    kinds = ", ".join(f"`{f.name}` {'long' if f.type == long else 'double'}" for f in schema)
+    return model.table.filter(F.col("level") == k).select("payload").mapInArrow(run, kinds)
+
+
 def _replay(pdf: pd.DataFrame, levels: list[Level], buckets: int, share: float) -> Block:
     """A block with every level that has been answered."""
     b = Block(pdf.loc[pdf["kind"] == "block", "payload"].iloc[0])
@@ -365,7 +446,7 @@ def _replay(pdf: pd.DataFrame, levels: list[Level], buckets: int, share: float)
         if k == 1:
             b.words(list(mine["payload"]), level)
         else:
-            b.absorb(k, list(mine["payload"]), level, buckets, share)
+            b.absorb(k, list(mine["payload"]), level, buckets, share, pdf[pdf["kind"] == f"hot{k}"])
     return b
 
 
@@ -403,49 +484,73 @@ def _score(levels: list[Level], buckets: int, share: float):
     return run
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, modulus: int = 7, held: int = 2, block_tokens: int = BLOCK_TOKENS, buckets: int | None = None, keep_model: bool = False) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every text.
-
-    Texts whose crc32(id as text) mod ``modulus`` is ``held`` are not learned from.  ``keep_model`` also
-    stores each level's n-gram table (history, word, count, shorter probability) by bucket.
-    """
+def _run(docs: DataFrame, id_col: str, text_col: str, order: int, modulus: int | None, held: int, block_tokens: int, buckets: int, keep: bool, model: Model | None) -> tuple[DataFrame, Model]:
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    buckets = buckets or max(8, 2 * src.rdd.getNumPartitions())  # as many as there are input splits: read off the plan
     first = materialise(src.mapInArrow(_tokenise(buckets, modulus, held, block_tokens), _ROW), "katz-blocks", ["kind"])
     blocks = first.filter("kind = 'block'")
-    answers, levels, share = [], [], 1.0
+    answers, heat, levels, share, used, tables = [], [], [], 1.0, [first], []
 
-    def group(k: int | None) -> DataFrame:
+    def group(order_done: int) -> DataFrame:
         rows = blocks.select(*_COLS)
-        for n, a in enumerate(answers, 1):
-            rows = rows.unionByName(a.filter("kind = 'answer'").select(F.lit(f"answer{n}").alias("kind"), "block", "bucket", "payload"))
+        for n, (a, h) in enumerate(zip(answers, heat), 1):
+            rows = rows.unionByName(a.filter("kind = 'answer'").select(F.lit(f"answer{n}").alias("kind"), "block", "bucket", "payload", "sums"))
+            if h is not None:
+                rows = rows.unionByName(h.select(F.lit(f"hot{n}").alias("kind"), "block", F.col("history").alias("bucket"), F.lit(None).cast("binary").alias("payload"), "sums"))
         return rows.groupBy("block")
 
+    def stored(k: int) -> DataFrame:
+        return model.table.filter(F.col("level") == k).select(F.lit("message").alias("kind"), F.lit(_MODEL).cast("long").alias("block"), "bucket", "payload", F.lit(None).cast("array<double>").alias("sums"))
+
     for k in range(1, order + 1):
         if k == 1:
-            asked, add = first.filter("kind = 'message'").select(*_COLS), _add_words(buckets)
+            asked, add = first.filter("kind = 'message'").select(*_COLS), _add_words(buckets, keep)
         else:
-            asked, add = group(k).applyInPandas(_ask(k, list(levels), buckets, share), _ROW), _add_grams(keep_model)
+            asked, add = group(k - 1).applyInPandas(_ask(k, list(levels), buckets, share), _ROW), _add_grams(keep)
+        asked = asked.unionByName(stored(k)) if model else asked
         got = materialise(asked.groupBy("bucket").applyInPandas(add, _ROW), f"katz-level{k}", ["kind"])
-        sums = [unpack(r["payload"])[0] for r in got.filter("kind = 'sum'").select("payload").collect()]  # a few numbers a bucket
-        total = np.sum(sums, axis=0) if sums else np.zeros(K + 3, np.int64)
+        used.append(got)
+        sums = got.filter("kind = 'sum'").select(F.posexplode("sums").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()  # a few numbers
+        total = np.zeros(K + 3 if k == 1 else K + 1)
+        for r in sums:
+            total[r["i"]] = r["x"]
         if k == 1:
             level = Level(good_turing(total[2:]), int(total[0]), int(total[1]))
             r = np.arange(1, K + 1)
             level.reserve = float(((1 - level.discount[1:]) * r * total[2 : K + 2]).sum() / max(1, level.total))
             share = max(1.0, level.total / buckets)
             discard(first, partition="kind=message")  # answered, and read no more
+            heat.append(None)
         else:
             level = Level(good_turing(total))
-            hot = [unpack(r["payload"]) for r in got.filter("kind = 'hot'").select("payload").collect()]
-            if hot:
-                keys, back = np.unique(np.concatenate([h[0].astype(np.uint64) for h in hot]), return_inverse=True)
-                level.hot_keys, level.hot_sums = keys, np.column_stack([np.bincount(back, np.concatenate([h[c] for h in hot]), len(keys)) for c in range(1, K + 3)])
+            parts = [F.sum(F.get("sums", F.lit(i))) for i in range(K + 2)]
+            hot = got.filter("kind = 'hot'").groupBy(F.col("bucket").alias("history")).agg(F.array(*parts).alias("sums"))
+            want = got.filter("kind = 'want'").select("block", F.col("bucket").alias("history")).distinct()
+            heat.append(materialise(want.join(hot, "history").select("block", "history", "sums"), f"katz-hot{k}"))
+            used.append(heat[-1])
+        if keep:
+            rows = got.filter("kind = 'model'").select("bucket", "payload").mapInArrow(_stored(k, level), "bucket long, payload binary")
+            tables.append(materialise(rows, f"katz-model{k}").select(F.lit(k).alias("level"), "bucket", "payload"))
+            discard(got, partition="kind=model")
         answers.append(got)
         levels.append(level)
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return group(None).applyInPandas(_score(levels, buckets, share), out)
+    scored = materialise(group(order).applyInPandas(_score(levels, buckets, share), out), "katz-scored")
+    discard(*used)
+    table = functools.reduce(DataFrame.unionByName, tables) if tables else None
+    return scored, Model(table, order, buckets, levels)
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, modulus: int = 7, held: int = 2, block_tokens: int = BLOCK_TOKENS, buckets: int | None = None) -> tuple[DataFrame, Model]:
+    """(scores, model): ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every text, and
+    the model that was learned from the texts whose crc32(id as text) mod ``modulus`` is not ``held``."""
+    buckets = buckets or max(8, 2 * docs.rdd.getNumPartitions())  # as many as there are input splits: read off the plan
+    return _run(docs, id_col, text_col, order, modulus, held, block_tokens, buckets, True, None)
+
+
+def score_with(model: Model, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Scores of other texts, none of which is learned from, by a stored model."""
+    return _run(docs, id_col, text_col, model.order, None, 0, block_tokens, model.buckets, False, model)[0]
 
 
 def op1_katz(spark, sf_dir: str) -> DataFrame:
-    return score_texts(read(spark, sf_dir, "documents"), order=3)
+    return score_texts(read(spark, sf_dir, "documents"))[0]

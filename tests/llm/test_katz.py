@@ -63,7 +63,7 @@ def test_brute_force(spark, small, order, block, buckets):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     b = Brute(rows, order)
-    for r in katz.score_texts(docs, order=order, block_tokens=block, buckets=buckets).collect():
+    for r in katz.score_texts(docs, order=order, block_tokens=block, buckets=buckets)[0].collect():
         w = next(w for i, w, _ in b.docs if i == r["doc_id"])
         assert (r["n_tokens"], r["train_tokens"], r["held_out"]) == (len(w), b.n, not katz.is_training(r["doc_id"]))
         assert r["n_known"] == sum((x,) in b.c1 for x in w)
@@ -81,7 +81,7 @@ def test_histories_add_up_to_one(small):
 
 
 def test_beats_the_base_on_held_out_texts(small):
-    rows = [r for r in katz.score_texts(small).collect() if r["held_out"]]
+    rows = [r for r in katz.score_texts(small)[0].collect() if r["held_out"]]
     assert sum(r["score"] for r in rows) > 0.9 * sum(r["base_score"] for r in rows)
 
 
@@ -90,10 +90,38 @@ def test_spread_histories(spark):
     rows = [(i, " ".join(f"hot w{(i * 31 + j) % 500}" if j % 2 else f"c{j}" for j in range(60))) for i in range(80)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     b = Brute(rows, 2)
-    for r in katz.score_texts(docs, block_tokens=500, buckets=16).collect():
+    for r in katz.score_texts(docs, block_tokens=500, buckets=16)[0].collect():
         assert r["score"] == pytest.approx(b.score(words(rows[r["doc_id"]][1])), rel=1e-9)
 
 
+@pytest.mark.parametrize("order,buckets", [(1, 3), (2, 16), (3, 5)])
+def test_stored_model_scores_other_texts(spark, small, order, buckets):
+    rows = [(i, " ".join(f"hot w{(i * 31 + j) % 50}" if j % 2 else f"c{j}" for j in range(60))) for i in range(40)]
+    rows += [(100 + r["doc_id"], r["text"]) for r in small.filter("n_chars < 1500").limit(15).collect()]
+    b = Brute(rows, order)
+    _, model = katz.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), order=order, block_tokens=700, buckets=buckets)
+    other = [(0, rows[0][1] + " never seen hot c4"), (1, None), (2, rows[-1][1]), (None, "hot hot c2 w3"), (1, "x")]
+    got = katz.score_with(model, spark.createDataFrame(other, "doc_id long, text string"), block_tokens=20).collect()
+    want = sorted((str(i), b.n, round(b.score(words(t)), 8)) for i, t in other)
+    assert sorted((str(r["doc_id"]), r["train_tokens"], round(r["score"], 8)) for r in got) == want
+    # the tables hold the model: counts, discounts, and weights that make each history add up to one
+    ones = katz.model_rows(model, 1).collect()
+    assert sorted(r["count"] for r in ones) == sorted(b.c1.values())
+    assert sum(r["p"] for r in ones) + (b.reserve or 1 / (b.n + 1)) == pytest.approx(1)
+    for k in range(2, order + 1):
+        found, total = collections.defaultdict(list), 0
+        for r in katz.model_rows(model, k).collect():
+            found[r["history"]].append(r)
+            total += r["count"]
+        assert total == b.n and len(found) == len(b.after[k])
+        whole = [h for h in found.values() if h[0]["total"] is not None]
+        assert whole and all(sum(r["count"] for r in h) == h[0]["total"] for h in whole)
+        for h in whole:
+            seen = sum(r["discounted"] for r in h) / h[0]["total"]
+            if seen < 1 - 1e-9:  # else one count is set aside
+                assert seen + h[0]["weight"] * (1 - sum(r["lower"] for r in h)) == pytest.approx(1)
+
+
 def test_pack_round_trip():
     a = [np.arange(5), np.array([2**63 + 1], np.uint64), np.repeat([0.1, 0.2], 200), np.zeros(0), np.array([-3, 7])]
     for x, y in zip(a, katz.unpack(katz.pack(*a))):
