@@ -2,6 +2,9 @@
 
 Depth-limited regression trees on the logistic loss, fitted in plain Python on the driver (the tables have
 a few hundred rows), then written as nested CASE expressions, so that scoring stays inside Catalyst.
+
+Defined cases: without rows, or with rows of one label only, all margins are alike; ties between splits go to the
+first feature and the lowest cut; a threshold that no margin reaches with the precision asked for is infinite.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ def _grow(rows, grad, hess, idx, depth, lam, least) -> Node:
     g, h = sum(grad[i] for i in idx), sum(hess[i] for i in idx)
     best = (1e-9, None, None)
     if depth:
-        for f in range(len(rows[0])):
+        for f in range(len(rows[0]) if rows else 0):
             order = sorted(idx, key=lambda i: rows[i][f])
             gl = hl = 0.0
             for a, (i, j) in enumerate(zip(order, order[1:])):
@@ -50,11 +53,11 @@ class Booster:
 
     def __init__(self, trees: int = 12, depth: int = 3, rate: float = 0.4, lam: float = 1.0, least: int = 4):
         self.n, self.depth, self.rate, self.lam, self.least = trees, depth, rate, lam, least
-        self.bias, self.trees = 0.0, []
+        self.bias, self.trees, self.width = 0.0, [], 0
 
     def fit(self, rows: list[list[float]], labels: list[int]) -> Booster:
         p = (sum(labels) + 1) / (len(labels) + 2)
-        self.bias, self.trees = math.log(p / (1 - p)), []
+        self.bias, self.trees, self.width = math.log(p / (1 - p)), [], len(rows[0]) if rows else 0
         score = [self.bias] * len(rows)
         for _ in range(self.n):
             prob = [1 / (1 + math.exp(-s)) for s in score]
@@ -79,8 +82,8 @@ class Booster:
 
 
 def calibrated_threshold(margins: list[float], labels: list[int], precision: float) -> float:
-    """The lowest margin at which what passes is right at least ``precision`` of the time on held-out
-    examples; infinity if there is none."""
+    """Of the margins at which what passes is right at least ``precision`` of the time on held-out examples, the
+    lowest, and from there halfway to the next one below; infinity if there is none."""
     best, right, seen = math.inf, 0, 0
     ranked = sorted(zip(margins, labels), reverse=True)
     for k, (m, y) in enumerate(ranked):
@@ -88,5 +91,5 @@ def calibrated_threshold(margins: list[float], labels: list[int], precision: flo
         if k + 1 < len(ranked) and ranked[k + 1][0] == m:
             continue
         if right / seen >= precision:
-            best = m
+            best = (m + ranked[k + 1][0]) / 2 if k + 1 < len(ranked) else m
     return best
