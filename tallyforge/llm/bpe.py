@@ -169,12 +169,16 @@ class Encoder:
 _HELD: dict[str, Encoder] = {}
 
 
-def encoder(spec: str) -> Encoder:
+#: Pieces that an encoder remembers, in each of two generations; about 200 bytes a piece.
+CACHE = 400_000
+
+
+def encoder(spec: str, cache: int = CACHE) -> Encoder:
     """One encoder for each worker process and vocabulary, so that its pieces stay known between tasks."""
-    key = hashlib.sha256(spec.encode()).hexdigest()
+    key = f"{hashlib.sha256(spec.encode()).hexdigest()}:{cache}"
     if key not in _HELD:
         _HELD.clear()
-        _HELD[key] = Encoder(spec)
+        _HELD[key] = Encoder(spec, cache)
     return _HELD[key]
 
 
@@ -215,14 +219,14 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """Encodes and decodes in one pass: ``doc_id, n_tokens, ids_sha256, decoded_sha256``, and if asked for ``ids``."""
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(spec.value)
+        enc = encoder(spec.value, cache)
         names = enc.text_of_id.__getitem__
 
         def out(b: pa.RecordBatch) -> pa.RecordBatch:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +31,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Tables written and not yet deleted, by this driver.
+_MADE: list[str] = []
+
+
 def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut, and a lost executor
     costs only the tasks that it ran."""
     path = f"{scratch_dir(df.sparkSession)}/tallyforge/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -52,8 +58,27 @@ def discard(*frames: DataFrame, partition: str = "") -> None:
             if found:
                 roots.add(f"{head}{found}{rest.split('/')[0]}")
         for root in roots:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{partition}" if partition else root)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            delete(spark, f"{root}/{partition}" if partition else root)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def made(folder: str) -> None:
+    """Take note of a folder that `finished` is to delete."""
+    _MADE.append(folder)
+
+
+def finished(f: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``f``'s result as a table of its own; whatever else ``f`` has written is deleted."""
+    before = len(_MADE)
+    out = materialise(f(), name)
+    for path in _MADE[before:-1]:
+        delete(out.sparkSession, path)
+    del _MADE[before:-1]
+    return out
 
 
 #: Groups that a broadcast may hold: those with over a 20,000th of all rows, of which there are fewer.

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import bitmap, discard, join_groups, keyed, look_up, materialise, normalised, read, row_keys, with_keys, without_keys
+from tallyforge.llm.common import bitmap, discard, finished, join_groups, keyed, look_up, materialise, normalised, read, row_keys, with_keys, without_keys
 
 
 def surviving_pairs(keys: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    return exact_duplicates(read(spark, sf_dir, "documents"), digest_all=True)
+    return finished(lambda: exact_duplicates(read(spark, sf_dir, "documents"), digest_all=True), "dedup-result")
 
 
 OP8_SQL = r"""

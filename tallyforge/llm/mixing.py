@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import keyed, materialise, read, row_keys, with_keys, word_count
+from tallyforge.llm.common import finished, keyed, materialise, read, row_keys, with_keys, word_count
 
 #: Weights dealt to sources in order.
 WEIGHTS = (3, 1, 2)
@@ -175,4 +175,4 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(read(spark, sf_dir, "documents"))[0].drop("copies")
+    return finished(lambda: mix(read(spark, sf_dir, "documents"))[0].drop("copies"), "mix-result")

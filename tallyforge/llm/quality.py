@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm.common import keyed, materialise, read, row_keys, without_keys
+from tallyforge.llm.common import finished, keyed, materialise, read, row_keys, without_keys
 
 SKETCH_ERROR = 0.01
 #: measure -> quartile distances that a text may lie below the first and above the third quartile.
@@ -193,5 +193,5 @@ def filter_quality(docs: DataFrame, text_col="text", lang_col="lang", source_col
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
-    out = judged(read(spark, sf_dir, "documents"), carry=["doc_id"])
+    out = finished(lambda: judged(read(spark, sf_dir, "documents"), carry=["doc_id"]).select("row", *COUNTS, "base_failed", "kept"), "quality-result")
     return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

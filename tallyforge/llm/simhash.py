@@ -5,10 +5,11 @@
 2. Fingerprints meet where links are possible at all: within `DISTANCE` = 2 bits, at least two of four
    16-bit quarters are equal, so each fingerprint is dealt out under its six pairs of quarters (32 bits each).
    No link is lost, and no key holds all fingerprints.
-3. Within a key, a table of Hamming distances to `PIVOTS` reference fingerprints is computed once a
-   fingerprint.  By the triangle inequality, two fingerprints whose distances to any reference differ by more
-   than `DISTANCE` cannot be linked: such pairs are discarded on the largest coordinate difference, and the
-   survivors are verified bit by bit.
+3. A table of Hamming distances to `PIVOTS` reference fingerprints is computed once a fingerprint, and its rows go
+   where the fingerprint goes.  By the triangle inequality, two fingerprints whose distances to any reference differ by
+   more than `DISTANCE` cannot be linked: within a key, such pairs are discarded on the largest coordinate difference,
+   and the survivors are verified bit by bit.  (The table can't replace the keys: random fingerprints lie 32 +- 4 bits
+   from a reference, so a window that holds all that may be linked holds nearly half of all fingerprints.)
 4. A key with more than `CROWD` fingerprints is never compared pairwise.  Its fingerprints name every centre
    within one bit (65 each); two fingerprints within two bits share a centre, and a centre has 65 neighbours
    at most, so linking each to its centre's smallest is exact and linear.  Within fewer bits than two, a crowded
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import join_groups, materialise, read
+from tallyforge.llm.common import finished, join_groups, materialise, read
 from tallyforge.llm.components import components
 
 DISTANCE = 2
@@ -98,6 +99,19 @@ def pivot_pairs(key: np.ndarray, fp: np.ndarray, table: np.ndarray, distance: in
     return np.concatenate(left or [none]), np.concatenate(right or [none])
 
 
+def pivot_table(fps: DataFrame) -> DataFrame:
+    """``fp, table`` for each of ``fp``: a byte for the distance to each reference."""
+    schema = pa.schema([("fp", pa.int64()), ("table", pa.binary(PIVOTS))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refs = pivots()
+        for b in batches:
+            rows = np.bitwise_count(b.column(0).to_numpy().view(np.uint64)[:, None] ^ refs[None, :]).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in rows], pa.binary(PIVOTS)).cast(pa.binary())], names=["fp", "table"])
+
+    return fps.select("fp").mapInArrow(run, "fp long, table binary")
+
+
 def links(fps: DataFrame, distance: int = DISTANCE, crowd: int = CROWD) -> DataFrame:
     """``a, b``: enough links between distinct fingerprints to connect all that lie within ``distance`` bits
     (2 at most)."""
@@ -105,31 +119,31 @@ def links(fps: DataFrame, distance: int = DISTANCE, crowd: int = CROWD) -> DataF
         raise ValueError("quarters and centres are exact up to two bits")
     quarter = lambda i: F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))
     keys = [F.struct(F.lit(n).alias("which"), (quarter(i) * 65536 + quarter(j)).alias("key")) for n, (i, j) in enumerate(combinations(range(4), 2))]
-    dealt = fps.select("fp", F.explode(F.array(*keys)).alias("x")).select("fp", (F.col("x.key") * 6 + F.col("x.which")).alias("key"))
+    table = materialise(pivot_table(fps), "simhash-table")
+    dealt = table.select("fp", "table", F.explode(F.array(*keys)).alias("x")).select("fp", "table", (F.col("x.key") * 6 + F.col("x.which")).alias("key"))
     counts = dealt.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     met = materialise(dealt.join(counts, "key"), "simhash-met")
-    refs = pivots()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        key, fp, table = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, PIVOTS), np.int8)
 
-        def out(key, fp):
-            table = np.bitwise_count(fp[:, None] ^ refs[None, :]).astype(np.int8)
+        def out(key, fp, table):
             i, j = pivot_pairs(key, fp, table, distance)
             return pa.RecordBatch.from_arrays([pa.array(fp[i].view(np.int64)), pa.array(fp[j].view(np.int64))], schema=schema)
 
         for b in batches:
             key = np.concatenate([key, b.column(0).to_numpy()])
             fp = np.concatenate([fp, b.column(1).to_numpy().view(np.uint64)])
+            table = np.concatenate([table, np.frombuffer(b"".join(b.column(2).to_pylist()), np.int8).reshape(-1, PIVOTS)])
             if not len(key):
                 continue
             whole = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
-            yield out(key[:whole], fp[:whole])
-            key, fp = key[whole:], fp[whole:]
-        yield out(key, fp)
+            yield out(key[:whole], fp[:whole], table[:whole])
+            key, fp, table = key[whole:], fp[whole:], table[whole:]
+        yield out(key, fp, table)
 
-    few = met.filter(F.col("n") <= crowd).select("key", "fp").repartition("key").sortWithinPartitions("key")
+    few = met.filter(F.col("n") <= crowd).select("key", "fp", "table").repartition("key").sortWithinPartitions("key")
     pairs = few.mapInArrow(compare, "a long, b long")
     crowded = met.filter(F.col("n") > crowd).select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
@@ -165,5 +179,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
-    out = near_duplicates(read(spark, sf_dir, "documents"))
+    out = finished(lambda: near_duplicates(read(spark, sf_dir, "documents")), "simhash-result")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -28,8 +28,9 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyforge.llm import common
 from tallyforge.llm.bpe import default_path, encoder, read_spec
-from tallyforge.llm.common import materialise, read, scratch_dir
+from tallyforge.llm.common import finished, materialise, read, scratch_dir
 
 BLOCK_TOKENS = 1 << 16
 #: Blocks that one task reads from a file.
@@ -151,6 +152,7 @@ def flatten(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     folder = f"{scratch_dir(spark)}/tallyforge/tokens-{uuid.uuid4().hex}"
     files = opens(folder)
     if files:
+        common.made(folder)
         store, own = pafs.FileSystem.from_uri(folder)
         store.create_dir(own, recursive=True)
     schema = pa.schema([("kind", pa.string()), ("file", pa.string()), ("number", pa.int64()), ("doc_id", pa.int64()), ("data", pa.binary())])
@@ -218,4 +220,4 @@ def token_counts(docs: DataFrame, path: str, block_tokens: int = BLOCK_TOKENS, *
 
 
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:
-    return token_counts(read(spark, sf_dir, "documents"), default_path())
+    return finished(lambda: token_counts(read(spark, sf_dir, "documents"), default_path()), "tokens-result")

@@ -7,7 +7,7 @@ import pytest
 from tallyforge.llm import bpe, exact_dedup, html_text, katz, mixing, pii, quality, simhash, token_counts, url_filter
 
 RUNS = {
-    "katz": lambda d: katz.score_texts(d),
+    "katz": lambda d: katz.score_texts(d)[0],
     "bpe": lambda d: bpe.round_trip(d, bpe.default_path()),
     "pii": lambda d: pii.personal_data(d),
     "quality": lambda d: quality.judged(d, carry=["doc_id"]).select("row.doc_id", "kept"),
