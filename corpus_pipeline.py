@@ -19,8 +19,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.llm import bpe, exact_dedup, mixing, near_dedup, quality
-from tallyforge.llm.common import discard, materialise, read
+from tallyforge.llm.common import discard, finished, read
 
+#: Pieces that an encoder remembers here: workers that earlier stages have filled stay alive.
+CACHE = 120_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -41,7 +43,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(docs, bpe.default_path(), with_ids=True)
+    return bpe.round_trip(docs, bpe.default_path(), with_ids=True, cache=CACHE)
 
 
 STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact), ("simhash_near_dedup", near), ("mixing", mixture), ("bpe", encoding)]
@@ -51,10 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    written = []
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        discard(*written)
-        written = [docs]
+        docs = finished(lambda: stage(spark, docs, sf_dir), f"pipeline-{name}")  # noqa: B023
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
