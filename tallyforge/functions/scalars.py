@@ -46,15 +46,65 @@ def known(c: Column | str, dtype: T.DataType | None = None) -> Column:
     return F.when(~F.isnan(c), c) if isinstance(dtype, (T.DoubleType, T.FloatType)) else c
 
 
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _side(x: Column, longer: Column, k: Column) -> Column:
+    """-1, 0 or 1: a positive double against the decimal of its first 16 digits over 10^``k``, 0 <= k <= 22, by an
+    exact product (Dekker)."""
+    ten = F.element_at(F.array(*[F.lit(float(10**i)) for i in range(23)]), (k + 1).cast("int"))
+    top = lambda a: a * F.lit(134217729.0) - (a * F.lit(134217729.0) - a)
+    parts = bound(F.struct(x.alias("x"), ten.alias("t"), F.substring(longer, 1, 16).try_cast("long").alias("n")), lambda v: F.struct(v["x"].alias("x"), v["t"].alias("t"), v["n"].alias("n"), top(v["x"]).alias("xh"), top(v["t"]).alias("th"), (v["x"] * v["t"]).alias("p")))
+
+    def compare(v: Column) -> Column:
+        xl, tl, whole = v["x"] - v["xh"], v["t"] - v["th"], F.floor(v["p"])
+        error = ((v["xh"] * v["th"] - v["p"]) + v["xh"] * tl + xl * v["th"]) + xl * tl
+        return F.signum((whole - v["n"]).cast("double") + (v["p"] - whole) + error)
+
+    return bound(parts, compare)
+
+
+def significant(d: Column) -> Column:
+    """A number's text of up to 15 significant digits: plain from 0.0001 to below 10^15, else with an exponent of
+    two digits or more.  The digits are those of the exact binary value, rounded half to even; numbers outside
+    1e-7..1e16 whose shortest text has 16 digits, the last a five, are rounded by that text."""
+    digits = lambda e: F.replace(F.substring_index(e, "e", 1), F.lit("."), F.lit(""))
+    power = lambda e: F.substring_index(e, "e", -1).try_cast("int")
+
+    def rounded(v: Column) -> Column:
+        k = 15 - power(v["long"])
+        tie = digits(v["long"]).endswith("50") & k.between(0, 22)
+        side = F.when(tie, _side(v["x"], digits(v["long"]), k))
+        even = F.substring(digits(v["long"]), 15, 1).try_cast("int") % 2 == 0
+        down = bound(side, lambda s: F.coalesce((s < 0) | (s == 0) & even, F.lit(False)))
+        cut = lambda w: F.struct(F.regexp_replace(F.when(w, F.substring(digits(v["long"]), 1, 15)).otherwise(digits(v["short"])), "(?<=.)0+$", "").alias("kept"), F.when(w, power(v["long"])).otherwise(power(v["short"])).alias("power"))
+        return bound(down, cut)
+
+    def spelled(v: Column) -> Column:
+        kept, at, n = v["kept"], v["power"], F.length(v["kept"])
+        size = F.abs(at).cast("string")
+        above = F.when(n > at + 1, F.concat(kept.substr(F.lit(1), at + 1), F.lit("."), kept.substr(at + 2, n))).otherwise(F.rpad(kept, F.greatest(at + 1, n), F.lit("0")))
+        below = F.concat(F.lit("0."), F.repeat(F.lit("0"), -at - 1), kept)
+        head = F.when(n > 1, F.concat(F.substring(kept, 1, 1), F.lit("."), kept.substr(F.lit(2), n))).otherwise(kept)
+        science = F.concat(head, F.when(at < 0, "e-").otherwise("e+"), F.lpad(size, F.greatest(F.length(size), F.lit(2)), F.lit("0")))
+        return F.when((at < -4) | (at >= 15), science).when(at >= 0, above).otherwise(below)
+
+    texts = F.struct(F.abs(d).alias("x"), F.format_string("%.14e", F.abs(d)).alias("short"), F.format_string("%.16e", F.abs(d)).alias("long"))
+    return F.concat(F.when(d < 0, "-").otherwise(""), bound(bound(texts, rounded), spelled))
+
+
 def as_text(c: Column | str, dtype: T.DataType | None = None) -> Column:
-    """Text as a respondent would read it: whole numbers without a point, TRUE and FALSE, Inf."""
+    """Text as a respondent would read it: whole numbers without a point, others with up to 15 significant digits,
+    TRUE and FALSE, Inf."""
     c = col(c)
     if isinstance(dtype, T.BooleanType):
         return F.when(c, "TRUE").when(~c, "FALSE")
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         d = c.cast("double")
         whole = (d == F.floor(d)) & (F.abs(d) < 1e15)
-        return F.when(F.isnan(d), F.lit(None)).when(d == math.inf, "Inf").when(d == -math.inf, "-Inf").when(whole, d.cast("bigint").cast("string")).otherwise(d.cast("string"))
+        return F.when(F.isnan(d), F.lit(None)).when(d == math.inf, "Inf").when(d == -math.inf, "-Inf").when(whole, d.cast("bigint").cast("string")).otherwise(significant(d))
     return c.cast("string")
 
 

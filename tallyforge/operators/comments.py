@@ -12,12 +12,15 @@ from tallyforge.operators.tabulate import dtypes
 from tallyforge.plans.state import current
 
 SAMPLE_SIZE, MIN_CHARS, MAX_CHARS, MAX_CANDIDATES, LAMBDA = 10, 10, 300, 500, 0.6
-#: Common English function words, left out of tokens unless others are given.
+#: English function words, left out of tokens unless others are given (fixed values).
 STOPWORDS = (
-    "about above after again against all and any are because been before being below between both but can cannot could did does doing down during each few for from further "
-    "had has have having her here hers herself him himself his how into its itself just more most myself nor not now off once only other our ours ourselves out over own same she "
-    "should some such than that the their theirs them themselves then there these they this those through too under until very was were what when where which while who whom why "
-    "will with would you your yours yourself yourselves"
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs "
+    "themselves what which who whom this that these those am is are was were be been being have has had having do does did doing would should could ought "
+    "i'm you're he's she's it's we're they're i've you've we've they've i'd you'd he'd she'd we'd they'd i'll you'll he'll she'll we'll they'll isn't "
+    "aren't wasn't weren't hasn't haven't hadn't doesn't don't didn't won't wouldn't shan't shouldn't can't cannot couldn't mustn't let's that's who's "
+    "what's here's there's when's where's why's how's a an the and but if or because as until while of at by for with about against between into through "
+    "during before after above below to from up down in out on off over under again further then once here there when where why how all any both each few "
+    "more most other some such no nor not only own same so than too very will"
 ).split()
 
 
@@ -52,8 +55,8 @@ def sample_comments(df: DataFrame | None, *columns, n: int = SAMPLE_SIZE, min_ch
 def tokens(comment: Column | str, stopwords=STOPWORDS) -> Column:
     """Words of three letters or more, lower-cased, each once, stop words out."""
     words = F.split(F.regexp_replace(F.lower(S.col(comment)), "[^a-z0-9' ]", " "), " +")
-    stop = F.array(*[F.lit(w) for w in stopwords]) if stopwords else F.array().cast("array<string>")
-    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w)))
+    long = F.array_distinct(F.filter(words, lambda w: F.length(w) > 2))
+    return F.array_except(long, F.array(*[F.lit(w) for w in stopwords])) if stopwords else long
 
 
 def entropy_bits(words: Column) -> Column:

@@ -5,7 +5,11 @@ Lookup tables are joined; they are small, and Spark broadcasts them after it has
 
 from __future__ import annotations
 
+import csv
+import functools
+import re
 import unicodedata
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,37 +29,9 @@ RATES = {
 #: Other names of codes (fixed values).
 CURRENCY_ALIASES = {"RMB": "CNY", "YUAN": "CNY", "RENMINBI": "CNY", "DOLLAR": "USD", "EURO": "EUR", "STERLING": "GBP", "QUID": "GBP", "YEN": "JPY", "NIS": "ILS"}
 
-#: Sovereign states by subregion, for use where no table of countries is given.
-STATES = {
-    ("Europe", "Northern Europe"): "Denmark, Estonia, Finland, Iceland, Ireland, Latvia, Lithuania, Norway, Sweden, United Kingdom",
-    ("Europe", "Western Europe"): "Austria, Belgium, France, Germany, Liechtenstein, Luxembourg, Monaco, Netherlands, Switzerland",
-    ("Europe", "Eastern Europe"): "Belarus, Bulgaria, Czechia, Hungary, Moldova, Poland, Romania, Russia, Slovakia, Ukraine",
-    ("Europe", "Southern Europe"): "Albania, Andorra, Bosnia and Herzegovina, Croatia, Greece, Italy, Malta, Montenegro, North Macedonia, Portugal, San Marino, Serbia, Slovenia, Spain",
-    ("Africa", "Northern Africa"): "Algeria, Egypt, Libya, Morocco, Sudan, Tunisia",
-    ("Africa", "Western Africa"): "Benin, Burkina Faso, Cabo Verde, Cote d'Ivoire, Gambia, Ghana, Guinea, Guinea-Bissau, Liberia, Mali, Mauritania, Niger, Nigeria, Senegal, Sierra Leone, Togo",
-    ("Africa", "Middle Africa"): "Angola, Cameroon, Central African Republic, Chad, Congo, Equatorial Guinea, Gabon",
-    ("Africa", "Eastern Africa"): "Burundi, Comoros, Djibouti, Eritrea, Ethiopia, Kenya, Madagascar, Malawi, Mauritius, Mozambique, Rwanda, Seychelles, Somalia, Tanzania, Uganda, Zambia, Zimbabwe",
-    ("Africa", "Southern Africa"): "Botswana, Eswatini, Lesotho, Namibia, South Africa",
-    ("Americas", "Northern America"): "Canada, United States",
-    ("Americas", "Central America"): "Belize, Costa Rica, El Salvador, Guatemala, Honduras, Mexico, Nicaragua, Panama",
-    ("Americas", "Caribbean"): "Bahamas, Barbados, Cuba, Dominica, Dominican Republic, Grenada, Haiti, Jamaica, Trinidad and Tobago",
-    ("Americas", "South America"): "Argentina, Bolivia, Brazil, Chile, Colombia, Ecuador, Guyana, Paraguay, Peru, Suriname, Uruguay, Venezuela",
-    ("Asia", "Eastern Asia"): "China, Japan, Mongolia, North Korea, South Korea, Taiwan",
-    ("Asia", "South-eastern Asia"): "Brunei, Cambodia, Indonesia, Laos, Malaysia, Myanmar, Philippines, Singapore, Thailand, Timor-Leste, Vietnam",
-    ("Asia", "Southern Asia"): "Afghanistan, Bangladesh, Bhutan, India, Iran, Maldives, Nepal, Pakistan, Sri Lanka",
-    ("Asia", "Central Asia"): "Kazakhstan, Kyrgyzstan, Tajikistan, Turkmenistan, Uzbekistan",
-    ("Asia", "Western Asia"): "Armenia, Azerbaijan, Bahrain, Cyprus, Georgia, Iraq, Israel, Jordan, Kuwait, Lebanon, Oman, Qatar, Saudi Arabia, Syria, Turkey, United Arab Emirates, Yemen",
-    ("Oceania", "Australia and New Zealand"): "Australia, New Zealand",
-    ("Oceania", "Pacific Islands"): "Fiji, Kiribati, Marshall Islands, Nauru, Palau, Papua New Guinea, Samoa, Solomon Islands, Tonga, Tuvalu, Vanuatu",
-}
-#: Spellings that respondents use.
-COUNTRY_ALIASES = {
-    "usa": "united states", "us": "united states", "america": "united states", "united states of america": "united states", "uk": "united kingdom", "gb": "united kingdom",
-    "great britain": "united kingdom", "england": "united kingdom", "scotland": "united kingdom", "wales": "united kingdom", "holland": "netherlands", "czech republic": "czechia",
-    "korea": "south korea", "republic of korea": "south korea", "russian federation": "russia", "viet nam": "vietnam", "uae": "united arab emirates", "ivory coast": "cote divoire",
-    "burma": "myanmar", "swaziland": "eswatini", "cape verde": "cabo verde", "macedonia": "north macedonia", "turkiye": "turkey", "deutschland": "germany", "espana": "spain",
-    "no": "norway", "it": "italy", "at": "austria", "be": "belgium", "in": "india", "my": "malaysia", "id": "indonesia",
-}
+#: Fixed values, as plain files: ``countries.csv`` (country, region, subregion; the states and the territories that
+#: surveys meet) and ``country_spellings.csv`` (what respondents type, and the country that they mean).
+DATA = Path(__file__).resolve().parent.parent / "data"
 #: Codes that are words too: read only when typed in capitals.
 AMBIGUOUS = ("no", "it", "at", "be", "in", "my", "id")
 
@@ -81,9 +57,31 @@ def normalise_country(c: Column | str) -> Column:
     return F.regexp_replace(c, "^the ", "")
 
 
-def canonical_country(c: Column | str, aliases: dict[str, str] = COUNTRY_ALIASES) -> Column:
+def read_rows(name: str) -> list[dict[str, str]]:
+    with open(DATA / name, encoding="utf-8", newline="") as f:
+        return list(csv.DictReader(f))
+
+
+@functools.cache
+def country_spellings() -> dict[str, str]:
+    """What respondents type, in the form of `normalise_country`, and the country that they mean."""
+    return {r["spelling"]: r["country"] for r in read_rows("country_spellings.csv")}
+
+
+def plain_key(name: str) -> str:
+    """`normalise_country` of one name of the tables."""
+    name = "".join(c for c in unicodedata.normalize("NFKD", name.lower()) if not unicodedata.combining(c))
+    name = " ".join(re.sub("[^a-z ]", " ", re.sub("[.,'`]", "", name)).split())
+    return name.removeprefix("the ")
+
+
+def canonical_country(c: Column | str, aliases: dict[str, str] | None = None) -> Column:
+    """The key to look a country up by: what ``aliases`` say that a spelling means, else the name itself."""
+    aliases = country_spellings() if aliases is None else aliases
     key = normalise_country(c)
-    table = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
+    if not aliases:
+        return key
+    table = F.create_map(*[F.lit(x) for k, v in aliases.items() for x in (k, plain_key(v))])
     hit = F.try_element_at(table, key)
     raw = S.col(c).cast("string")
     return F.coalesce(F.when(~(key.isin(*AMBIGUOUS) & (raw != F.upper(raw))), hit), key)
@@ -91,24 +89,28 @@ def canonical_country(c: Column | str, aliases: dict[str, str] = COUNTRY_ALIASES
 
 def country_table(spark: SparkSession) -> DataFrame:
     """``country, region, subregion``; any table of these columns can be given to the operators instead."""
-    rows = [(c.strip(), r, s) for (r, s), names in STATES.items() for c in names.split(",")]
+    rows = [(r["country"], r["region"], r["subregion"]) for r in read_rows("countries.csv")]
     return spark.createDataFrame(rows, "country string, region string, subregion string")
 
 
-def add_region(df: DataFrame | None, country: str, region_to: str = "region", subregion: bool = False, table: DataFrame | None = None, aliases: dict[str, str] = COUNTRY_ALIASES) -> DataFrame:
+def add_region(df: DataFrame | None, country: str, region_to: str = "region", subregion: bool = False, table: DataFrame | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
     """``df`` with the region (and subregion) of each country; unknown ones are missing."""
     df = current().resolve(df)
     check_column(country, df)
     table = country_table(df.sparkSession) if table is None else table
-    keyed = table.groupBy(normalise_country("country").alias("__country")).agg(F.min_by("region", "country").alias(region_to), F.min_by("subregion", "country").alias("__sub"))
-    out = df.withColumn("__key", canonical_country(country, aliases)).join(keyed, F.col("__key") == F.col("__country"), "left").drop("__key", "__country")
-    return out.withColumnRenamed("__sub", "subregion") if subregion else out.drop("__sub")
+    keyed = table.groupBy(normalise_country("country").alias("__country")).agg(F.min_by("region", "country").alias("__region"), F.min_by("subregion", "country").alias("__sub"))
+    out = df.withColumn("__key", canonical_country(country, aliases)).join(keyed, F.col("__key") == F.col("__country"), "left")
+    out = out.withColumn(region_to, F.col("__region"))
+    out = out.withColumn("subregion", F.col("__sub")) if subregion else out
+    return out.drop("__key", "__country", "__region", "__sub")
 
 
 def recode_region(df: DataFrame | None, country: str, which: str = "region", **options) -> DataFrame:
     which = S.match_arg(which, ("region", "subregion"))
-    out = add_region(df, country, "__region", subregion=True, **options)
-    return out.withColumn(f"{country}_{which}", F.col("__region" if which == "region" else "subregion")).drop("__region", "subregion")
+    table = options.pop("table", None)
+    df = current().resolve(df)
+    table = country_table(df.sparkSession) if table is None else table
+    return add_region(df, country, f"{country}_{which}", table=table.withColumn("region", F.col(which)), **options)
 
 
 def recode_subregion(df: DataFrame | None, country: str, **options) -> DataFrame:

@@ -94,10 +94,9 @@ def pivot_wider(df: DataFrame, ids: list[str], names_from: str, values_from: str
     they are the answers of a finished table."""
     names = [r[0] for r in df.select(F.coalesce(F.col(f"`{names_from}`").cast("string"), F.lit("NA"))).collect()]
     names = list(dict.fromkeys(names))
-    rows = {tuple(r): k for k, r in reversed(list(enumerate(df.select(*ids).collect())))} if ids else {}
     d = df.withColumn(names_from, F.coalesce(F.col(f"`{names_from}`").cast("string"), F.lit("NA")))
     out = d.groupBy(*ids).pivot(names_from, names).agg(F.last(values_from))
-    return out.orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in ids]) if rows else out
+    return out.orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in ids]) if ids else out
 
 
 def calc_percentage_batch(df: DataFrame | None, *columns, by=None, sort: str = "none", digits: int = 0, na_rm: bool = True, drop=None, weights=None, clean_names: bool = False, prefix: str | None = None) -> DataFrame:
@@ -130,7 +129,8 @@ def block_columns(df: DataFrame, prefix: str) -> list[str]:
     return [c for c in df.columns if c.lower().startswith(prefix.lower())]
 
 
-DELIMITERS = (";", ", ", ",")
+#: Between the answers of one cell, in the order in which they are looked for (fixed values).
+DELIMITERS = (";", "|", ",")
 
 
 def detect_delimiter(df: DataFrame, column: str) -> str | None:
@@ -139,11 +139,10 @@ def detect_delimiter(df: DataFrame, column: str) -> str | None:
     return next((d for i, d in enumerate(DELIMITERS) if r[i]), None)
 
 
-def packed_answers(column: str, delimiter: str) -> Column:
-    """The answers of a packed cell, without blanks and repeats."""
-    parts = F.split(S.col(column).cast("string"), "[" + delimiter.strip() + "]" if delimiter.strip() != ";" else ";", -1)
-    if delimiter == ", ":
-        parts = F.split(S.col(column).cast("string"), ", ", -1)
+def packed_answers(column: str, delimiter: str | None) -> Column:
+    """The answers of a packed cell, without blanks and repeats; without a delimiter a cell is one answer."""
+    cell = S.col(column).cast("string")
+    parts = F.split(cell, "\\Q" + delimiter.replace("\\E", "\\E\\\\E\\Q") + "\\E", -1) if delimiter else F.array(cell)
     return F.coalesce(F.array_distinct(F.filter(F.transform(parts, S.squish), lambda x: x != "")), F.array().cast("array<string>"))
 
 
@@ -194,7 +193,7 @@ def split_multi(df: DataFrame | None, column: str, split: str = "auto", prefix:
     df = current().resolve(df)
     check_column(column, df)
     delimiter = detect_delimiter(df, column) if split == "auto" else split
-    answers = packed_answers(column, delimiter or ";")
+    answers = packed_answers(column, delimiter)
     counts = df.select(F.explode(answers).alias("a")).groupBy("a").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), english("a"))
     names = [r["a"] for r in counts.collect()]
     if not names:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyforge.functions import scalars as S
 from tallyforge.operators import comments, crosstab, lookups, model, precision, select, tabulate, weights
@@ -103,6 +104,17 @@ def multi_packed_flags(spark, sf):
     return tabulate.calc_percentage_multi(_packed(spark, sf), "flags", id="l_orderkey")
 
 
+@query(_OPTIONS)
+def multi_pipe(spark, sf):
+    return tabulate.calc_percentage_multi(_packed(spark, sf).withColumn("flags", F.replace("flags", F.lit("; "), F.lit(" |"))), "flags", id="l_orderkey")
+
+
+@query(_OPTIONS)
+def multi_comma(spark, sf):
+    mixed = F.when(F.col("l_orderkey") % 2 == 0, F.replace("flags", F.lit("; "), F.lit(","))).otherwise(F.replace("flags", F.lit("; "), F.lit(", ")))
+    return tabulate.calc_percentage_multi(_packed(spark, sf).withColumn("flags", mixed), "flags")
+
+
 @query("SELECT l_orderkey, max(CASE WHEN l_returnflag = 'A' THEN 'A' ELSE '' END) AS flags_A, max(CASE WHEN l_returnflag = 'N' THEN 'N' ELSE '' END) AS flags_N, max(CASE WHEN l_returnflag = 'R' THEN 'R' ELSE '' END) AS flags_R FROM lineitem GROUP BY 1")
 def split_multi_flags(spark, sf):
     return tabulate.split_multi(_packed(spark, sf), "flags").drop("flags")
@@ -154,6 +166,13 @@ def scalar_recodes(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", S.drop_items("c_mktsegment", ["Building"]).alias("segment"), S.ensure_numeric("c_name").alias("number"), S.r_round("c_acctbal", 0).alias("balance"))
 
 
+@query("SELECT o_orderkey, printf('%.15g', o_totalprice / 7) AS a, printf('%.15g', o_totalprice * 1e-9) AS b, printf('%.15g', o_totalprice * 1e14) AS c, printf('%.15g', 0.1::DOUBLE + 0.2::DOUBLE + (o_orderkey % 3)) AS d FROM orders")
+def text_of_doubles(spark, sf):
+    price, double = F.col("o_totalprice"), T.DoubleType()
+    values = {"a": price / 7, "b": price * 1e-9, "c": price * 1e14, "d": F.lit(0.1) + F.lit(0.2) + F.col("o_orderkey") % 3}
+    return table(spark, sf, "orders").select("o_orderkey", *[S.as_text(v, double).alias(k) for k, v in values.items()])
+
+
 @query("SELECT s_suppkey, CASE WHEN s_acctbal >= 5000 THEN 'high' WHEN s_acctbal >= 0 THEN 'mid' ELSE 'low' END AS band FROM supplier")
 def band_labels(spark, sf):
     rows = charts.bands([-1000, 0, 5000, 10000], ["low", "mid", "high"], ["red", "amber", "green"])
@@ -344,10 +363,22 @@ def currency_by_nation(spark, sf):
     return rounded(out.select("c_custkey", "code", "c_acctbal_gbp"))
 
 
-@query("SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'Europe' WHEN 1 THEN 'Americas' WHEN 2 THEN 'Asia' WHEN 3 THEN NULL ELSE 'Europe' END AS region, CASE n_nationkey % 5 WHEN 0 THEN 'Western Europe' WHEN 1 THEN 'Northern America' WHEN 2 THEN 'South-eastern Asia' WHEN 3 THEN NULL ELSE 'Northern Europe' END AS subregion FROM nation")
+_VALUES = ", ".join("({})".format(", ".join("'" + r[k].replace("'", "''") + "'" for k in ("country", "region", "subregion"))) for r in lookups.read_rows("countries.csv"))
+
+
+@query(f"SELECT n_nationkey, country, t.region, t.subregion FROM nation, (VALUES {_VALUES}) AS t(country, region, subregion)")
+def region_all_countries(spark, sf):
+    names = F.array(*[F.lit(r["country"]) for r in lookups.read_rows("countries.csv")])
+    d = table(spark, sf, "nation").select("n_nationkey", F.explode(names).alias("country"))
+    typed = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("  The "), F.upper("country"))).otherwise(F.concat(F.lower("country"), F.lit(" .")))
+    return lookups.add_region(d.withColumn("typed", typed), "typed", subregion=True).select("n_nationkey", "country", "region", "subregion")
+
+
+@query("""SELECT n_nationkey, CASE n_nationkey % 8 WHEN 0 THEN 'Europe' WHEN 1 THEN 'North America' WHEN 2 THEN 'Asia' WHEN 3 THEN NULL WHEN 4 THEN 'Europe' WHEN 5 THEN 'South America' WHEN 6 THEN NULL ELSE 'Europe' END AS region,
+CASE n_nationkey % 8 WHEN 0 THEN 'Western Europe' WHEN 1 THEN 'North America' WHEN 2 THEN 'South East Asia' WHEN 3 THEN NULL WHEN 4 THEN 'Western Europe' WHEN 5 THEN 'South America' WHEN 6 THEN NULL ELSE 'Northern Europe' END AS subregion FROM nation""")
 def region_lookup(spark, sf):
-    names = F.array(*[F.lit(x) for x in ("  GERMANY", "U.S.A.", "Viet Nam", "nowhere", "the UK")])
-    d = table(spark, sf, "nation").select("n_nationkey", F.get(names, F.col("n_nationkey") % 5).alias("country"))
+    names = F.array(*[F.lit(x) for x in ("  GERMANY", "U.S.A.", "Viet Nam", "nowhere", "the UK", "Brasil", "no", "NO")])
+    d = table(spark, sf, "nation").select("n_nationkey", F.get(names, F.col("n_nationkey") % 8).alias("country"))
     return lookups.add_region(d, "country", subregion=True).drop("country")
 
 

@@ -274,8 +274,18 @@ def test_diagnose(survey):
 
 def test_lookups(spark):
     df = spark.createDataFrame([("  the UNITED states ",), ("Côte d'Ivoire",), ("no",), ("NO",), ("atlantis",), (None,)], "c string")
-    got = [r["region"] for r in lookups.add_region(df, "c").collect()]
-    assert got == ["Americas", "Africa", None, "Europe", None, None]
+    got = {r["c"]: r["region"] for r in lookups.add_region(df, "c").collect()}
+    assert list(map(got.get, [r["c"] for r in df.collect()])) == ["North America", "Africa", None, "Europe", None, None]
+    named = spark.createDataFrame([("Brasil",), ("EGYPT",), ("Japan",), ("USA",), ("U.S.",), ("Holland",), ("Puerto Rico",), ("North Korea",), ("KOR",)], "c string")
+    where = {r["c"]: (r["where"], r["subregion"]) for r in lookups.add_region(named, "c", region_to="where", subregion=True).collect()}
+    assert where == {
+        "Brasil": ("South America", "South America"), "EGYPT": ("Middle East", "Middle East"), "Japan": ("Asia", "East Asia"), "USA": ("North America", "North America"),
+        "U.S.": ("North America", "North America"), "Holland": ("Europe", "Western Europe"), "Puerto Rico": ("North America", "Caribbean"), "North Korea": ("Asia", "East Asia"),
+        "KOR": ("Asia", "East Asia"),
+    }
+    assert rows(lookups.recode_subregion(named.limit(1), "c")) == [("Brasil", "South America")]
+    own = spark.createDataFrame([("Atlantis", "Sea", "Deep Sea")], "country string, region string, subregion string")
+    assert {r["c"]: r["region"] for r in lookups.add_region(df, "c", table=own, aliases={}).collect()}["atlantis"] == "Sea"
     money = spark.createDataFrame([(92.0, "EUR"), (7.2, " rmb "), (1.0, "???")], "a double, cur string")
     assert [r["a_usd"] for r in lookups.add_currency(money, "a", "cur").collect()] == [pytest.approx(100), pytest.approx(1), None]
     assert lookups.add_currency(money, "a", "EUR", to="EUR").first()["a_eur"] == pytest.approx(92)
@@ -357,3 +367,24 @@ def test_options_and_profiles(tmp_path):
     assert fresh.load_profile(path) == [path] and fresh.option("current_year") == 2030 and len(fresh.list_orders()) == 5
     with pytest.raises(ValueError, match="No default dataset"):
         fresh.get_dataset()
+
+
+def test_delimiters(spark):
+    cells = lambda *values: spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x string")
+    for values, found in ((("a, b; c", "d"), ";"), (("a, b", "c"), ","), (("a|b", "c"), "|"), (("a", "b", ""), None)):
+        assert tabulate.detect_delimiter(cells(*values), "x") == found
+    got = lambda *values: {r["option"]: r["n"] for r in tabulate.calc_percentage_multi(cells(*values), "x").collect()}
+    assert got("a,b, c", "b ,  c  d", None, " , ") == {"a": 1, "b": 2, "c": 1, "c d": 1}
+    assert got("a|b", "b | c|", "|") == {"a": 1, "b": 2, "c": 1}
+    wide = tabulate.split_multi(cells("a/b", "b"), "x", split="/", prefix="pick_")
+    assert wide.columns == ["i", "x", "pick_b", "pick_a"]
+    assert [r["x_a"] for r in tabulate.split_multi(cells("a", "b", "a"), "x").collect()] == ["a", "", "a"]
+
+
+def test_text_of_doubles(spark):
+    from pyspark.sql import types as T
+
+    values = [0.1 + 0.2, 1e-5, 1e16, 123456.5, 1 / 3, -2 / 3, 1e15, 1.5e300, 40887.61714285715, 0.00012345, 100.0, 1e22, float("inf"), float("nan"), None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "d double").select(S.as_text("d", T.DoubleType())).collect()]
+    want = [format(v, ".15g") if v not in (100.0, 1e15) else format(v, ".15g") for v in values[:-3]]
+    assert got == [*want, "Inf", None, None]
