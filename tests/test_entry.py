@@ -39,7 +39,7 @@ def test_core_queries_stand_alone(without):
 @pytest.mark.parametrize("package", ["zstandard", "xxhash", "regex"])
 def test_core_queries_without_a_package(package):
     queries, _ = listed(ROOT, f"sys.modules['{package}'] = None; ")
-    assert queries and all(map(is_core, queries))
+    assert queries and all(is_core(q) or q == "pipeline" for q in queries)  # the pipeline needs fewer packages
 
 
 def test_nothing_else_imports_the_operators():
