@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import scalars as S
 from tallyforge.operators.select import select_columns
 from tallyforge.operators.tabulate import dtypes
-from tallyforge.plans.state import current
+from tallyforge.plans.state import current, on_default
 
 SAMPLE_SIZE, MIN_CHARS, MAX_CHARS, MAX_CANDIDATES, LAMBDA = 10, 10, 300, 500, 0.6
 #: English function words, left out of tokens unless others are given (fixed values).
@@ -24,6 +24,7 @@ STOPWORDS = (
 ).split()
 
 
+@on_default
 def prep_comments(df: DataFrame | None, *columns, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS, exclude=None, by=None) -> DataFrame:
     """``by, source, comment, length``: answers longer than ``min_chars``, none that ``exclude`` (patterns,
     ignoring case) fits, cut to ``max_chars`` with three dots; respondent by respondent, then by column."""
@@ -42,6 +43,7 @@ def prep_comments(df: DataFrame | None, *columns, min_chars: int = MIN_CHARS, ma
     return d.withColumn("comment", cut).withColumn("length", F.length("comment"))
 
 
+@on_default
 def sample_comments(df: DataFrame | None, *columns, n: int = SAMPLE_SIZE, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS, exclude=None, by_column: bool = True, by=None, seed: int | None = None) -> DataFrame:
     """``n`` random comments from each source and group.  Spark keeps the n best of each group per task
     before it ranks, so a group's rows never meet in one place."""
@@ -93,6 +95,7 @@ def _dense(comments: list[str], stop: set[str]) -> tuple[np.ndarray, np.ndarray]
     return tf, m / np.where(norm == 0, 1, norm)
 
 
+@on_default
 def sample_comments_diverse(df: DataFrame | None, *columns, n: int = SAMPLE_SIZE, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS, exclude=None, lambda_: float = LAMBDA, method: str = "mmr", score: str = "entropy", stopwords=None, max_candidates: int = MAX_CANDIDATES, seed: int | None = None) -> DataFrame:
     """``source, comment, length, info``: informative comments unlike each other.  Spark removes repeats and
     draws the shortlist of at most ``max_candidates`` that this operator compares; the comparison, quadratic in

@@ -18,7 +18,8 @@ from tallyforge.operators.select import check_column, select_columns
 from tallyforge.operators.tabulate import answered, dtypes, english, level_rank, option_arrays, pivot_wider
 from tallyforge.operators.weights import WEIGHT, weighted_mean, weighted_quantiles, weighted_sd, with_weights
 from tallyforge.plans.profile import banner_selection, detect_multiselect
-from tallyforge.plans.state import current
+from tallyforge.plans.progress import Progress, confirm_selection
+from tallyforge.plans.state import current, on_default
 
 CELLS = ("count", "row_pct", "col_pct", "total_pct", "value")
 STATS = ("mean", "median", "sd", "p25", "p75")
@@ -27,6 +28,7 @@ OVERALL = "Overall"
 MAX_LEVELS = 20
 
 
+@on_default
 def crosstab(df: DataFrame | None, x: str, y: str, cell: str = "count", value: str | None = None, fn: Callable[[Column], Column] | None = None, wide: bool = True, digits: int | None = None, na_rm: bool = True, drop=None, weights=None) -> DataFrame:
     """``x, y, value`` or one column for each y.
 
@@ -115,10 +117,14 @@ def _filled(cells: DataFrame) -> DataFrame:
     return grid.select("q", "item", "c.g", "c.group_item", F.coalesce(F.try_element_at("known", at), F.lit(0.0)).alias("value"))
 
 
-def banner(df: DataFrame | None, rows=None, cols=None, cell: str = "auto", stats: Sequence[str] | None = None, total: bool = True, digits: int | None = None, na_rm: bool = True, drop=None, weights=None, max_levels: int = MAX_LEVELS, long: bool = True) -> DataFrame:
+@on_default
+def banner(df: DataFrame | None, rows=None, cols=None, cell: str = "auto", stats: Sequence[str] | None = None, total: bool = True, digits: int | None = None, na_rm: bool = True, drop=None, weights=None, max_levels: int = MAX_LEVELS, long: bool = True, checkpoint: str | None = None) -> DataFrame:
     """``variable, item, group, group_item, value`` for every question; absent cells of a categorical
     question are 0, and a question is never crossed with itself.
 
+    ``checkpoint``: a folder that all executors share, where finished blocks of the table are kept; a run over the
+    same rows with the same settings takes them from there.
+
     ``cell``: auto (numbers as statistics, the rest as column percentages), pct, count, mean, or diff (column
     percentage or statistic less Overall's, which keeps its own).  ``rows`` and ``cols`` None: chosen by profile.
     """
@@ -136,6 +142,8 @@ def banner(df: DataFrame | None, rows=None, cols=None, cell: str = "auto", stats
     groups = chosen["cols"] if cols is None else select_columns(df, cols)
     if not singles and not multi:
         raise ValueError("No question to tabulate.")
+    if chosen and not confirm_selection([*singles, *multi], "Questions of the banner"):
+        raise ValueError("The automatic selection was declined.")
     numeric = [c for c in singles if cell in ("auto", "diff", "mean") and isinstance(dtypes(df)[c], T.NumericType)]
     if cell == "mean":
         singles = numeric
@@ -148,6 +156,18 @@ def banner(df: DataFrame | None, rows=None, cols=None, cell: str = "auto", stats
     name_of = lambda g: F.when(g == -1, OVERALL).otherwise(F.get(F.array(*[F.lit(c) for c in groups]) if groups else F.array().cast("array<string>"), F.when(g >= 0, g)))
     pct_digits, stat_digits = (0, 2) if digits is None else (digits, digits)
     parts = []
+    if checkpoint:
+        from tallyforge.sources.files import Checkpoint, fingerprint
+
+        orders = {c: current().order_for(c) for c in [*singles, *groups]}
+        run = Checkpoint(df.sparkSession, checkpoint, fingerprint(df, {"rows": singles, "multi": multi, "cols": groups, "cell": cell, "stats": stats, "digits": digits, "na": [na_rm, na, drop], "weights": scheme, "orders": orders}))
+        lines = Progress(-(-len(categorical) // max(1, MAX_EXPLODED // (len(groups) + 1))) + bool(numeric) + len(multi), "Blocks of the banner")
+
+    def add(name: str, part: DataFrame) -> None:
+        if checkpoint:
+            part = run.load(name) if run.has(name) else run.save(name, part)
+            lines.item(name)
+        parts.append(part)
 
     chunk = max(1, MAX_EXPLODED // (len(groups) + 1))
     for lo in range(0, len(categorical), chunk):
@@ -166,7 +186,7 @@ def banner(df: DataFrame | None, rows=None, cols=None, cell: str = "auto", stats
         v = S.r_round("n", 0) if cell == "count" else S.r_round(F.col("n") / F.sum("n").over(whole) * 100, pct_digits)
         full = _filled(n.withColumn("value", v))
         names = F.create_map(*[F.lit(y) for c in asked for y in (at[c], c)])
-        parts.append(full.withColumn("variable", F.element_at(names, F.col("q"))).withColumn("group", name_of(F.col("g"))).withColumn("i", F.lit(0)))
+        add(f"answers {lo}", full.withColumn("variable", F.element_at(names, F.col("q"))).withColumn("group", name_of(F.col("g"))).withColumn("i", F.lit(0)))
 
     if numeric:
         vals = [F.struct(F.lit(at[c]).alias("q"), F.lit(c).alias("variable"), S.ensure_numeric(c, kinds[c]).alias("v")) for c in numeric]
@@ -181,7 +201,7 @@ def banner(df: DataFrame | None, rows=None, cols=None, cell: str = "auto", stats
             s = x.groupBy(*keys).agg(weighted_mean("v", WEIGHT).alias("mean"))
             s = s.join(weighted_quantiles(x, "v", WEIGHT, keys, {"p25": 0.25, "median": 0.5, "p75": 0.75}), keys, "left").join(weighted_sd(x, "v", WEIGHT, keys).toDF(*keys, "sd"), keys, "left")
         rows_ = F.array(*[F.struct(F.lit(k).alias("i"), F.lit(name).alias("item"), S.r_round(name, stat_digits).alias("value")) for k, name in enumerate(stats)])
-        parts.append(s.select(*keys, F.explode(rows_).alias("z")).select(*keys, "z.*"))
+        add("numbers", s.select(*keys, F.explode(rows_).alias("z")).select(*keys, "z.*"))
 
     for prefix, members in multi.items():
         options = option_arrays(df, prefix, True, None)
@@ -195,7 +215,7 @@ def banner(df: DataFrame | None, rows=None, cols=None, cell: str = "auto", stats
         m = grid.join(n, ["g", "group", "group_item", "item"], "left")
         v = F.coalesce(S.r_round("n", 0) if cell == "count" else S.r_round(F.col("n") / F.col("base") * 100, pct_digits), F.lit(0.0))
         q = min(at[c] for c in members)
-        parts.append(m.select(F.lit(q).alias("q"), F.lit(prefix.rstrip("_")).alias("variable"), "item", "g", "group", "group_item", v.alias("value"), F.lit(0).alias("i")))
+        add(f"options {prefix}", m.select(F.lit(q).alias("q"), F.lit(prefix.rstrip("_")).alias("variable"), "item", "g", "group", "group_item", v.alias("value"), F.lit(0).alias("i")))
 
     out = parts[0]
     for p in parts[1:]:

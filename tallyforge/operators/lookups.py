@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import scalars as S
 from tallyforge.operators.select import check_column
 from tallyforge.operators.tabulate import dtypes
-from tallyforge.plans.state import current
+from tallyforge.plans.state import current, on_default
 
 #: Units of each currency per US dollar (fixed values).
 RATES = {
@@ -93,6 +93,7 @@ def country_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "country string, region string, subregion string")
 
 
+@on_default
 def add_region(df: DataFrame | None, country: str, region_to: str = "region", subregion: bool = False, table: DataFrame | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
     """``df`` with the region (and subregion) of each country; unknown ones are missing."""
     df = current().resolve(df)
@@ -105,6 +106,7 @@ def add_region(df: DataFrame | None, country: str, region_to: str = "region", su
     return out.drop("__key", "__country", "__region", "__sub")
 
 
+@on_default
 def recode_region(df: DataFrame | None, country: str, which: str = "region", **options) -> DataFrame:
     which = S.match_arg(which, ("region", "subregion"))
     table = options.pop("table", None)
@@ -113,6 +115,7 @@ def recode_region(df: DataFrame | None, country: str, which: str = "region", **o
     return add_region(df, country, f"{country}_{which}", table=table.withColumn("region", F.col(which)), **options)
 
 
+@on_default
 def recode_subregion(df: DataFrame | None, country: str, **options) -> DataFrame:
     return recode_region(df, country, "subregion", **options)
 
@@ -140,6 +143,7 @@ def convert_currency(amount: Column | str, from_: Column | str, to: str = "USD",
     return S.col(amount).cast("double") / F.try_element_at(per, currency_code(S.col(from_))) * target
 
 
+@on_default
 def add_currency(df: DataFrame | None, amount: str, from_: str, to: str = "USD", into: str | None = None, rates=None) -> DataFrame:
     """``df`` with the amount in ``to``; ``from_`` is a column of codes, or one code for all rows."""
     df = current().resolve(df)

@@ -13,13 +13,14 @@ from tallyforge.functions import scalars as S
 from tallyforge.operators.select import check_column, select_columns, starts_with
 from tallyforge.operators.tabulate import dtypes, grouping
 from tallyforge.operators.weights import WEIGHT, with_weights
-from tallyforge.plans.state import current
+from tallyforge.plans.state import current, on_default
 
 METHODS = ("rwa", "forest", "correlation")
 FOREST_TREES = 500
 FOREST_LEAF = 5
 
 
+@on_default
 def calc_nps(df: DataFrame | None, value: str, by=None, weights=None) -> DataFrame:
     """``by, n, nps, pct_*, n_*`` of promoters, passives and detractors; shares follow the weights, counts don't."""
     df = current().resolve(df)
@@ -141,6 +142,7 @@ def importance_table(df: DataFrame, outcome: str, predictors: list[str], method:
     return [(predictors[i], float(values[i])) for i in order]
 
 
+@on_default
 def calc_importance(df: DataFrame | None, outcome: str, predictors, method: str = "rwa", recode: bool = True, likert_levels=S.LIKERT_LEVELS) -> DataFrame:
     """``feature, importance`` in descending order; importances add up to 100."""
     df = current().resolve(df)
@@ -154,6 +156,7 @@ def calc_importance(df: DataFrame | None, outcome: str, predictors, method: str
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
+@on_default
 def ipm_model(df: DataFrame | None, outcome: str, rating_prefix: str, method: str = "rwa", recode: bool = True, likert_levels=S.LIKERT_LEVELS) -> DataFrame:
     """``feature, importance, performance, perf_class``: importance against the mean of all ratings given."""
     df = current().resolve(df)

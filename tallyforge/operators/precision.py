@@ -13,11 +13,12 @@ from tallyforge.functions import scalars as S
 from tallyforge.operators.select import select_columns
 from tallyforge.operators.tabulate import dtypes
 from tallyforge.plans.profile import is_categorical_like, profile
-from tallyforge.plans.state import current
+from tallyforge.plans.state import current, on_default
 
 TYPES = ("auto", "mean", "prop")
 
 
+@on_default
 def diagnose(df: DataFrame | None, *columns, type: str = "auto", by=None, z: float = S.Z_95, digits: int = 2) -> DataFrame:
     """``by, variable, type, unit, n, estimate, se, rse, moe, precision``: means of numbers in points, the
     largest answer's share of the rest in percentage points.  One aggregation for all means, one for all shares."""
@@ -54,6 +55,7 @@ def diagnose(df: DataFrame | None, *columns, type: str = "auto", by=None, z: flo
     return out.orderBy(*order, "k").select(*by, "variable", "type", "unit", "n", "estimate", "se", "rse", "moe", "precision")
 
 
+@on_default
 def precision_summary(df: DataFrame | None, *columns, z: float = S.Z_95) -> dict:
     """The table of ``diagnose`` for all suitable columns, its medians, a verdict, and these in sentences."""
     df = current().resolve(df)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import scalars as S
 from tallyforge.operators.select import check_column, select_columns
 from tallyforge.operators.weights import WEIGHT, weighted_mean, weighted_quantiles, weighted_sd, with_weights
-from tallyforge.plans.state import current
+from tallyforge.plans.state import current, levels_of, on_default
 
 SORTS = ("none", "asc", "desc")
 
@@ -57,14 +57,16 @@ def _shares(counts: DataFrame, within: list[str], digits: int, weighted: bool) -
     return counts.drop("__w")
 
 
+@on_default
 def calc_percentage(df: DataFrame | None, column: str, by=None, sort: str = "none", levels: Sequence[str] | None = None, digits: int = 0, wide: bool = False, na_rm: bool = True, drop=None, weights=None) -> DataFrame:
     """``by, column, n, pct`` (and ``wpct``): how often each answer occurs within each group.
 
     Order: explicit ``levels`` (an answer that isn't one loses its label), else ``sort`` over the whole table,
-    else a registered order, else the answers' own.  ``wide`` has one column for each answer.
+    else a registered order, else the one that the column carries, else the answers' own.  ``wide`` has one column for each answer.
     """
     df = current().resolve(df)
     check_column(column, df)
+    carried = levels_of(df, column)
     sort = S.match_arg(sort, SORTS)
     scheme = current().resolve_weights(weights)
     by = grouping(df, by)
@@ -74,7 +76,7 @@ def calc_percentage(df: DataFrame | None, column: str, by=None, sort: str = "non
     out = _shares(counts, by, digits, scheme is not None).select(*by, column, "n", "pct", *(["wpct"] if scheme else []))
     prior = [F.col(f"`{c}`").asc_nulls_last() for c in [*by, column]]
     if levels is None and sort == "none":
-        known = current().order_for(column)
+        known = current().order_for(column) or carried
         if known:
             rank = F.coalesce(level_rank(column, known), F.lit(len(known) + 1))
             out = out.orderBy(*prior[:-1], rank, prior[-1])
@@ -99,6 +101,7 @@ def pivot_wider(df: DataFrame, ids: list[str], names_from: str, values_from: str
     return out.orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in ids]) if ids else out
 
 
+@on_default
 def calc_percentage_batch(df: DataFrame | None, *columns, by=None, sort: str = "none", digits: int = 0, na_rm: bool = True, drop=None, weights=None, clean_names: bool = False, prefix: str | None = None) -> DataFrame:
     """``variable, by, answer, n, pct`` for many columns at once: one scan and one aggregation, whatever their
     number.  A ``prefix`` is taken off the names, and cleans them as ``clean_names`` does."""
@@ -162,6 +165,7 @@ def option_arrays(df: DataFrame, prefix: str, clean_names: bool = True, split: s
     return F.array_distinct(F.array_compact(F.array(*cells)))
 
 
+@on_default
 def calc_percentage_multi(df: DataFrame | None, prefix: str, id: str | None = None, by=None, sort: str = "none", digits: int = 0, drop=None, clean_names: bool = True, split: str | None = "auto") -> DataFrame:
     """``by, option, n, pct`` of a check-all question: distinct respondents of each option, as a share of the
     respondents with at least one surviving option.  Without ``id`` a row is a respondent and nothing needs a
@@ -188,6 +192,7 @@ def calc_percentage_multi(df: DataFrame | None, prefix: str, id: str | None = No
     return out.orderBy(*prior) if sort == "none" else out.orderBy(F.col("pct").desc() if sort == "desc" else F.col("pct").asc(), *prior)
 
 
+@on_default
 def split_multi(df: DataFrame | None, column: str, split: str = "auto", prefix: str | None = None) -> DataFrame:
     """One text column for each answer of a packed column (the answer, or ''), most chosen first."""
     df = current().resolve(df)
@@ -202,6 +207,7 @@ def split_multi(df: DataFrame | None, column: str, split: str = "auto", prefix:
     return df.withColumns({f"{head}{a}": F.when(F.array_contains(answers, a), F.lit(a)).otherwise("") for a in names})
 
 
+@on_default
 def calc_summary(df: DataFrame | None, column: str, by=None, na_rm: bool = True, weights=None) -> DataFrame:
     """``by, n, mean, median, sd``; missing values never count under weights, and without ``na_rm`` one
     missing value makes a group's statistics missing."""

@@ -6,7 +6,9 @@ them), which one aggregation counts.  The cell weights are joined back to the ro
 
 from __future__ import annotations
 
+import json
 import math
+import weakref
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -14,6 +16,10 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
 
+#: Cells that raking takes: one row each comes to the driver.
+MAX_CELLS = 100_000
+#: Tables whose cells are remembered, for as long as the tables live.
+_REMEMBERED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 MAX_SWEEPS = 50
 TOLERANCE = 1e-6
 WEIGHT = "__weight"
@@ -51,13 +57,21 @@ def _shares(variable: str, targets: dict) -> dict[str, float]:
 
 
 def cell_weights(df: DataFrame, scheme: dict, max_sweeps: int = MAX_SWEEPS, tolerance: float = TOLERANCE) -> tuple[list[tuple], np.ndarray, np.ndarray]:
-    """(cells, counts, weights): the categories of each cell, how many rows it has, and their weight."""
+    """(cells, counts, weights): the categories of each cell, how many rows it has, and their weight.  They are
+    remembered for each table and scheme."""
     gone = [v for v in scheme if v not in df.columns]
     if gone:
         raise ValueError(f"Weighting variable '{gone[0]}' is not a column.")
     types = {f.name: f.dataType for f in df.schema.fields}
     texts = [S.na_blank(v, dtype=types[v]).alias(f"c{i}") for i, v in enumerate(scheme)]
-    rows = df.select(*texts).groupBy(*[f"c{i}" for i in range(len(scheme))]).agg(F.count("*").alias("n")).collect()
+    known = _REMEMBERED.setdefault(df, {})
+    key = json.dumps([scheme, max_sweeps, tolerance])
+    if key in known:
+        return known[key]
+    rows = df.select(*texts).groupBy(*[f"c{i}" for i in range(len(scheme))]).agg(F.count("*").alias("n")).limit(MAX_CELLS + 1).collect()
+    if len(rows) > MAX_CELLS:
+        raise ValueError(f"The weighting variables make more than {MAX_CELLS} cells.")
+    rows.sort(key=lambda r: [(x is None, x or "") for x in r[:-1]])
     cells, n = [tuple(r[:-1]) for r in rows], np.array([r["n"] for r in rows], float)
     w = np.ones(len(cells))
     for _ in range(max_sweeps):
@@ -75,7 +89,12 @@ def cell_weights(df: DataFrame, scheme: dict, max_sweeps: int = MAX_SWEEPS, tole
         if worst < tolerance:
             break
     mean = float((w * n).sum() / n.sum()) if n.sum() else 1.0
-    return cells, n, w / mean if mean else w
+    known[key] = cells, n, w / mean if mean else w
+    return known[key]
+
+
+def clear_weights_cache() -> None:
+    _REMEMBERED.clear()
 
 
 def weight_vector(df: DataFrame, scheme: dict, into: str = "weight") -> DataFrame:

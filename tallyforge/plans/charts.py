@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
-from tallyforge.plans.state import current
+from tallyforge.plans.state import current, on_default
 
 # Fixed colours: ratings by rank, net promoter groups, the blue ramp that stands in for a brand, neutral.
 RATING = {"1": "#FF3300", "2": "#FF3300", "3": "#FFCB3E", "4": "#A7C23D", "5": "#86A33B"}
@@ -163,6 +163,7 @@ def stacked_rating(df: DataFrame, feature: str, level: str, value: str = "pct",
     return {"mark": "bar", "data": {"values": data}, "encoding": {"y": {"field": feature, "sort": order}, "x": {"field": value, "stack": "normalize"}, "color": {"field": level}}}
 
 
+@on_default
 def rating_grid(df: DataFrame | None, prefix: str, levels=None, digits: int = 2, label_min: float = 1) -> dict:
     """A block of rating questions stacked by question, answers numbered by their place on the scale (``levels``,
     else the block's registered order, else five points).  ``unranked``: answers that are not on the scale;

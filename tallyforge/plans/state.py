@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import warnings
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
 
 #: Options and their defaults (fixed values).
 DEFAULTS = {
     "pct_axis_unit": 25, "pct_axis_max": None, "bar_cols_max_items": 6, "bar_cols_max_label": 12, "bar_wrap_cols": 12,
-    "bar_wrap_bars": 28, "bar_width": 0.66, "bar_ref_items": 6, "age_breaks": list(S.AGE_BREAKS), "age_labels": list(S.AGE_LABELS),
+    "bar_wrap_bars": 28, "bar_label_size": 3.5, "bar_size_step": 0.15, "bar_size_min": 2.4, "bar_width": 0.66, "bar_ref_items": 6, "age_breaks": list(S.AGE_BREAKS), "age_labels": list(S.AGE_LABELS),
     "na_answers": list(S.NA_ANSWERS), "drop_answers": None, "generation_scheme": "pew", "current_year": None, "default_by": None,
     "progress": "auto", "confirm": "auto", "output_dir": "survey-outputs",
     "brand_colors": None, "brand_color_primary": None, "brand_font_major": None, "brand_font_minor": None, "brand_fonts_enabled": True,
@@ -135,6 +138,12 @@ class SurveySession:
                 return self._orders[n]["levels"]
         return None
 
+    def apply_order(self, df: DataFrame, column: str, name: str | None = None) -> DataFrame:
+        """``df`` whose ``column`` carries an order (the named one, or the one for the column) and is text: an answer
+        that isn't one of its levels is missing.  Without an order the table stays as it is."""
+        levels = self.get_order(name) if name is not None else self.order_for(column)
+        return df if levels is None else with_levels(df, column, levels)
+
     # options
     def options(self, **new) -> dict:
         """All options; or set some (None deletes) and return what they were."""
@@ -181,6 +190,11 @@ class SurveySession:
             used.append(str(p))
         return used
 
+    def edit_profile(self, path: str | None = None) -> str:
+        """The path of a profile to edit, made from the template where there is none."""
+        path = path or profile_paths()[-1]
+        return path if os.path.exists(path) else self.write_profile_template(path)
+
     def write_profile_template(self, path: str, overwrite: bool = False) -> str:
         if os.path.exists(path) and not overwrite:
             raise ValueError(f"'{path}' exists.")
@@ -188,6 +202,38 @@ class SurveySession:
         return path
 
 
+def with_levels(df: DataFrame, column: str, levels: list[str]) -> DataFrame:
+    """``df`` whose ``column`` is text with these answers in this order, others missing; the order travels with the
+    column as metadata."""
+    dtype = next(f.dataType for f in df.schema.fields if f.name == column)
+    text = S.as_text(column, dtype)
+    levels = [str(x) for x in levels]
+    named = F.when(text.isin(levels), text).alias(column, metadata={"levels": levels})
+    return df.select(*[named if c == column else F.col(f"`{c}`") for c in df.columns])
+
+
+def levels_of(df: DataFrame, column: str) -> list[str] | None:
+    """The order that a column carries."""
+    return next(f.metadata.get("levels") for f in df.schema.fields if f.name == column)
+
+
+def factor_order(df: DataFrame, column: str, answers: list[str]) -> list[str] | None:
+    """The answers in the order that the column carries, those it doesn't list at the end; None without an order."""
+    levels = levels_of(df, column)
+    return None if levels is None else [x for x in levels if x in answers] + [x for x in answers if x not in levels]
+
+
+def on_default(f: Callable) -> Callable:
+    """Operators called without a table take the session's: their other arguments move up."""
+
+    @functools.wraps(f)
+    def call(*args, **options):
+        given = "df" in options or args and (args[0] is None or isinstance(args[0], DataFrame))
+        return f(*args, **options) if given else f(None, *args, **options)
+
+    return call
+
+
 def profile_paths() -> list[str]:
     config = os.environ.get("XDG_CONFIG_HOME", os.path.join(os.path.expanduser("~"), ".config"))
     return [os.path.join(config, "tallyforge", "profile.yml"), os.path.join(os.path.expanduser("~"), ".tallyforge.yml"), os.path.join(os.getcwd(), "tallyforge.yml")]

@@ -11,13 +11,13 @@ import zipfile
 from functools import reduce
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.functions import scalars as S
 from tallyforge.operators.select import check_column
-from tallyforge.plans.state import current
+from tallyforge.plans.state import current, on_default
 
 SHEET_CHARS = 28
 
@@ -44,31 +44,61 @@ def looks_like_question_row(cells: list[str | None]) -> bool:
     return sum(len(c) > 20 and " " in c for c in filled) >= len(filled) / 2
 
 
+def _read_csv(spark: SparkSession, paths: list[str], infer: bool, encoding: str) -> DataFrame:
+    return spark.read.csv(paths, header=True, inferSchema=infer, encoding=encoding, multiLine=True, escape='"', nullValue="NA", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def _first_rows(spark: SparkSession, path: str, encoding: str, n: int = 2) -> list[list[str | None]]:
+    """The first rows of a CSV file: a few lines that the driver reads, whatever the file's size."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at), encoding))
+    try:
+        text, rows = "", []
+        while len(rows) < n and (line := lines.readLine()) is not None:
+            text += line + "\n"
+            if text.count('"') % 2 == 0 and text.strip():
+                rows = list(csv.reader(text.removeprefix("\ufeff").splitlines(True)))
+        return [[None if c in ("", "NA") else c for c in r] for r in rows if r]
+    finally:
+        lines.close()
+
+
 def read_folder(spark: SparkSession, path: str, pattern: str = r"\.csv$", id: str = "file", all_character: bool = True, question_row: bool | None = None, encoding: str = "UTF-8") -> DataFrame:
     """All matching files by name, one below the other by column name, with the file's name in ``id``.
 
-    Cells are text: empty and ``NA`` are missing, then white space goes.  ``question_row``: True drops the first
-    row of each file, False keeps it, None keeps it and records in the ``id`` column's metadata
-    (``question_rows``) which files seem to have one.
+    Files with the same header are one read, so the plan grows with the number of headers, not of files.  Cells are
+    text: empty and ``NA`` are missing, then white space goes.  ``question_row``: True drops the first row of each file,
+    False keeps it, None keeps it and records in the ``id`` column's metadata (``question_rows``) which files seem to
+    have one.
     """
-    parts, suspects = [], []
+    by_header: dict[tuple, list[str]] = {}
+    suspects = []
     for name in _names(spark, path, pattern):
-        d = spark.read.csv(f"{path}/{name}", header=True, inferSchema=not all_character, encoding=encoding, multiLine=True, escape='"', nullValue="NA", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-        if question_row is not False:
-            first = d.limit(1).collect()
-            if first and question_row:
-                # the first row of the file: identified by what it says
-                d = d.withColumn("__row", F.monotonically_increasing_id())
-                d = d.filter(F.col("__row") != d.agg(F.min("__row")).first()[0]).drop("__row")
-            elif first and looks_like_question_row([None if v is None else str(v) for v in first[0]]):
-                suspects.append(name)
-        texts = [f.name for f in d.schema.fields if isinstance(f.dataType, T.StringType)]
+        rows = _first_rows(spark, f"{path}/{name}", encoding)
+        by_header.setdefault(tuple(rows[0]) if rows else (), []).append(name)
+        if question_row is None and len(rows) > 1 and looks_like_question_row(rows[1]):
+            suspects.append(name)
+    parts = []
+    for header, same in by_header.items():
+        if not header:
+            continue
+        d = _read_csv(spark, [f"{path}/{n}" for n in same], not all_character, encoding)
+        d = d.select(*[f"`{c}`" for c in d.columns], F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))).alias("__name"))
+        if question_row:
+            d = d.withColumn("__row", F.monotonically_increasing_id())
+            first = d.groupBy(F.col("__name").alias("__of")).agg(F.min("__row").alias("__first"))
+            d = d.join(F.broadcast(first), (F.col("__name") == F.col("__of")) & (F.col("__row") == F.col("__first")), "left_anti").drop("__row")
+        texts = [f.name for f in d.schema.fields if isinstance(f.dataType, T.StringType) and f.name != "__name"]
         d = d.withColumns({c: F.when(F.col(f"`{c}`") != "", S.strip(c)) for c in texts})
-        parts.append(d.withColumn(id, F.lit(name)))
+        parts.append(d.withColumn(id, F.col("__name")).drop("__name"))
+    if not parts:
+        raise ValueError(f"The files in '{path}' are empty.")
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return out.select(*[F.col(f"`{c}`").alias(c, metadata={"question_rows": suspects}) if c == id else F.col(f"`{c}`") for c in [id, *(c for c in out.columns if c != id)]])
 
 
+@on_default
 def parse_filename(df: DataFrame | None, col: str = "file", into: list[str] | None = None, sep: str = "_", drop_ext: bool = True, remove: bool = False) -> DataFrame:
     """The parts of a name between ``sep`` as columns ``into``; what a name lacks is missing, what it has more is cut."""
     df = current().resolve(df)
@@ -89,6 +119,32 @@ def read_typed_csv(spark: SparkSession, path: str, types: dict[str, str], missin
     return spark.read.csv(path, header=True, schema=schema, nullValue=missing, multiLine=True, escape='"')
 
 
+def column_types(path: str) -> dict[str, dict[str, str]]:
+    """What a sidecar file (``kind, name, value``) says: ``columns`` with their types, and other ``attrs``."""
+    out: dict[str, dict[str, str]] = {"columns": {}, "attrs": {}}
+    with open(path, encoding="utf-8", newline="") as f:
+        for r in csv.DictReader(f):
+            out["columns" if r["kind"] == "column" else "attrs"][r["name"]] = r["value"]
+    return out
+
+
+def read_dataset(spark: SparkSession, path: str, missing: str = "<NA>") -> DataFrame:
+    """A CSV file typed by the sidecar beside it (``name.meta.csv`` for ``name.csv``), if there is one."""
+    side = f"{os.path.splitext(path)[0]}.meta.csv"
+    return read_typed_csv(spark, path, column_types(side)["columns"] if os.path.exists(side) else {}, missing)
+
+
+def load_dataset(spark: SparkSession, name: str) -> DataFrame:
+    """A table that comes with the package: ``country_region`` or ``cur``."""
+    from tallyforge.operators import lookups
+
+    if name == "country_region":
+        return lookups.country_table(spark)
+    if name == "cur":
+        return spark.createDataFrame([(k, float(v)) for k, v in lookups.RATES.items()], "currency string, per_usd double")
+    raise ValueError(f"Unknown dataset '{name}'. Bundled: country_region, cur.")
+
+
 def csv_cell(c, dtype) -> F.Column:
     """A cell's text in a CSV file: whole numbers without a point."""
     return S.as_text(c, dtype)
@@ -171,6 +227,7 @@ def export_xlsx(*tables: DataFrame, path: str = "tables.xlsx", **named: DataFram
     return full
 
 
+@on_default
 def export_summary_xlsx(df: DataFrame | None, *columns, path: str = "summary.xlsx", by=None, sort: str = "none", digits: int = 0, weights=None) -> str:
     """A workbook of one sheet a question: statistics of numbers, percentages of answers and of blocks."""
     from tallyforge.operators.select import select_columns
@@ -201,34 +258,34 @@ def fingerprint(df: DataFrame, settings: dict) -> str:
 
 
 class Checkpoint:
-    """Finished blocks of a long run: Parquet tables under the run's fingerprint, with a manifest that is
-    renamed into place.  A foreign or broken manifest means a fresh start."""
-
-    def __init__(self, folder: str, key: str):
-        self.folder, self.key = folder, key
-        self.manifest = os.path.join(folder, "manifest.json")
-        try:
-            with open(self.manifest, encoding="utf-8") as f:
-                body = json.load(f)
-            self.finished: list[str] = body["finished"] if body["key"] == key else []
-        except (OSError, ValueError, KeyError):
-            self.finished = []
-
-    def save(self, name: str, block: DataFrame) -> None:
-        os.makedirs(self.folder, exist_ok=True)
-        block.write.mode("overwrite").parquet(os.path.join(self.folder, hashlib.sha256(f"{self.key}{name}".encode()).hexdigest()[:24]))
-        self.finished.append(name)
-        with open(f"{self.manifest}.part", "w", encoding="utf-8") as f:
-            json.dump({"key": self.key, "finished": self.finished}, f)
-        os.replace(f"{self.manifest}.part", self.manifest)
-
-    def load(self, spark: SparkSession, name: str) -> DataFrame:
-        return spark.read.parquet(os.path.join(self.folder, hashlib.sha256(f"{self.key}{name}".encode()).hexdigest()[:24]))
+    """Finished blocks of a long run: Parquet tables under the run's fingerprint, in a folder that all executors
+    share, each with a mark that Spark's writer sets when it is whole.  Blocks of another key are not seen."""
 
-    def clear(self) -> int:
-        import shutil
+    def __init__(self, spark: SparkSession, folder: str, key: str):
+        self.spark, self.folder, self.key = spark, folder.rstrip("/"), hashlib.sha256(key.encode()).hexdigest()[:24]
+
+    def _path(self, name: str = ""):
+        block = hashlib.sha256(name.encode()).hexdigest()[:24] if name else ""
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join(x for x in (self.folder, self.key, block) if x))
 
-        n = len(self.finished)
-        shutil.rmtree(self.folder, ignore_errors=True)
-        self.finished = []
+    def _store(self, path):
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def has(self, name: str) -> bool:
+        done = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path(name), "_SUCCESS")
+        return self._store(done).exists(done)
+
+    def save(self, name: str, block: DataFrame) -> DataFrame:
+        block.write.mode("overwrite").parquet(str(self._path(name)))
+        return self.load(name)
+
+    def load(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(str(self._path(name)))
+
+    def clear(self) -> int:
+        """Deletes the run's blocks; how many there were."""
+        path = self._path()
+        store = self._store(path)
+        n = len(store.listStatus(path)) if store.exists(path) else 0
+        store.delete(path, True)
         return n

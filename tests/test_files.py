@@ -55,13 +55,48 @@ def test_checkpoint(spark, tmp_path):
     df = spark.range(5)
     key = files.fingerprint(df, {"a": 1})
     assert key == files.fingerprint(df.repartition(3), {"a": 1}) != files.fingerprint(df, {"a": 2})
-    c = files.Checkpoint(str(tmp_path / "run"), key)
-    c.save("block", df)
-    again = files.Checkpoint(str(tmp_path / "run"), key)
-    assert again.finished == ["block"] and again.load(spark, "block").count() == 5
-    assert files.Checkpoint(str(tmp_path / "run"), "other").finished == []
-    (tmp_path / "run" / "manifest.json").write_text("{")
-    assert files.Checkpoint(str(tmp_path / "run"), key).finished == []
+    c = files.Checkpoint(spark, str(tmp_path / "run"), key)
+    assert not c.has("block") and c.save("block", df).count() == 5
+    again = files.Checkpoint(spark, str(tmp_path / "run"), key)
+    assert again.has("block") and not again.has("other") and again.load("block").count() == 5
+    assert not files.Checkpoint(spark, str(tmp_path / "run"), "other").has("block")
+    (tmp_path / "run" / again.key).joinpath(*[]).iterdir().__next__().joinpath("_SUCCESS").unlink()
+    assert not again.has("block") and again.clear() == 1 and again.clear() == 0
+
+
+def test_banner_takes_finished_blocks(spark, tmp_path):
+    from tallyforge.operators import crosstab
+
+    df = spark.createDataFrame([("a", 1, "x", None), ("b", 2, None, "y"), ("a", 3, "x", "y")] * 4, "q string, n int, o_x string, o_y string")
+    plain = lambda d: sorted(map(str, d.collect()))
+    want = plain(crosstab.banner(df, ["q", "n", "o_x", "o_y"], ["q"]))
+    run = str(tmp_path / "run")
+    assert plain(crosstab.banner(df, ["q", "n", "o_x", "o_y"], ["q"], checkpoint=run)) == want
+    blocks = [p for p in (tmp_path / "run").rglob("_SUCCESS")]
+    times = {p: p.stat().st_mtime_ns for p in blocks}
+    assert len(blocks) == 3 and plain(crosstab.banner(df, ["q", "n", "o_x", "o_y"], ["q"], checkpoint=run)) == want
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "run").rglob("_SUCCESS")} == times
+    assert plain(crosstab.banner(df, ["q", "n", "o_x", "o_y"], ["q"], digits=1, checkpoint=run)) != want
+
+
+def test_datasets(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("country,n,x,b\nNA,1,0.5,true\n<NA>,2,<NA>,false\n")
+    (tmp_path / "t.meta.csv").write_text('kind,name,value\ncolumn,n,integer\ncolumn,x,numeric\ncolumn,b,logical\nattr,year,"2024"\n')
+    assert [tuple(r) for r in files.read_dataset(spark, str(tmp_path / "t.csv")).collect()] == [("NA", 1, 0.5, True), (None, 2, None, False)]
+    assert files.column_types(str(tmp_path / "t.meta.csv"))["attrs"] == {"year": "2024"}
+    assert files.load_dataset(spark, "cur").count() == 39 and files.load_dataset(spark, "country_region").count() > 195
+    with pytest.raises(ValueError, match="Unknown dataset"):
+        files.load_dataset(spark, "x")
+
+
+def test_folder_of_many_files_is_one_read_a_header(spark, tmp_path):
+    for i in range(12):
+        head = "q1,q2" if i % 2 else "q1,other name"
+        (tmp_path / f"f {i:02d}+.csv").write_text(f"{head}\nquestion,wording\n{i},{i * 2}\n")
+    df = files.read_folder(spark, str(tmp_path), question_row=True)
+    got = {r["file"]: (r["q1"], r["q2"], r["other name"]) for r in df.collect()}
+    assert got == {f"f {i:02d}+.csv": (str(i), str(i * 2) if i % 2 else None, None if i % 2 else str(i * 2)) for i in range(12)}
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 2 * 2  # the rows, and the first of each
 
 
 def test_reports(spark, tmp_path):

@@ -388,3 +388,54 @@ def test_text_of_doubles(spark):
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "d double").select(S.as_text("d", T.DoubleType())).collect()]
     want = [format(v, ".15g") if v not in (100.0, 1e15) else format(v, ".15g") for v in values[:-3]]
     assert got == [*want, "Inf", None, None]
+
+
+def test_calls_without_a_table(spark, survey):
+    state.current().use_dataset(survey)
+    assert rows(tabulate.calc_percentage("q")) == rows(tabulate.calc_percentage(survey, "q"))
+    assert rows(crosstab.crosstab("q", "nps", cell="count", wide=False)) == rows(crosstab.crosstab(survey, "q", "nps", wide=False))
+    assert rows(model.calc_nps("nps")) == rows(model.calc_nps(None, "nps"))
+
+
+def test_orders_that_columns_carry(spark):
+    df = spark.createDataFrame([("b",), ("a",), ("c",), ("a",), (None,)], "size string")
+    state.current().register_order("sizes", ["c", "a"], vars="size")
+    ordered = state.current().apply_order(df, "size")
+    assert state.levels_of(ordered, "size") == ["c", "a"] and state.levels_of(df, "size") is None
+    assert [r["size"] for r in ordered.collect()] == [None, "a", "c", "a", None]
+    state.current().remove_order("sizes")
+    assert [r["size"] for r in tabulate.calc_percentage(ordered, "size").collect()] == ["c", "a"]
+    assert state.factor_order(ordered, "size", ["a", "x", "c"]) == ["c", "a", "x"] and state.factor_order(df, "size", ["a"]) is None
+    assert state.current().apply_order(df, "size") is df
+    with pytest.raises(ValueError):
+        state.current().apply_order(df, "size", "none")
+
+
+def test_weights_are_counted_once(spark, monkeypatch):
+    df = spark.createDataFrame([("a",), ("b",), ("a",)], "q string")
+    first = weights.cell_weights(df, {"q": {"a": 0.5, "b": 0.5}})
+    assert weights.cell_weights(df, {"q": {"a": 0.5, "b": 0.5}}) is first
+    assert weights.cell_weights(df, {"q": {"a": 0.6, "b": 0.4}}) is not first
+    weights.clear_weights_cache()
+    assert weights.cell_weights(df, {"q": {"a": 0.5, "b": 0.5}}) is not first
+    monkeypatch.setattr(weights, "MAX_CELLS", 1)
+    with pytest.raises(ValueError, match="more than 1 cells"):
+        weights.cell_weights(df, {"q": {"a": 0.7, "b": 0.3}})
+
+
+def test_progress_and_confirmation(tmp_path):
+    from tallyforge.plans.progress import Progress, confirm_selection
+
+    lines = []
+    state.current().options(progress=True, confirm=True)
+    p = Progress(2, "Tables", lines.append)
+    p.item("a")
+    p.item("b")
+    p.done()
+    assert lines[0] == "Tables: 2" and lines[1].startswith("[1/2] a (about 0s left)") and lines[2] == "[2/2] b" and lines[3].startswith("done")
+    assert confirm_selection(["x"], "Columns", lambda q: "") and not confirm_selection(["x"], "Columns", lambda q: "n")
+    state.current().options(progress="false", confirm="false")
+    assert confirm_selection(["x"], "Columns", lambda q: 1 / 0) and not Progress(1, out=lines.append).on
+    path = state.current().edit_profile(str(tmp_path / "p.yml"))
+    assert "pct_axis_unit" in open(path).read() and state.current().edit_profile(path) == path
+    assert len(state.DEFAULTS) == 28
