@@ -49,7 +49,7 @@ def sample_comments(df: DataFrame | None, *columns, n: int = SAMPLE_SIZE, min_ch
     before it ranks, so a group's rows never meet in one place."""
     d = prep_comments(df, *columns, min_chars=min_chars, max_chars=max_chars, exclude=exclude, by=by)
     groups = (["source"] if by_column else []) + ([] if by is None else select_columns(current().resolve(df), by))
-    draw = F.rand() if seed is None else F.xxhash64(F.lit(seed), "source", "comment")
+    draw = F.rand() if seed is None else F.md5(F.concat_ws(":", F.lit(str(seed)), "source", "comment"))
     w = Window.partitionBy(*groups).orderBy("__draw", "comment") if groups else Window.orderBy("__draw", "comment")
     return d.withColumn("__draw", draw).withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= n).orderBy(*groups, "__k").drop("__draw", "__k")
 
@@ -66,6 +66,10 @@ def entropy_bits(words: Column) -> Column:
     return F.when(F.size(words) > 0, F.log2(F.size(words))).otherwise(0.0)
 
 
+#: Words that a broadcast may hold: those in more than a 20,000th of all (text, word) rows, of which there are fewer.
+HOT_WORDS = 20_000
+
+
 def document_frequencies(df: DataFrame, text: str, stopwords=()) -> DataFrame:
     """``word, df, idf`` with smoothed idf = ln((1 + N) / (1 + df)) + 1."""
     n = df.agg(F.count("*").alias("__n"))
@@ -74,8 +78,15 @@ def document_frequencies(df: DataFrame, text: str, stopwords=()) -> DataFrame:
 
 
 def tfidf(df: DataFrame, id: str, text: str, stopwords=()) -> DataFrame:
-    """``id, word, weight``: presence times idf, each text's weights to length 1, as sparse rows."""
-    w = df.select(id, F.explode(tokens(text, stopwords)).alias("word")).join(document_frequencies(df, text, stopwords).select("word", "idf"), "word")
+    """``id, word, weight``: presence times idf, each text's weights to length 1, as sparse rows.  Frequent words get
+    their idf where their rows are, by a broadcast of at most `HOT_WORDS`; the rest is dealt out by word."""
+    words = df.select(F.col(id), F.explode(tokens(text, stopwords)).alias("word"))
+    idf = document_frequencies(df, text, stopwords)
+    total = idf.agg(F.sum("df").alias("__all"))
+    known = idf.crossJoin(F.broadcast(total)).withColumn("__hot", F.col("df") * HOT_WORDS > F.col("__all"))
+    hot, rest = known.filter("__hot").select("word", "idf"), known.filter("NOT __hot").select("word", "idf")
+    w = words.join(F.broadcast(hot), "word", "left")
+    w = w.filter("idf IS NOT NULL").unionByName(w.filter("idf IS NULL").drop("idf").join(rest, "word"))
     norm = w.groupBy(id).agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("__norm"))
     return w.join(norm, id).select(id, "word", (F.col("idf") / F.col("__norm")).alias("weight"))
 

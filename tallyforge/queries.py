@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.functions import scalars as S
 from tallyforge.operators import comments, crosstab, lookups, model, precision, select, tabulate, weights
-from tallyforge.plans import charts, profile
+from tallyforge.plans import charts, profile, state
+from tallyforge.session import shared_folder
 from tallyforge.sources import files
 from tallyforge.streaming import windows
 
@@ -61,6 +64,11 @@ def pct_priority_levels(spark, sf):
     return tabulate.calc_percentage(table(spark, sf, "orders"), "o_orderpriority", levels=["3-MEDIUM", "1-URGENT"])
 
 
+@query("SELECT o_orderpriority, count(*) AS n, round_even(count(*)::DOUBLE / sum(count(*)) OVER () * 100, 1) AS pct FROM orders WHERE o_orderpriority IN ('3-MEDIUM', '1-URGENT') GROUP BY 1")
+def pct_carried_levels(spark, sf):
+    return tabulate.calc_percentage(state.with_levels(table(spark, sf, "orders"), "o_orderpriority", ["3-MEDIUM", "1-URGENT"]), "o_orderpriority", digits=1)
+
+
 _PCT_SEGMENT = "SELECT c_nationkey, c_mktsegment, round_even(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY c_nationkey) * 100, 0) AS pct FROM customer GROUP BY 1, 2"
 
 
@@ -185,6 +193,42 @@ def selectors(spark, sf):
     return d.select(*select.select_columns(d, select.starts_with("r_regionk"), [select.contains("c_name"), select.any_of(["gone", "c_nationkey"])]))
 
 
+@query("SELECT c_custkey, c_nationkey, c_acctbal, c_name, c_mktsegment FROM customer")
+def selectors_by_kind(spark, sf):
+    d = table(spark, sf, "customer")
+    numbers = select.where(select.is_numeric)
+    return d.select(*select.select_columns(d, [select.all_of(["c_custkey"]), numbers], select.ends_with("_NAME"), [select.starts_with("c_mkt"), select.contains("mktseg")]))
+
+
+@query("SELECT c_custkey, c_nationkey, c_acctbal FROM customer")
+def selectors_by_name(spark, sf):
+    d = table(spark, sf, "customer")
+    return select.select_suffix(select.select_prefix(d, "c_").select(*select.select_columns(d, select.everything())), ["key", "bal"])
+
+
+@query("SELECT s_suppkey, CASE WHEN s_nationkey % 5 <> 0 THEN trim(s_name) END AS answer, CASE WHEN s_nationkey % 11 <= 6 THEN 'Detractor' WHEN s_nationkey % 11 <= 8 THEN 'Passive' ELSE 'Promoter' END AS grp, CASE WHEN s_acctbal < 0 THEN 'debt' WHEN s_acctbal <= 5000 THEN 'some' ELSE 'much' END AS band, replace(replace(s_name, '#', ' / '), '0', ' ') IS NOT NULL AS labelled FROM supplier")
+def scalar_answers(spark, sf):
+    d = table(spark, sf, "supplier")
+    cell = F.when(F.col("s_nationkey") % 5 == 0, F.when(F.col("s_nationkey") % 2 == 0, " Prefer not to answer ").otherwise("  ")).otherwise(F.concat(F.lit("  "), "s_name", F.lit("\t")))
+    return d.select(
+        "s_suppkey",
+        S.na_blank(cell).alias("answer"),
+        S.nps_group(F.col("s_nationkey") % 11, labels=True, dtype=T.LongType()).alias("grp"),
+        F.when(F.col("s_acctbal") < 0, "debt").otherwise(S.cut("s_acctbal", [0, 5000, 1e9], ["some", "much"], include_lowest=True)).alias("band"),
+        S.clean_label("s_name").isNotNull().alias("labelled"),
+    )
+
+
+@query("""WITH g AS (SELECT c_nationkey, count(*) AS n, avg(c_acctbal) AS m, stddev_samp(c_acctbal) / sqrt(count(*)) AS se, avg((c_acctbal > 0)::INT) AS p FROM customer GROUP BY 1)
+SELECT c_nationkey, round(se, 6) AS se, round(sqrt(p * (1 - p) / n), 9) AS se_p, round(100 * sqrt(p * (1 - p) / n), 7) AS se_pct, round(se / m * 100, 6) AS rse, round(1.96 * se, 6) AS moe,
+CASE WHEN se / m * 100 < 5 THEN 'high precision' WHEN se / m * 100 < 10 THEN 'precise' WHEN se / m * 100 < 15 THEN 'satisfactory' WHEN se / m * 100 < 25 THEN 'use with caution' ELSE 'likely reliability issues' END AS rating FROM g""")
+def precision_formulas(spark, sf):
+    g = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.avg("c_acctbal").alias("m"), S.se_mean("c_acctbal").alias("se"), F.avg((F.col("c_acctbal") > 0).cast("int")).alias("p"))
+    n, p, se = F.col("n"), F.col("p"), F.col("se")
+    r = S.rse(F.col("m"), se)
+    return g.select("c_nationkey", F.round(se, 6).alias("se"), F.round(S.se_prop(p, n), 9).alias("se_p"), F.round(S.se_prop(p, n, percent=True), 7).alias("se_pct"), F.round(r, 6).alias("rse"), F.round(S.margin_of_error(se), 6).alias("moe"), S.rse_rating(r).alias("rating"))
+
+
 # Cross-tabulations --------------------------------------------------------------------------------------
 
 
@@ -206,9 +250,19 @@ for _cell, _sql in {
     query(_XTAB.format(_sql))(_xtab(_cell))
 
 
-@query(_XTAB.format("round_even(avg(l_quantity), 0)"))
+@query(_XTAB.format("round_even(avg(l_quantity), 4)"))
 def xtab_value(spark, sf):
-    return crosstab.crosstab(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus", cell="value", value="l_quantity", digits=0, wide=False)
+    return crosstab.crosstab(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus", cell="value", value="l_quantity", digits=4, wide=False)
+
+
+@query(_XTAB.format("max(l_extendedprice)"))
+def xtab_fn(spark, sf):
+    return crosstab.crosstab(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus", cell="value", value="l_extendedprice", fn=F.max, digits=6, wide=False)
+
+
+@query("SELECT l_returnflag, l_linestatus, round_even(count(*)::DOUBLE / sum(count(*)) OVER () * 100, 2) AS value FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2")
+def xtab_drop(spark, sf):
+    return crosstab.crosstab(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus", cell="total_pct", digits=2, wide=False, drop=["n"])
 
 
 @query("SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F')::DOUBLE AS F, count(*) FILTER (l_linestatus = 'O')::DOUBLE AS O FROM lineitem GROUP BY 1")
@@ -242,12 +296,32 @@ def banner_diff(spark, sf):
     return crosstab.banner(_flags(spark, sf), rows=["q", "l_linestatus"], cols=["l_linestatus", "l_returnflag"], cell="diff")
 
 
-_STATS = "SELECT {g} AS \"group\", {e} AS group_item, round_even(avg(l_quantity), 0) AS mean, round_even(median(l_quantity), 0) AS median, round_even(stddev_samp(l_quantity), 0) AS sd, round_even(quantile_cont(l_quantity, 0.25), 0) AS p25, round_even(quantile_cont(l_quantity, 0.75), 0) AS p75 FROM lineitem GROUP BY 2"
+_BLOCK = "WITH b AS (SELECT l_orderkey, l_orderkey % 2 = 0 AS even, list_distinct(list(l_returnflag)) AS flags FROM lineitem GROUP BY l_orderkey), g AS (SELECT *, 'Overall' AS \"group\", 'Overall' AS group_item FROM b UNION ALL SELECT *, 'half', CASE WHEN even THEN 'even' ELSE 'odd' END FROM b)"
+
+
+@query(_BLOCK + ", n AS (SELECT \"group\", group_item, unnest(flags) AS item FROM g), t AS (SELECT group_item, count(*) AS base FROM g GROUP BY 1) SELECT 'flag' AS variable, item, \"group\", group_item, round_even(count(*)::DOUBLE / max(base) * 100, 0) AS value FROM n JOIN t USING (group_item) GROUP BY 2, 3, 4")
+def banner_block(spark, sf):
+    d = _block(spark, sf).withColumn("half", F.when(F.col("l_orderkey") % 2 == 0, "even").otherwise("odd")).drop("l_orderkey")
+    return crosstab.banner(d, rows=["flag_A", "flag_N", "flag_R"], cols=["half"], cell="pct")
+
+
+@query("SELECT 'q' AS variable, q AS item, \"group\", group_item, round_even(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY group_item) * 100, 0) AS value FROM (SELECT CASE WHEN l_quantity < 20 THEN 'few' WHEN l_quantity < 40 THEN 'some' ELSE 'many' END AS q, unnest(['Overall', 'l_linestatus']) AS \"group\", unnest(['Overall', l_linestatus]) AS group_item FROM lineitem) WHERE q <> 'some' GROUP BY 2, 3, 4")
+def banner_drop(spark, sf):
+    d = table(spark, sf, "lineitem").withColumn("q", F.when(F.col("l_quantity") < 20, "few").when(F.col("l_quantity") < 40, "some").otherwise("many"))
+    return crosstab.banner(d, rows=["q"], cols=["l_linestatus"], cell="pct", drop=" SOME")
+
+
+@query(_BANNER.replace("round_even(count(*)::DOUBLE / sum(count(*))", "(count(*)::DOUBLE + 0 * sum(count(*))").replace(" * 100, 0) AS value", ") AS value"))
+def banner_counts(spark, sf):
+    return crosstab.banner(_flags(spark, sf), rows=["q", "l_linestatus"], cols=["l_linestatus", "l_returnflag"], cell="count")
+
+
+_STATS = "SELECT {g} AS \"group\", {e} AS group_item, round_even(avg(l_quantity), 3) AS mean, round_even(median(l_quantity), 3) AS median, round_even(stddev_samp(l_quantity), 3) AS sd, round_even(quantile_cont(l_quantity, 0.25), 3) AS p25, round_even(quantile_cont(l_quantity, 0.75), 3) AS p75 FROM lineitem GROUP BY 2"
 
 
 @query("SELECT 'l_quantity' AS variable, item, \"group\", group_item, value FROM (" + _STATS.format(g="'Overall'", e="'Overall'") + " UNION ALL " + _STATS.format(g="'l_returnflag'", e="l_returnflag") + ") UNPIVOT (value FOR item IN (mean, median, sd, p25, p75))")
 def banner_stats(spark, sf):
-    return crosstab.banner(table(spark, sf, "lineitem"), rows=["l_quantity"], cols=["l_returnflag"], digits=0)
+    return crosstab.banner(table(spark, sf, "lineitem"), rows=["l_quantity"], cols=["l_returnflag"], digits=3)
 
 
 @query(f"SELECT variable, item, max(CASE WHEN \"group\" = 'Overall' THEN value END) AS \"Overall\", max(CASE WHEN group_item = 'A' THEN value END) AS A, max(CASE WHEN group_item = 'N' THEN value END) AS N, max(CASE WHEN group_item = 'R' THEN value END) AS R FROM ({_cells('q', 'Overall')} UNION ALL {_cells('q', 'l_returnflag')}) GROUP BY 1, 2")
@@ -281,9 +355,40 @@ def raked_margins(spark, sf):
     return out.select("variable", "answer", "wpct")
 
 
-@query("SELECT * FROM (VALUES (1.0::DOUBLE)) AS t(mean_weight)")
+_CELLS_OF = "SELECT l_linestatus, count(*) AS n, round((CASE l_linestatus WHEN 'F' THEN 0.6 ELSE 0.4 END) * (SELECT count(*) FROM lineitem) / count(*), 9) AS weight FROM lineitem GROUP BY 1"
+
+
+@query(_CELLS_OF)
 def weight_column(spark, sf):
-    return weights.weight_vector(table(spark, sf, "lineitem"), TWO).agg(F.round(F.avg("weight"), 6).alias("mean_weight"))
+    d = weights.weight_vector(table(spark, sf, "lineitem"), STATUS)
+    return d.groupBy("l_linestatus").agg(F.count("*").alias("n"), F.round(F.max("weight"), 9).alias("weight"))
+
+
+@query(f"SELECT round(sum(n * weight * weight) * sum(n) / sum(n * weight) ** 2, 6) AS deff, round(sum(n * weight) ** 2 / sum(n * weight * weight), 3) AS n_eff FROM ({_CELLS_OF})")
+def weight_effect(spark, sf):
+    found = weights.weight_diagnostics(table(spark, sf, "lineitem"), weights.parse_scheme(("l_linestatus", {"F": 6, "O": 4})))
+    return spark.createDataFrame([(round(found["deff"], 6), round(found["n_eff"], 3))], "deff double, n_eff double")
+
+
+_WBANNER = "SELECT 'l_returnflag' AS variable, l_returnflag AS item, '{g}' AS \"group\", {e} AS group_item, round_even(sum(w) / sum(sum(w)) OVER (PARTITION BY {e}) * 100, 0) AS value FROM w GROUP BY l_returnflag, {e}"
+
+
+@query(_W + _WBANNER.format(g="Overall", e="'Overall'") + " UNION ALL " + _WBANNER.format(g="l_linestatus", e="l_linestatus"))
+def banner_weighted(spark, sf):
+    d = table(spark, sf, "lineitem").filter("l_returnflag IS NOT NULL")
+    return _present(spark, sf, crosstab.banner(d, rows=["l_returnflag"], cols=["l_linestatus"], cell="pct", weights=STATUS))
+
+
+def _present(spark, sf, cells):
+    """Only cells that have rows: SQL makes no others."""
+    seen = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus").distinct()
+    seen = seen.select("l_returnflag", F.explode(F.array("l_linestatus", F.lit("Overall"))).alias("g")).distinct()
+    return cells.join(seen, (F.col("item") == F.col("l_returnflag")) & (F.col("group_item") == F.col("g"))).select(*cells.columns)
+
+
+@query(_W + ", m AS (SELECT l_returnflag, sum(w * l_quantity) / sum(w) AS m FROM w GROUP BY 1) SELECT l_returnflag, l_linestatus, round_even(sum(w * l_quantity) / sum(w), 4) AS value FROM w GROUP BY 1, 2")
+def xtab_weighted_value(spark, sf):
+    return crosstab.crosstab(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus", cell="value", value="l_quantity", digits=4, wide=False, weights=STATUS)
 
 
 # Precision ----------------------------------------------------------------------------------------------
@@ -292,9 +397,9 @@ def weight_column(spark, sf):
 @query("""WITH m AS (SELECT 'l_quantity' AS variable, 'mean' AS type, 'points' AS unit, count(*) AS n, avg(l_quantity) AS e, stddev_samp(l_quantity) / sqrt(count(*)) AS se FROM lineitem),
 p AS (SELECT 'l_returnflag' AS variable, 'prop' AS type, 'ppt' AS unit, sum(c)::BIGINT AS n, 100 * (max(c)::DOUBLE / sum(c)) AS e, 100 * sqrt((max(c)::DOUBLE / sum(c)) * (1 - max(c)::DOUBLE / sum(c)) / sum(c)::DOUBLE) AS se FROM (SELECT l_returnflag, count(*) AS c FROM lineitem GROUP BY 1)),
 u AS (SELECT * FROM m UNION ALL SELECT * FROM p)
-SELECT variable, type, unit, n, round_even(e, 0) AS estimate, round_even(se, 0) AS se, round_even(se / e * 100, 0) AS rse, round_even(1.96 * se, 0) AS moe, CASE WHEN se / e * 100 < 5 THEN 'high precision' ELSE 'other' END AS precision FROM u""")
+SELECT variable, type, unit, n, round_even(e, 4) AS estimate, round_even(se, 4) AS se, round_even(se / e * 100, 4) AS rse, round_even(1.96 * se, 4) AS moe, CASE WHEN se / e * 100 < 5 THEN 'high precision' ELSE 'other' END AS precision FROM u""")
 def diagnose_lineitem(spark, sf):
-    return precision.diagnose(table(spark, sf, "lineitem"), "l_quantity", "l_returnflag", digits=0)
+    return precision.diagnose(table(spark, sf, "lineitem"), "l_quantity", "l_returnflag", digits=4)
 
 
 @query()
@@ -404,16 +509,16 @@ def comment_entropy(spark, sf):
     return rounded(table(spark, sf, "documents").select("doc_id", comments.entropy_bits(comments.tokens("text", ())).alias("bits")))
 
 
-@query(f"WITH t AS ({_TOKENS}), f AS (SELECT word, ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + count(*))) + 1 AS idf FROM t GROUP BY 1) SELECT doc_id, round(sqrt(sum((idf / norm) ** 2)), 6) AS length FROM t JOIN f USING (word) JOIN (SELECT doc_id, sqrt(sum(idf * idf)) AS norm FROM t JOIN f USING (word) GROUP BY 1) USING (doc_id) GROUP BY 1")
-def tfidf_lengths(spark, sf):
-    w = comments.tfidf(table(spark, sf, "documents"), "doc_id", "text")
-    return rounded(w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length")))
+@query(f"WITH t AS ({_TOKENS}), f AS (SELECT word, ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + count(*))) + 1 AS idf FROM t GROUP BY 1), n AS (SELECT doc_id, sqrt(sum(idf * idf)) AS norm FROM t JOIN f USING (word) GROUP BY 1) SELECT doc_id, word, round(idf / norm, 9) AS weight FROM t JOIN f USING (word) JOIN n USING (doc_id)")
+def tfidf_weights(spark, sf):
+    return rounded(comments.tfidf(table(spark, sf, "documents"), "doc_id", "text"), 9)
 
 
-@query("SELECT source, 3 AS n FROM documents GROUP BY 1 HAVING count(*) >= 3")
+@query(r"""SELECT origin, comment FROM (SELECT source AS origin, comment, row_number() OVER (PARTITION BY source ORDER BY md5('1:text:' || comment), comment) AS k
+FROM (SELECT source, CASE WHEN length(t) > 300 THEN t[:297] || '...' ELSE t END AS comment FROM (SELECT source, regexp_replace(text, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g') AS t FROM documents) WHERE length(t) > 0 AND t <> 'Prefer not to answer')) WHERE k <= 3""")
 def comments_sampled(spark, sf):
     d = comments.sample_comments(table(spark, sf, "documents").withColumnRenamed("source", "origin"), "text", n=3, min_chars=0, by="origin", by_column=False, seed=1)
-    return d.groupBy(F.col("origin").alias("source")).agg(F.count("*").cast("int").alias("n"))
+    return d.select("origin", "comment")
 
 
 @query()
@@ -424,11 +529,16 @@ def comments_diverse(spark, sf):
 # Sources ------------------------------------------------------------------------------------------------
 
 
-@query("SELECT c_name AS name, c_acctbal AS acctbal, NULL::BIGINT AS suppkey, 'customer' AS file FROM customer UNION ALL SELECT s_name, s_acctbal, s_suppkey, 'supplier' FROM supplier")
-def union_sources(spark, sf):
-    a = table(spark, sf, "customer").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("acctbal"), F.lit("customer").alias("file"))
-    b = table(spark, sf, "supplier").select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("acctbal"), F.col("s_suppkey").alias("suppkey"), F.lit("supplier").alias("file"))
-    return a.unionByName(b, allowMissingColumns=True)
+@query("SELECT c_name AS name, c_acctbal AS acctbal, NULL::DOUBLE AS suppkey FROM customer UNION ALL SELECT s_name, s_acctbal, s_suppkey::DOUBLE FROM supplier")
+def csv_folder(spark, sf):
+    """Two kinds of CSV files in one folder, read back below one another."""
+    folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    a = table(spark, sf, "customer").select(F.concat(F.lit(" "), "c_name").alias("name"), F.col("c_acctbal").alias("acctbal"))
+    b = table(spark, sf, "supplier").select(F.col("s_acctbal").alias("acctbal"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("suppkey"))
+    for d in (a, b):
+        d.write.mode("append").option("header", True).csv(folder)
+    back = files.read_folder(spark, folder)
+    return back.select("name", S.ensure_numeric("acctbal").alias("acctbal"), S.ensure_numeric("suppkey").alias("suppkey"))
 
 
 @query("SELECT n_nationkey, string_split(n_name, '_')[1] AS kind, string_split(n_name, '_')[2] AS number, NULL::VARCHAR AS more FROM nation")

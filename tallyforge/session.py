@@ -41,3 +41,13 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join("tallyforge", os.path.relpath(full, root)))
     spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``; on one machine a temporary folder will do."""
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if conf:
+        return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tallyforge-")
