@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyforge import facts
 from tallyforge.functions import scalars as S
 from tallyforge.operators import comments, crosstab, lookups, model, precision, select, tabulate, weights
 from tallyforge.plans import charts, profile, state
@@ -563,3 +564,9 @@ def window_event_values(spark, sf):
 @query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM s GROUP BY user_id, k")
 def user_sessions(spark, sf):
     return windows.sessions(table(spark, sf, "events"), "user_id")
+
+
+# Helpers ------------------------------------------------------------------------------------------------
+
+for _name, (_f, _wanted) in facts.QUERIES.items():
+    QUERIES[_name], SQL[_name] = _f, facts.sql(_wanted)
