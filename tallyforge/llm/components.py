@@ -3,6 +3,9 @@
 Each round is two aggregations and two joins over the links, written to the shared folder before the next
 round; the number of rounds grows with the logarithm of the longest path.  A star's centre has as many rows
 as the star, which aggregation combines on the map side and adaptive execution splits in the join.
+
+Defined cases: links have no direction; repeated links, links of a node to itself and links with a null end add
+nothing; a node without links isn't named; no links give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

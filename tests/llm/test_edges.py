@@ -75,3 +75,23 @@ def test_token_streams(edge, clashing, empty, files, monkeypatch):
                 assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in got.collect()) == want
     assert token_counts.token_counts(empty, path).collect() == []
     assert ("0", 0) in want and ("11", 4) in want  # null; two tokens that look like separators and two between
+
+
+def test_urls_of_any_length_and_ties(spark, monkeypatch):
+    rules = [("block", "aa.org/x"), ("allow", "aa.org/y"), ("block", "org/"), ("allow", "aa.org/x")]
+    urls = ["http://aa.org/x" + "z" * 300_000, "http://" + "b." * 100_000 + "org/", "http://aa.org/y", "http://aa.org/x", None, "", "http://net/"]
+    df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
+    want = [("aa.org/x", "block"), ("org/", "block"), ("aa.org/y", "allow"), ("aa.org/x", "block"), (None, "allow"), (None, "allow"), (None, "allow")]
+    for words in (url_filter.STATE_WORDS, 3):
+        monkeypatch.setattr(url_filter, "STATE_WORDS", words)
+        got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(df, rules).collect()}
+        assert [got[i] for i in range(len(urls))] == want
+
+
+def test_components(spark):
+    from tallyforge.llm.components import components
+
+    links = [(1, 2), (2, 1), (3, 2), (5, 5), (7, 9), (9, 8), (None, 3), (4, None), (7, 8)] + [(100 + i, 101 + i) for i in range(40)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, **{100 + i: 100 for i in range(41)}}
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
