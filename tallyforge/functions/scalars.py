@@ -303,6 +303,20 @@ def wrap_text(text: str, width: int) -> str:
     return "\n".join(lines)
 
 
+def break_lines(text: str, width: int, indent: int = 0) -> list[str]:
+    """Greedy lines shorter than ``width``, all but the first indented; a longer word has a line of its own."""
+    lines: list[str] = [""]
+    for word in str(text).split():
+        room = width - 1 - (indent if len(lines) > 1 else 0)
+        if not lines[-1]:
+            lines[-1] = word
+        elif len(lines[-1]) + 1 + len(word) <= room:
+            lines[-1] += " " + word
+        else:
+            lines.append(word)
+    return [lines[0], *(" " * indent + x for x in lines[1:])]
+
+
 def make_unique(names: Sequence[str], sep: str = ".") -> list[str]:
     """Repeats get a counter: a, a.1, a.2."""
     seen: dict[str, int] = {}

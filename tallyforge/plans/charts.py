@@ -232,6 +232,26 @@ def diff_chart(df: DataFrame, label: str = "feature", difference: str = "differe
     return {"mark": "bar", "data": {"values": data}, "encoding": {"y": {"field": label, "sort": None}, "x": {"field": difference, "scale": {"domain": [-top, top]}}}}
 
 
+def quote_tiles(sizes: list[float], width: float = 10.0, height: float = 5.6) -> list[tuple[float, float, float, float]]:
+    """A rectangle (left, top, right, bottom) for each size, areas in proportion, largest first: rows are filled along
+    the shorter side for as long as that makes the worst tile squarer."""
+    total = float(sum(sizes))
+    areas = [s * width * height / total for s in sorted(sizes, reverse=True) if s > 0]
+    x, y, w, h, out, k = 0.0, 0.0, width, height, [], 0
+    while k < len(areas):
+        side, row = min(w, h), [areas[k]]
+        worst = lambda r: max(max(side**2 * a / sum(r) ** 2, sum(r) ** 2 / (side**2 * a)) for a in r)  # noqa: B023, E731
+        while k + len(row) < len(areas) and worst([*row, areas[k + len(row)]]) <= worst(row):
+            row.append(areas[k + len(row)])
+        deep, at = sum(row) / side, 0.0
+        for a in row:
+            out.append((x, y + at, x + deep, y + at + a / deep) if w >= h else (x + at, y, x + at + a / deep, y + deep))
+            at += a / deep
+        x, y, w, h = (x + deep, y, w - deep, h) if w >= h else (x, y + deep, w, h - deep)
+        k += len(row)
+    return out
+
+
 def quotes_tree(df: DataFrame, label: str = "comment", area: str = "length") -> dict:
     return {"mark": "treemap", "data": {"values": _rows(df)}, "encoding": {"size": {"field": area}, "text": {"field": label}}}
 

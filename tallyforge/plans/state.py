@@ -223,6 +223,20 @@ def factor_order(df: DataFrame, column: str, answers: list[str]) -> list[str] |
     return None if levels is None else [x for x in levels if x in answers] + [x for x in answers if x not in levels]
 
 
+def carry_levels(out: DataFrame, source: DataFrame, columns: list[str]) -> DataFrame:
+    """``out`` whose ``columns`` carry the orders that they have in ``source``."""
+    kept = {c: levels_of(source, c) for c in columns}
+    return out.select(*[F.col(f"`{c}`").alias(c, metadata={"levels": kept[c]}) if kept.get(c) else F.col(f"`{c}`") for c in out.columns])
+
+
+def factor_levels(df: DataFrame, column: str) -> list[str]:
+    """The order that a column carries, else its answers in the order of an English dictionary: a finished column's."""
+    dtype = next(f.dataType for f in df.schema.fields if f.name == column)
+    known = levels_of(df, column)
+    text = S.as_text(column, dtype)
+    return known or [r[0] for r in df.select(text.alias("t")).filter("t IS NOT NULL").distinct().orderBy(F.collate("t", "UNICODE"), "t").collect()]
+
+
 def on_default(f: Callable) -> Callable:
     """Operators called without a table take the session's: their other arguments move up."""
 

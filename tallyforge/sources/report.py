@@ -1,4 +1,4 @@
-"""Reports of finished tables and chart specs: a deck of slides as one HTML, Markdown or Quarto file."""
+"""Reports of finished tables and chart specs: a deck of slides as one HTML, Markdown, Quarto or Office file."""
 
 from __future__ import annotations
 
@@ -7,11 +7,19 @@ import json
 import os
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+from tallyforge.functions import scalars as S
+from tallyforge.operators.model import calc_nps
+from tallyforge.operators.tabulate import calc_percentage
+from tallyforge.plans import charts
+from tallyforge.plans.state import current
 from tallyforge.sources.files import output_path, save_data
+from tallyforge.sources.office import write_docx, write_pptx
 
-FORMATS = {".html": "html", ".md": "markdown", ".qmd": "quarto"}
+FORMATS = {".html": "html", ".md": "markdown", ".qmd": "quarto", ".pptx": "pptx", ".docx": "docx"}
+#: Formats that a Quarto skeleton can ask for.
+TEMPLATES = ("docx", "html", "pdf", "pptx")
 #: Rows that a table on a slide may have: a slide shows finished tables, not data.
 MOST_ROWS = 500
 
@@ -22,6 +30,7 @@ class Report:
 
     title: str | None = None
     slides: list[dict] = field(default_factory=list)
+    template: str | None = None  # of a .pptx; else the brand's, else a plain one
 
     def _add(self, kind: str, title: str | None, **more) -> Report:
         self.slides.append({"kind": kind, "title": title, "pieces": []} | more)
@@ -71,6 +80,12 @@ class Report:
         if kind is None:
             raise ValueError(f"Reports end in {', '.join(FORMATS)}.")
         full = output_path(path)
+        if kind == "pptx":
+            write_pptx(full, self.slides, _spec_text, self.template or current().option("brand_template_pptx"))
+            return full
+        if kind == "docx":
+            write_docx(full, self.slides, _spec_text)
+            return full
         with open(full, "w", encoding="utf-8") as f:
             f.write(_as_html(self) if kind == "html" else _as_markdown(self, kind == "quarto"))
         return full
@@ -116,9 +131,44 @@ def _as_markdown(report: Report, quarto: bool) -> str:
     return "\n".join(out)
 
 
-def report_deck(items: dict, path: str, title: str | None = None) -> str:
+def list_report_templates() -> list[str]:
+    return list(TEMPLATES)
+
+
+def scaffold_report(format: str = "pptx", path: str | None = None, title: str = "Survey Report", author: str | None = None, reference_doc: str | None = None, overwrite: bool = False) -> str:
+    """A Quarto skeleton: a summary, a section for each question of a CSV file given as a parameter, and the precision
+    of its figures."""
+    format = S.match_arg(format, TEMPLATES)
+    full = output_path(path or f"survey-report-{format}.qmd")
+    if os.path.exists(full) and not overwrite:
+        raise ValueError(f"'{full}' exists.")
+    reference_doc = reference_doc or (current().option(f"brand_template_{format}") if format in ("pptx", "docx") else None)
+    body = [f"    reference-doc: {os.path.abspath(reference_doc)}"] if reference_doc else ["    toc: true"]
+    cell = lambda *lines: ["```{python}", *lines, "```", ""]
+    text = [
+        "---", f"title: {json.dumps(title, ensure_ascii=False)}", f"author: {json.dumps(author or 'Your name', ensure_ascii=False)}", "format:", f"  {format}:", *body, "execute:", "  echo: false", "---", "",
+        *cell("#| tags: [parameters]", 'data = "survey.csv"'),
+        *cell("from tallyforge.session import local_session", "from tallyforge.operators import precision, tabulate", "from tallyforge.plans import profile", "spark = local_session()", "df = spark.read.csv(data, header=True, inferSchema=True)"),
+        "## Summary", "", "What the reader should remember.", "", "## Answers", "",
+        *cell('for c, p in profile.profile(df).items():', '    if p["kind"] == "categorical":', "        display(tabulate.calc_percentage(df, c).toPandas())"),
+        "## Precision", "", *cell("precision.diagnose(df).toPandas()"),
+    ]
+    with open(full, "w", encoding="utf-8") as f:
+        f.write("\n".join(text))
+    return full
+
+
+def example_report(spark: SparkSession, path: str) -> str:
+    """A worked example, over answers made up by rule: a title, a table, a chart and a note, in any format."""
+    df = spark.range(300).selectExpr("CASE id % 7 WHEN 0 THEN 'no' WHEN 1 THEN 'maybe' ELSE 'yes' END AS again", "CAST(id * id % 11 AS int) AS score", "CASE id % 2 WHEN 0 THEN 'new' ELSE 'known' END AS customer")
+    shares = calc_percentage(df, "again", by="customer")
+    items = {"Results": None, "Would you come again?": [shares, charts.bars(calc_percentage(df, "again"))], "Recommendation": calc_nps(df, "score", by="customer"), "Notes": ["Answers are made up by rule.", "Shares are of each customer group."]}
+    return report_deck(items, path, title="An example")
+
+
+def report_deck(items: dict, path: str, title: str | None = None, template: str | None = None) -> str:
     """One slide for each item, a ``None`` item being a section; written at once."""
-    report = Report(title)
+    report = Report(title, template=template)
     if title:
         report.title_slide(title)
     for name, content in items.items():

@@ -119,3 +119,52 @@ def test_reports(spark, tmp_path):
         report.save_output(3, "x.csv")
     with pytest.raises(ValueError, match="500 rows"):
         report.Report().add_table(spark.range(501))
+
+
+def test_office_files(spark, tmp_path):
+    from xml.etree import ElementTree
+
+    from tallyforge.sources import office, report
+
+    def parts(path):
+        with zipfile.ZipFile(path) as z:
+            out = {n: z.read(n).decode() for n in z.namelist()}
+        for name, text in out.items():
+            ElementTree.fromstring(text)  # every part is well formed
+        listed = set(__import__("re").findall(r'PartName="/([^"]+)"', out["[Content_Types].xml"]))
+        assert listed <= set(out) and all(n in listed or n.endswith(".rels") or n == "[Content_Types].xml" for n in out)
+        for name, text in out.items():  # every relation leads somewhere
+            if name.endswith(".rels"):
+                base = name.replace("_rels/", "").rsplit("/", 1)[0] if "/" in name.replace("_rels/", "") else ""
+                for target in __import__("re").findall(r'Target="([^"]+)"', text):
+                    import posixpath
+
+                    assert posixpath.normpath(posixpath.join(base, target)) in out, (name, target)
+        return out
+
+    deck = report.example_report(spark, str(tmp_path / "d.pptx"))
+    got = parts(deck)
+    assert sum(n.startswith("ppt/slides/slide") for n in got) == 5 and "An example" in got["ppt/slides/slide1.xml"] and "<a:tbl>" in got["ppt/slides/slide3.xml"]
+    assert "slideLayout1.xml" in got["ppt/slides/_rels/slide1.xml.rels"] and "slideLayout3.xml" in got["ppt/slides/_rels/slide2.xml.rels"]
+    again = parts(report.report_deck({"A & <b>": ["x"]}, str(tmp_path / "e.pptx"), template=deck))  # a deck as a template
+    assert sum(n.startswith("ppt/slides/slide") for n in again) == 1 and "A &amp; &lt;b&gt;" in again["ppt/slides/slide1.xml"]
+    text = parts(report.example_report(spark, str(tmp_path / "d.docx")))["word/document.xml"]
+    assert text.count("<w:tbl>") == 2 and "made up by rule" in text
+    layouts = office.report_layouts()
+    assert [x["layout"] for x in layouts] == ["Title Slide", "Title and Content", "Section Header", "Two Content"]
+    assert [office.select_layout(layouts, p)["layout"] for p in office.PURPOSES] == ["Title Slide", "Section Header", "Title and Content", "Two Content"]
+    assert office.select_layout(layouts[:3], "two_content") is None
+    with pytest.raises(ValueError):
+        office.select_layout(layouts, "x")
+
+
+def test_report_templates(tmp_path):
+    from tallyforge.sources import report
+
+    for kind in report.list_report_templates():
+        path = report.scaffold_report(kind, str(tmp_path / f"{kind}.qmd"), title="T: x", author="Me")
+        assert f"  {kind}:" in open(path).read() and 'title: "T: x"' in open(path).read()
+        with pytest.raises(ValueError, match="exists"):
+            report.scaffold_report(kind, path)
+        assert report.scaffold_report(kind, path, overwrite=True, reference_doc="ref.x")
+        assert "reference-doc" in open(path).read()

@@ -439,3 +439,16 @@ def test_progress_and_confirmation(tmp_path):
     path = state.current().edit_profile(str(tmp_path / "p.yml"))
     assert "pct_axis_unit" in open(path).read() and state.current().edit_profile(path) == path
     assert len(state.DEFAULTS) == 28
+
+
+def test_small_helpers(spark):
+    assert S.break_lines("one two three extraordinary x", 9) == ["one two", "three", "extraordinary", "x"]
+    assert S.break_lines("aa bb cc dd", 7, indent=2) == ["aa bb", "  cc", "  dd"] and S.break_lines("", 5) == [""]
+    df = spark.createDataFrame([("b",), ("A",), ("a",), (None,)], "q string")
+    assert state.factor_levels(df, "q") == ["a", "A", "b"] and state.factor_levels(state.with_levels(df, "q", ["b", "a"]), "q") == ["b", "a"]
+    source = state.with_levels(df, "q", ["b", "a"])
+    assert state.levels_of(state.carry_levels(source.groupBy("q").count(), source, ["q"]), "q") == ["b", "a"]
+    tiles = charts.quote_tiles([3, 1, 6, 2, 1], 10, 5)
+    areas = [(r - l) * (b - t) for l, t, r, b in tiles]
+    assert areas == pytest.approx([50 * x / 13 for x in (6, 3, 2, 1, 1)]) and all(0 <= l < r <= 10 + 1e-9 and 0 <= t < b <= 5 + 1e-9 for l, t, r, b in tiles)
+    assert all(min(a[2], b[2]) <= max(a[0], b[0]) + 1e-9 or min(a[3], b[3]) <= max(a[1], b[1]) + 1e-9 for i, a in enumerate(tiles) for b in tiles[:i])
