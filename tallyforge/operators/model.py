@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,6 +63,28 @@ def _recoded(df: DataFrame, columns: list[str], levels) -> DataFrame:
     return df.withColumns({c: S.recode_likert(c, levels) for c in worded}) if worded else df
 
 
+#: Up to so many columns each product is an expression of its own; beyond, tasks multiply whole batches.
+MANY_COLUMNS = 24
+
+
+def _products(d: DataFrame, mean: np.ndarray) -> np.ndarray:
+    """Sums of the products of each two columns' deviations: one small matrix a task, added up cell by cell."""
+    p = len(mean)
+
+    def run(batches):
+        total = np.zeros((p, p))
+        for b in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]) - mean
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["m"])
+
+    cells = d.mapInArrow(run, "m array<double>").select(F.posexplode("m").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
+    out = np.zeros(p * p)
+    for r in cells:
+        out[r["i"]] = r["x"]
+    return out.reshape(p, p)
+
+
 def moments(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """(n, means, covariances) over rows complete in ``columns``: two aggregations, the second around the means
     of the first."""
@@ -72,6 +95,8 @@ def moments(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndar
     if r["n"] < 2:
         raise ValueError("Fewer than two complete rows.")
     mean = np.array([r[f"m{i}"] for i in range(p)])
+    if p > MANY_COLUMNS:
+        return r["n"], mean, _products(d, mean) / (r["n"] - 1)
     dev = [F.col(f"v{i}") - F.lit(float(mean[i])) for i in range(p)]
     s = d.agg(*[F.sum(dev[i] * dev[j]).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)]).first()
     cov = np.array([[s[f"s{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)]) / (r["n"] - 1)

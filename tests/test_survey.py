@@ -452,3 +452,13 @@ def test_small_helpers(spark):
     areas = [(r - l) * (b - t) for l, t, r, b in tiles]
     assert areas == pytest.approx([50 * x / 13 for x in (6, 3, 2, 1, 1)]) and all(0 <= l < r <= 10 + 1e-9 and 0 <= t < b <= 5 + 1e-9 for l, t, r, b in tiles)
     assert all(min(a[2], b[2]) <= max(a[0], b[0]) + 1e-9 or min(a[3], b[3]) <= max(a[1], b[1]) + 1e-9 for i, a in enumerate(tiles) for b in tiles[:i])
+
+
+def test_many_predictors(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 5)) * 10 + 1000
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"c{i} double" for i in range(5))).repartition(3)
+    for many in (24, 2):
+        monkeypatch.setattr(model, "MANY_COLUMNS", many)
+        n, mean, cov = model.moments(df, df.columns)
+        assert n == 60 and mean == pytest.approx(x.mean(axis=0)) and cov == pytest.approx(np.cov(x.T))
