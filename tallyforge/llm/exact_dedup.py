@@ -2,7 +2,7 @@
 
 Texts are equal when identical after each run of white space became one space.
 
-1. One scan writes (length, prefix hash) of every text, two numbers a row.
+1. One scan counts (length, prefix hash) of all texts.
 2. Lengths that occur once are settled; among the others, (length, prefix hash) pairs that occur once
    are settled too.  What survives is kept as a bitmap over the pair's hash, 16 bits a pair, 16 MB at most.
 3. A second scan computes the full hash (SHA-256) only for rows whose bit is set, and groups rows by
@@ -25,19 +25,18 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import bitmap, discard, finished, join_groups, keyed, look_up, materialise, normalised, read, row_keys, with_keys, without_keys
 
 
-def surviving_pairs(keys: DataFrame) -> DataFrame:
-    """(length, prefix hash) pairs that more than one row has, lengths first."""
-    lengths = keys.groupBy("n_chars").agg(F.count("*").alias("n_same_length")).filter("n_same_length > 1").select("n_chars")
-    pairs = keys.groupBy("n_chars", "prefix_hash").agg(F.count("*").alias("n_same_pair")).filter("n_same_pair > 1")
-    return pairs.join(lengths, "n_chars", "left_semi").select("n_chars", "prefix_hash")
+def surviving_pairs(counts: DataFrame) -> DataFrame:
+    """(length, prefix hash) pairs that more than one row has, lengths first, from ``n_chars, prefix_hash, n``."""
+    lengths = counts.groupBy("n_chars").agg(F.sum("n").alias("n_same_length")).filter("n_same_length > 1").select("n_chars")
+    return counts.join(lengths, "n_chars", "left_semi").filter("n > 1").select("n_chars", "prefix_hash")
 
 
 def refined(docs: DataFrame, text_col: str, carry: list, prefix_chars: int, digest_all: bool = False) -> DataFrame:
     """``carry``'s columns, ``group_key`` (equal for equal texts), ``full_hash`` and, if asked for, ``digest``."""
     src = docs.select(F.struct(*carry).alias("own"), normalised(text_col).alias("norm"))
     shape = src.select("own", "norm", F.length("norm").alias("n_chars"), F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("prefix_hash"))
-    keys = materialise(shape.select("n_chars", "prefix_hash"), "dedup-keys")
-    pairs = materialise(surviving_pairs(keys), "dedup-pairs")
+    counts = materialise(shape.groupBy("n_chars", "prefix_hash").agg(F.count("*").alias("n")), "dedup-counts")
+    pairs = materialise(surviving_pairs(counts), "dedup-pairs")
     pair = F.xxhash64("n_chars", "prefix_hash")
     pages, bits = bitmap(pairs, pair, pairs.count())
     rows = look_up(shape, pages, bits, pair, "alive")
