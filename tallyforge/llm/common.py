@@ -85,11 +85,11 @@ def finished(f: Callable[[], DataFrame], name: str) -> DataFrame:
 HOT_GROUPS = 20_000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int | None = None) -> DataFrame:
     """``rows`` left-joined with one row for each ``key``.  Groups of more than a `HOT_GROUPS`-th of all rows
-    are joined where their rows are, by a broadcast that this bound keeps small; for the others, whose rows are
-    few, both sides are dealt out by key."""
-    total = rows.count()
+    (``total``, counted if not given) are joined where their rows are, by a broadcast that this bound keeps small; for
+    the others, whose rows are few, both sides are dealt out by key."""
+    total = rows.count() if total is None else total
     hot = groups.filter(F.col(size) * HOT_GROUPS > total)
     rest = groups.filter(F.col(size) * HOT_GROUPS <= total)
     here = rows.join(F.broadcast(hot), key)

@@ -2,7 +2,8 @@
 
 Each round is two aggregations and two joins over the links, written to the shared folder before the next
 round; the number of rounds grows with the logarithm of the longest path.  A star's centre has as many rows
-as the star, which aggregation combines on the map side and adaptive execution splits in the join.
+as the star: aggregation combines them on the map side, and the centres of large stars, of which a bound on their
+share leaves few, come to the rows by a broadcast.
 
 Defined cases: links have no direction; repeated links, links of a node to itself and links with a null end add
 nothing; a node without links isn't named; no links give an empty result; other columns are ignored.
@@ -13,17 +14,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import discard, materialise
+from tallyforge.llm.common import discard, join_groups, materialise
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """``links``: (a, b) with a > b.  Hangs each node's neighbours below the smallest of them."""
+def _star(links: DataFrame, large: bool, n: int) -> DataFrame:
+    """``links``: ``n`` of (a, b) with a > b.  Hangs each node's neighbours below the smallest of them."""
     back = links.select(F.col("b").alias("u"), F.col("a").alias("v"))
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.unionByName(back)
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    moved = both.join(least, "u")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")).withColumn("m", F.least("m", "u"))
+    moved = join_groups(both, least, "u", "size", total=2 * n if large else n)
     if large:
         out = moved.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -37,7 +38,8 @@ def components(links: DataFrame) -> DataFrame:
     now = materialise(pairs, "links")
     state = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
     while True:
-        nxt = materialise(_star(_star(now, True), False), "links")
+        # the first star has as many links at most
+        nxt = materialise(_star(_star(now, True, state["n"]), False, state["n"]), "links")
         after = nxt.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         discard(now)
         now = nxt
