@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tallyforge.functions import scalars as S
 from tallyforge.operators.select import check_column, select_columns
-from tallyforge.operators.tabulate import answered, dtypes, english, level_rank, option_arrays, pivot_wider
+from tallyforge.operators.tabulate import answered, dtypes, english, few_rows, level_rank, option_arrays, pivot_wider
 from tallyforge.operators.weights import WEIGHT, weighted_mean, weighted_quantiles, weighted_sd, with_weights
 from tallyforge.plans.profile import banner_selection, detect_multiselect
 from tallyforge.plans.progress import Progress, confirm_selection
@@ -78,7 +78,8 @@ def crosstab(df: DataFrame | None, x: str, y: str, cell: str = "count", value: s
     out = out.orderBy(*keys).select(F.col("__x").alias(x), F.col("__y").alias(y if y != x else f"{y}.1"), "value")
     if not wide:
         return out
-    names = [r[0] for r in out.select(out.columns[1]).distinct().orderBy(*([F.coalesce(level_rank(out.columns[1], orders["__y"]), F.lit(len(orders["__y"]) + 1))] if orders["__y"] else []), F.col(f"`{out.columns[1]}`").asc_nulls_last()).collect()]
+    heads = out.select(out.columns[1]).distinct().orderBy(*([F.coalesce(level_rank(out.columns[1], orders["__y"]), F.lit(len(orders["__y"]) + 1))] if orders["__y"] else []), F.col(f"`{out.columns[1]}`").asc_nulls_last())
+    names = [r[0] for r in few_rows(heads, f"Answers of '{y}'")]
     names = ["NA" if n is None else n for n in names]
     p = out.withColumn("__head", F.coalesce(F.col(f"`{out.columns[1]}`"), F.lit("NA"))).groupBy(x).pivot("__head", names).agg(F.first("value"))
     rank = [F.coalesce(level_rank(x, orders["__x"]), F.lit(len(orders["__x"]) + 1))] if orders["__x"] else []
@@ -239,7 +240,7 @@ def banner(df: DataFrame | None, rows=None, cols=None, cell: str = "auto", stats
 def banner_wide(cells: DataFrame) -> DataFrame:
     """One row for each (variable, item), one column for each group item, Overall first.  Which columns belong
     to which group is in each field's metadata (``group``)."""
-    heads = cells.select("g", "group", "group_item").distinct().orderBy("g", "group_item").collect()
+    heads = few_rows(cells.select("g", "group", "group_item").distinct().orderBy("g", "group_item"), "Groups of the banner")
     names = S.make_unique([h["group_item"] for h in heads], sep=" ")
     key = F.concat_ws("\0", F.col("g").cast("string"), "group_item")
     p = cells.withColumn("__h", key).groupBy("q", "variable", "i", "item").pivot("__h", [f"{h['g']}\0{h['group_item']}" for h in heads]).agg(F.first("value"))

@@ -91,11 +91,23 @@ def calc_percentage(df: DataFrame | None, column: str, by=None, sort: str = "non
     return pivot_wider(out, by, column, "wpct" if scheme else "pct") if wide else out
 
 
+#: Columns that a wide table may have: their names come to the driver.
+MOST_WIDE = 5000
+
+
+def few_rows(df: DataFrame, what: str, most: int = MOST_WIDE) -> list:
+    """All rows of a table that has to be small."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{what}: more than {most}; ask for the long form.")
+    return rows
+
+
 def pivot_wider(df: DataFrame, ids: list[str], names_from: str, values_from: str) -> DataFrame:
-    """One column for each name in order of appearance; a missing name is ``NA``.  The names are collected:
-    they are the answers of a finished table."""
-    names = [r[0] for r in df.select(F.coalesce(F.col(f"`{names_from}`").cast("string"), F.lit("NA"))).collect()]
-    names = list(dict.fromkeys(names))
+    """One column for each name in order of appearance, `MOST_WIDE` at most; a missing name is ``NA``."""
+    text = F.coalesce(F.col(f"`{names_from}`").cast("string"), F.lit("NA"))
+    at = df.select(text.alias("name"), F.monotonically_increasing_id().alias("at")).groupBy("name").agg(F.min("at").alias("at")).orderBy("at")
+    names = [r["name"] for r in few_rows(at, f"Answers of '{names_from}'")]
     d = df.withColumn(names_from, F.coalesce(F.col(f"`{names_from}`").cast("string"), F.lit("NA")))
     out = d.groupBy(*ids).pivot(names_from, names).agg(F.last(values_from))
     return out.orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in ids]) if ids else out
@@ -200,7 +212,7 @@ def split_multi(df: DataFrame | None, column: str, split: str = "auto", prefix:
     delimiter = detect_delimiter(df, column) if split == "auto" else split
     answers = packed_answers(column, delimiter)
     counts = df.select(F.explode(answers).alias("a")).groupBy("a").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), english("a"))
-    names = [r["a"] for r in counts.collect()]
+    names = [r["a"] for r in few_rows(counts, f"Answers in '{column}'")]
     if not names:
         raise ValueError(f"'{column}' holds no answers.")
     head = f"{column}_" if prefix is None else prefix
