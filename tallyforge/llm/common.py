@@ -83,17 +83,19 @@ def finished(f: Callable[[], DataFrame], name: str) -> DataFrame:
 
 #: Groups that a broadcast may hold: those with over a 20,000th of all rows, of which there are fewer.
 HOT_GROUPS = 20_000
+#: Rows of a group that never trouble a task.
+FEW_ROWS = 1_000
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int | None = None) -> DataFrame:
     """``rows`` left-joined with one row for each ``key``.  Groups of more than a `HOT_GROUPS`-th of all rows
-    (``total``, counted if not given) are joined where their rows are, by a broadcast that this bound keeps small; for
-    the others, whose rows are few, both sides are dealt out by key."""
+    (``total``, counted if not given) and of more than `FEW_ROWS` are joined where their rows are, by a broadcast that
+    this bound keeps small; for the others, whose rows are few, both sides are dealt out by key."""
     total = rows.count() if total is None else total
-    hot = groups.filter(F.col(size) * HOT_GROUPS > total)
-    rest = groups.filter(F.col(size) * HOT_GROUPS <= total)
-    here = rows.join(F.broadcast(hot), key)
-    there = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, "left")
+    large = (F.col(size) * HOT_GROUPS > total) & (F.col(size) > FEW_ROWS)
+    marked = rows.join(F.broadcast(groups.filter(large).withColumn("_hot", F.lit(True))), key, "left")
+    here = marked.filter("_hot").drop("_hot")
+    there = marked.filter("_hot IS NULL").select(*rows.columns).join(groups.filter(~large), key, "left")
     return here.unionByName(there)
 
 

@@ -195,3 +195,32 @@ def filter_quality(docs: DataFrame, text_col="text", lang_col="lang", source_col
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
     out = finished(lambda: judged(read(spark, sf_dir, "documents"), carry=["doc_id"]).select("row", *COUNTS, "base_failed", "kept"), "quality-result")
     return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: The verdicts in SQL: sketches are (bucket, count) rows there too; the numbers are those of `FENCES`, `PRIOR` and the smoothing.
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, lang, source FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+tok AS (SELECT r, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+tri AS (SELECT r, i, x || chr(31) || lead(x, 1) OVER p || chr(31) || lead(x, 2) OVER p AS g FROM tok WINDOW p AS (PARTITION BY r ORDER BY i)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM tri WHERE g IS NOT NULL) WHERE n > 1),
+cover AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, i + k AS i FROM twice, (VALUES (0), (1), (2)) AS s(k)) GROUP BY r),
+m AS (SELECT w.r, doc_id, lang, source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines, coalesce(cover.n, 0)::BIGINT AS n_repeat_words,
+  len(list_filter(ws, lambda x: length(x) > 1 AND x = upper(x) AND x <> lower(x))) AS n_upper, len(list_filter(ws, lambda x: x = '|')) AS n_bare
+  FROM w LEFT JOIN cover USING (r)),
+v AS (SELECT r, lang, source, unnest(['symbols', 'dup', 'chars', 'bare', 'upper']) AS measure,
+  unnest([(n_symbols + 1.0::DOUBLE) / (n_words + 50.0::DOUBLE), (n_dup_lines + 1.0::DOUBLE) / (n_lines + 10.0::DOUBLE), CASE WHEN n_words > 0 THEN word_chars::DOUBLE / n_words ELSE 0.0 END, (n_bare + 1.0::DOUBLE) / (n_words + 50.0::DOUBLE), (n_upper + 1.0::DOUBLE) / (n_words + 50.0::DOUBLE)]) AS x FROM m),
+g AS (SELECT ln(1.01::DOUBLE / 0.99::DOUBLE) AS g),
+b AS (SELECT lang, source, measure, CASE WHEN x > 0 THEN ceil(ln(x) / g) ELSE -1e9 END AS bucket, count(*)::DOUBLE AS n FROM v, g GROUP BY ALL),
+al AS (SELECT measure, bucket, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY measure) AS total FROM b GROUP BY measure, bucket),
+la AS (SELECT lang, measure, bucket, sum(n) AS n FROM (SELECT lang, measure, bucket, n FROM b UNION ALL SELECT k.lang, al.measure, bucket, 30.0 * n / total FROM (SELECT DISTINCT lang FROM b) k, al) GROUP BY ALL),
+lt AS (SELECT *, sum(n) OVER (PARTITION BY lang, measure) AS total FROM la),
+ow AS (SELECT lang, source, measure, bucket, sum(n) AS n FROM (SELECT lang, source, measure, bucket, n FROM b UNION ALL SELECT k.lang, k.source, lt.measure, bucket, 30.0 * n / total FROM (SELECT DISTINCT lang, source FROM b) k JOIN lt ON k.lang IS NOT DISTINCT FROM lt.lang) GROUP BY ALL),
+cu AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, source, measure) AS total FROM ow),
+q AS (SELECT lang, source, measure, min(CASE WHEN bucket = -1e9 THEN 0.0 ELSE exp((bucket - 1) * g) END) FILTER (upto >= total * (0.25 - 1e-9)) AS q1, min(CASE WHEN bucket = -1e9 THEN 0.0 ELSE exp(bucket * g) END) FILTER (upto >= total * (0.75 - 1e-9)) AS q3 FROM cu, g GROUP BY ALL),
+bad AS (SELECT DISTINCT r FROM v JOIN q ON v.measure = q.measure AND v.lang IS NOT DISTINCT FROM q.lang AND v.source IS NOT DISTINCT FROM q.source
+  WHERE x > q3 + CASE WHEN v.measure = 'chars' THEN 6 ELSE 12 END * (q3 - q1) OR v.measure = 'chars' AND x < q1 - 6 * (q3 - q1)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.r IS NULL AS kept FROM f LEFT JOIN bad USING (r)
+"""

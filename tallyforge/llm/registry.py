@@ -14,4 +14,4 @@ QUERIES = {
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_html_text": html_text.op10_html_text,
 }
-ORACLE_SQL = {"op4_url_filter": url_filter.OP4_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
+ORACLE_SQL = {"op4_url_filter": url_filter.OP4_SQL, "op5_quality_rules": quality.OP5_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}

@@ -95,3 +95,35 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, **{100 + i: 100 for i in range(41)}}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_scratch_tables(spark, edge):
+    """A cluster has to name its folder; a query leaves its result and nothing else."""
+    import glob
+    from types import SimpleNamespace
+
+    from tallyforge.llm import common
+
+    for master, conf in (("spark://host:7077", None), ("local-cluster[2,1,1024]", None)):
+        context = SimpleNamespace(master=master, getConf=lambda: {}, getCheckpointDir=lambda: conf)
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.scratch_dir(SimpleNamespace(sparkContext=context))
+    folder = common.scratch_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{folder}/tallyforge/*"))
+    out = common.finished(lambda: exact_dedup.exact_duplicates(edge), "test-result")
+    left = set(glob.glob(f"{folder}/tallyforge/*")) - before
+    assert len(left) == 1 and "test-result" in left.pop() and out.count() == edge.count()
+
+
+def test_large_groups_are_joined_where_their_rows_are(spark, edge, monkeypatch):
+    from tallyforge.llm import common
+    from tallyforge.llm.components import components
+
+    plain = lambda df: sorted(map(str, df.collect()))
+    links = spark.createDataFrame([(0, i) for i in range(1, 30)] + [(40, 41), (41, 42), (None, 41)], "a long, b long")
+    runs = (lambda: components(links), lambda: exact_dedup.exact_duplicates(edge), lambda: simhash.near_duplicates(edge))
+    want = [plain(f()) for f in runs]
+    for few, groups in ((0, 10**9), (0, 10), (1, 4)):
+        monkeypatch.setattr(common, "FEW_ROWS", few)
+        monkeypatch.setattr(common, "HOT_GROUPS", groups)
+        assert [plain(f()) for f in runs] == want

@@ -111,6 +111,10 @@ def test_exact_sql(spark):
     same_as_sql(spark, exact_dedup.op8_exact_dedup, exact_dedup.OP8_SQL, "documents")
 
 
+def test_quality_sql(spark):
+    same_as_sql(spark, quality.op5_quality_rules, quality.OP5_SQL, "documents")
+
+
 # Exact dedup
 
 
