@@ -88,16 +88,18 @@ FEW_ROWS = 1_000
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int | None = None) -> DataFrame:
-    """``rows`` left-joined with one row for each ``key``.  Groups of more than a `HOT_GROUPS`-th of all rows
-    (``total``, counted if not given) and of more than `FEW_ROWS` come to their rows by a broadcast that this bound keeps
-    small; in the join of the others their rows are dealt out by their own hash, and meet nothing."""
+    """``rows`` left-joined with one row for each ``key``, a number or text.  Groups of more than a `HOT_GROUPS`-th of all
+    rows (``total``, counted if not given) and of more than `FEW_ROWS` come to their rows by a broadcast that this bound
+    keeps small.  In the join of the others such rows are dealt out by a hash of their own; what they meet there by
+    chance is not looked at."""
     total = rows.count() if total is None else total
     named = groups.select(F.col(key).alias("_key"), F.struct(*[c for c in groups.columns if c != key]).alias("_group"))
     large = (F.col("_group")[size] * HOT_GROUPS > total) & (F.col("_group")[size] > FEW_ROWS)
     hot = named.filter(large).select(F.col("_key").alias(key), F.col("_group").alias("_hot"))
-    known = F.col("_hot").isNotNull()
-    marked = rows.join(F.broadcast(hot), key, "left").withColumn("_key", F.when(~known, F.col(key))).withColumn("_at", F.when(known, F.xxhash64(*rows.columns)).otherwise(0))
-    out = marked.join(named.withColumn("_at", F.lit(0).cast("long")), ["_key", "_at"], "left")
+    kind = next(f.dataType for f in rows.schema.fields if f.name == key)
+    anywhere = F.xxhash64(*rows.columns).cast(kind)
+    marked = rows.join(F.broadcast(hot), key, "left").withColumn("_key", F.when(F.col("_hot").isNotNull(), anywhere).otherwise(F.col(key)))
+    out = marked.join(named, "_key", "left")
     return out.select(*rows.columns, F.coalesce("_hot", "_group").alias("_group")).select(*rows.columns, "_group.*")
 
 
